@@ -87,7 +87,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Data
     else:
         hits = docs.select("_key", F.size("_h").alias("_size"), F.explode("_h").alias("hash")).join(sketch, "hash").where("_size >= need").select("_key").distinct()
         found = docs.join(hits, "_key", "left_semi")
-    mine = found.select("doc_id", "_key", F.explode(shingle_texts(F.col("_w"))).alias("_s"))
+    mine = found.dropDuplicates(["doc_id", "_key"]).select("doc_id", "_key", F.explode(shingle_texts(F.col("_w"))).alias("_s"))
     theirs = items.select("item_id", F.col("_n").alias("n_item"), F.explode("_t").alias("_s"))
     shared = mine.join(theirs, "_s").groupBy("doc_id", "_key", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     whole = shared.where(F.col("n_shared") >= _need(F.col("n_item"), threshold))
