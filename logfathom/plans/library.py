@@ -180,5 +180,8 @@ OVER_TEST_TABLES = {
     "lib_level_share": (lambda t: QUERIES["level-share"].run(events_as_log(t)), f"SELECT \"Level\", count(*) AS \"Count\" FROM {_LOG} GROUP BY 1"),
     "lib_gaps": (lambda t: gaps(events_as_log(t)), f"SELECT \"Source\", count(*) AS \"Gaps\", max(g) AS \"Longest\" FROM (SELECT \"Source\", epoch_us(\"Timestamp\") - epoch_us(lag(\"Timestamp\") OVER (PARTITION BY \"Source\" ORDER BY \"Timestamp\", \"EventId\")) AS g FROM {_LOG}) WHERE g > 21600000000 GROUP BY 1 ORDER BY \"Longest\" DESC, \"Source\" LIMIT 100"),
     "lib_spikes": (lambda t: spikes(events_as_log(t), 2.0, 2), f"SELECT * FROM (SELECT *, lag(\"Count\") OVER (PARTITION BY \"App\" ORDER BY \"Hour\") AS \"Before\" FROM (SELECT \"App\", date_trunc('hour', \"Timestamp\") AS \"Hour\", count(*) AS \"Count\" FROM {_LOG} GROUP BY 1, 2)) WHERE \"Count\" >= 2 AND \"Count\" >= 2 * \"Before\" ORDER BY \"Count\" DESC, \"App\", \"Hour\" LIMIT 100"),
-    "lib_context_join": (lambda t: in_context(t("orders").where(c("o_orderkey") < 500).project("o_orderkey", at=fn.datetime_add("day", 1, c("o_orderdate"))), events_as_log(t), "at", "1h", ("Timestamp", "EventId")), f"SELECT o_orderkey, o_orderdate + INTERVAL 1 DAY AS at, \"Timestamp\", \"EventId\" FROM orders JOIN {_LOG} ON abs(epoch_us(o_orderdate + INTERVAL 1 DAY) - epoch_us(\"Timestamp\")) <= 3600000000 WHERE o_orderkey < 500"),
+    "lib_context_join": (
+        lambda t: in_context(t("events").where(c("event_type") == "error", c("event_id") % 7 == 0).project(error_id=c("event_id"), at=c("ts")), events_as_log(t), "at", "10m", ("Timestamp", "EventId")),
+        f"SELECT e.event_id AS error_id, ts AS at, \"Timestamp\", \"EventId\" FROM events e JOIN {_LOG} ON abs(epoch_us(ts) - epoch_us(\"Timestamp\")) <= 600000000 WHERE event_type = 'error' AND e.event_id % 7 = 0",
+    ),
 }
