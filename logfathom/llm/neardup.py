@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_bytes, mixed, staged, word_hashes
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     stars = staged(buckets.where("center < rep").select("center", F.col("rep").alias("member")).distinct())
     links = staged(confirmed(stars, docs, n, percent))
     comps = staged(components(links, "center", "member"))
-    rest = staged(_across(buckets, comps, stars))
+    rest = staged(_across(buckets, comps, stars, docs, n, percent))
     if not rest.isEmpty():
         links = links.unionByName(staged(confirmed(rest, docs, n, percent)))
     # rows that share a doc_id are one node, also where their texts differ
@@ -153,13 +153,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are not yet in one component and were not compared."""
+def _exploder(n: int):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), doc_bytes(batch.column(2)), strict=True):
+                s = shingle_hashes(raw.lower().split(), n)
+                own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v, np.int64)) for v in (rep, comp, own, len(s))] + [pa.array(s.view(np.int64))], ["rep", "comp", "own", "size", "h"])
+
+    return explode
+
+
+def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs that may be linked among the texts whose bucket still spans several components; none that were compared.
+
+    The buckets are not paired out. With a text's shingles from the rarest to the most
+    common, two texts that share enough have one in common among the first of each, as many
+    as may be missing and one more; texts changed in many places begin with shingles of
+    their own and meet nobody. How much can be shared behind that shingle bounds the rest.
+    """
     placed = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = placed.join(open_, "key")
-    other = rows.select("key", F.col("rep").alias("center"), F.col("comp").alias("_comp"))
-    pairs = rows.join(other, "key").where("center < rep and comp <> _comp").select("center", F.col("rep").alias("member")).distinct()
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    texts = placed.join(several, "key").select("rep", "comp").distinct()
+    shingles = staged(docs.select("doc_id", "text").join(texts, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text").mapInArrow(_exploder(n), "rep long, comp long, own long, size long, h long"))
+    met = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    by_text = Window.partitionBy("rep", "own")
+    alone = F.col("size") - F.count(F.lit(1)).over(by_text)
+    place = alone + F.row_number().over(by_text.orderBy("met", "h"))
+    first = shingles.join(met, "h").withColumn("place", place).where(f"100 * (size - place + 1) >= {percent} * size").drop("met", "own")
+    other = first.select("h", F.col("rep").alias("center"), F.col("comp").alias("_comp"), F.col("size").alias("_size"), F.col("place").alias("_place"))
+    shared = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
+    enough = (100 + percent) * shared >= percent * (F.col("size") + F.col("_size"))
+    pairs = first.join(other, "h").where("center < rep and comp <> _comp").where(enough).select("center", F.col("rep").alias("member")).distinct()
     return pairs.join(stars, ["center", "member"], "left_anti")
 
 
