@@ -140,11 +140,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top")
     buckets = staged(keys.join(shared.select("key", "center"), "key"))
     stars = staged(buckets.where("center < rep").select("center", F.col("rep").alias("member")).distinct())
-    links = staged(confirmed(stars, docs, n, percent))
+    # all texts move once; what follows moves only those that share a bucket
+    near = docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
+    texts = staged(near)
+    links = staged(confirmed(stars, texts, n, percent))
     comps = staged(components(links, "center", "member"))
-    rest = staged(_across(buckets, comps, stars, docs, n, percent))
+    rest = staged(_across(buckets, comps, stars, texts, n, percent))
     if not rest.isEmpty():
-        links = links.unionByName(staged(confirmed(rest, docs, n, percent)))
+        links = links.unionByName(staged(confirmed(rest, texts, n, percent)))
     # rows that share a doc_id are one node, also where their texts differ
     twins = alive.join(reps, "set_id").select(F.col("rep").alias("center"), F.col("doc_id").alias("member")).where("center <> member").distinct()
     comps = staged(components(links.unionByName(twins), "center", "member"))
