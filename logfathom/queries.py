@@ -353,9 +353,9 @@ def fn_datetime(t):
     return t("events").project("event_id", d=fn.startofday(x), w=fn.startofweek(x), m=fn.startofmonth(x), b=fn.bin(x, "6h"), h=fn.hourofday(x), y=fn.dayofyear(x), f=fn.format_datetime(x, "yyyy/MM/dd HH:mm"), dm=fn.datetime_diff("month", x, F.lit("2023-11-15").cast("timestamp")))
 
 
-@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding), 3) AS s, list_contains(embedding, 0.0) AS z FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 3) + 0.0 AS s, list_contains(embedding, 0.0) AS z FROM embeddings")
 def fn_dynamic(t):
-    return t("embeddings").project("vec_id", n=fn.array_length(c("embedding")), s=F.round(fn.array_sum(c("embedding")), 3), z=fn.set_has_element(c("embedding"), F.lit(0.0).cast("float")))
+    return t("embeddings").project("vec_id", n=fn.array_length(c("embedding")), s=F.round(fn.array_sum(c("embedding")), 3) + 0.0, z=fn.set_has_element(c("embedding"), F.lit(0.0).cast("float")))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 1000 THEN 'low' ELSE 'high' END AS k, CASE WHEN c_nationkey <> 0 THEN 1 ELSE 2 END AS i, coalesce(nullif(c_mktsegment, ''), 'none') AS s FROM customer")
