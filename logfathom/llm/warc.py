@@ -157,8 +157,14 @@ def _reader(folder: str):
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records that rows of an index point to. Archives are of bounded size, so no task gets more than a few of them."""
-    ranges = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    """The records that rows of an index point to, in about one task an archive.
+
+    The number of tasks follows the bytes to read: by the size of the few index rows alone, Spark would put all in one.
+    """
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, total // ARCHIVE_BYTES + 1)
+    ranges = index.select("archive", "offset", "length").repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
     return ranges.mapInArrow(_reader(folder), RECORD)
 
 
