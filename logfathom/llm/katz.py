@@ -1,21 +1,21 @@
 """Language-model scoring: Katz backoff over words, with Good-Turing discounts.
 
-The model has the ``MAX_VOCABULARY`` most frequent words of the training texts, one class
-for all other words, and an end token. The probability of a token is that of the pair
-(previous token, token) if the pair's discounted count is stored, else the history's
-backoff weight times the token's own probability; a word of the class gets the class's
-probability times its share in it, one share being kept for words never met. The backoff
-weights make each history's probabilities sum to one exactly: what the discounts and the
-pairs that are not stored (those met once) leave, over what the tokens outside the stored
-pairs have on their own.
-
-Counts, discounted pairs and the counts of rare words are tables partitioned by key. Words
-and pairs are first summed inside each task. For scoring, every task knows the vocabulary,
-the backoff weights (one a word of it) and the ``HOT_PAIRS`` most frequent pairs, all of
-bounded size; keys that these do not answer go, packed, to the task that holds their
-partition of the tables. That adds them up for each text and returns the sums packed, one
-row a bucket of texts, and the buckets are added up: nothing is made a word or a text and
-partition.
+The model has all words and all pairs of neighbours of the training texts, and an end token.
+The probability of a token is that of the pair (previous token, token), discounted, if the pair
+was met, else the history's backoff weight times the token's own probability; words never met
+have one share of it. The backoff weights make each history's probabilities sum to one exactly:
+what the discounts leave, over what the tokens outside the history's pairs have on their own.
+
+Words are known by 64-bit hashes, pairs by the hashes of history and word. Counts, discounted
+pairs, histories and words are tables partitioned by key. Words and pairs are first summed
+inside each task. For scoring, every task knows the ``CACHED_WORDS`` most frequent words with
+their backoff weights and the ``HOT_PAIRS`` most frequent pairs, which only saves questions;
+keys that these do not answer go, packed, to the task that holds their partition of the tables.
+That adds them up for each text and returns the sums packed, one row a bucket of texts, and the
+buckets are added up: nothing is made a word or a text and partition.
+
+With ``max_vocabulary`` given, all but so many words are one class, in which a word has its
+share, and pairs met less often than ``CLASS_MIN_COUNT`` are not stored; ``op7_katz`` does not.
 
 Edge cases: a null, empty or blank text is its end token; texts of any length are scored
 whole; repeated rows get equal rows; a null doc_id counts as training; without training
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import doc_bytes, mixed, staged
 
-MAX_VOCABULARY, HOT_PAIRS = 65_000, 65_536
-#: Good-Turing discounts hold up to this count; pairs met less often than ``MIN_COUNT`` are not stored.
-DISCOUNT_UP_TO, MIN_COUNT = 5, 2
-#: Keys in a partition of the scoring, words in a task's batch, distinct entries before a task's sums are sent on.
-GROUP_KEYS, BATCH_WORDS, FLUSH = 4_000_000, 500_000, 400_000
+#: What each scoring task holds of the model; it changes no score.
+CACHED_WORDS, HOT_PAIRS = 65_000, 65_536
+#: Good-Turing discounts hold up to this count; only models with a class of words drop pairs.
+DISCOUNT_UP_TO, CLASS_MIN_COUNT = 5, 2
+#: Keys and stored pairs in a partition of the scoring, words in a task's batch, distinct entries before a task's sums are sent on.
+GROUP_KEYS, GROUP_PAIRS, BATCH_WORDS, FLUSH = 4_000_000, 1_500_000, 500_000, 400_000
 END = b""
 SIGN = -(2**63)
 
@@ -51,6 +53,10 @@ def word_key(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word, 42) | 2**63) - 2**64
 
 
+#: The history of a text's first token, and the class of words; no word has a space.
+START, CLASS = word_key(b" "), word_key(b"  ")
+
+
 def trains(column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
 
@@ -85,42 +91,65 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-class Vocabulary:
-    """Ids of the model's words; ``rare`` for others, ``start`` before the first."""
+def _keys(texts: list[list[bytes]]) -> np.ndarray:
+    """Keys of all tokens of all texts."""
+    n = sum(map(len, texts))
+    found = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(texts), repeat(42)), np.uint64, n)
+    return (found | np.uint64(2**63)).view(np.int64)
+
+
+def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in a sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _before(w: np.ndarray, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The history of each token, and the number of tokens of each text."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[np.cumsum(lens) - lens] = START
+    return h, lens
 
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: k for k, w in enumerate(words)}
-        self.rare, self.start = len(words), len(words) + 1
-        self.base = len(words) + 2
 
-    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of all texts: id, id before, text."""
-        get, rare = self.ids.get, self.rare
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        w = np.fromiter((get(x, rare) for t in texts for x in t), np.int64, int(lens.sum()))
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[np.cumsum(lens) - lens] = self.start
-        return w, h, np.repeat(np.arange(len(texts)), lens)
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of pairs, not negative; ``pair_key`` in numpy."""
+    h = h.view(np.uint64)
+    return ((((h << np.uint64(1)) | (h >> np.uint64(63))) ^ w.view(np.uint64)) & np.uint64(2**63 - 1)).view(np.int64)
 
 
-def _count_pairs(vocabulary: Vocabulary):
-    def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+def pair_key(h: str = "h", w: str = "w"):
+    turned = F.shiftleft(F.col(h), 1).bitwiseOR(F.shiftrightunsigned(F.col(h), 63))
+    return turned.bitwiseXOR(F.col(w)).bitwiseAND(F.lit(2**63 - 1))
+
+
+def _count_pairs(inside: np.ndarray | None):
+    """Counts of (history, word); all words not in ``inside``, if it is given, are the class."""
+
+    def merge(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        h, w, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, first, at = np.unique(pair_keys(h, w), return_index=True, return_inverse=True)
+        return h[first], w[first], np.bincount(at, c, len(first)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         for _, _, texts in _texts(batches, 0):
-            w, h, _ = vocabulary(texts)
-            found.append(np.unique(h * vocabulary.base + w, return_counts=True))
+            w = _keys(texts)
+            if inside is not None:
+                w = np.where(_found(w, inside)[1], w, CLASS)
+            h, _ = _before(w, texts)
+            _, first, c = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
+            found.append((h[first], w[first], c))
             if len(found) >= 8:
                 found = [merge(found)]
                 if len(found[0][0]) > 5 * FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["key", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["h", "w", "c"])
                     found = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merge(found)], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merge(found)], ["h", "w", "c"])
 
     return count
 
@@ -136,65 +165,81 @@ def discounts(n: dict[int, int], k: int = DISCOUNT_UP_TO) -> list[float]:
     return out
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, column: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each of their keys; the few hot keys do not move the rows."""
+    hot = F.broadcast(hot.select(F.col("key").alias(column)))
+    near = rows.join(F.broadcast(table.join(hot, column, "left_semi")), column)
+    far = rows.join(hot, column, "left_anti").join(table.join(hot, column, "left_anti"), column)
+    return near.unionByName(far)
+
+
 class Model:
-    """The bounded part of a model (on every task) and its tables."""
-
-    def __init__(self, docs: DataFrame, max_vocabulary: int = MAX_VOCABULARY):
-        texts = docs.select("text")
-        self.words = staged(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-        self.n, self.v = (int(x or 0) for x in self.words.agg(F.sum("c"), F.count(F.lit(1))).first())
-        top = self.words.orderBy(F.desc("c"), "word").limit(max_vocabulary).collect()
-        self.vocabulary = Vocabulary([bytes(r["word"]) for r in top])
-        self.counts = np.array([r["c"] for r in top] + [0], np.int64)
-        self.counts[-1] = self.n - self.counts.sum()  # all rare words
-        size = len(self.counts)
-        self.p1 = (self.counts + 0.5) / (self.n + 0.5 * size)
-        self.rare_total = float(self.counts[-1] + 0.5 * (self.v - len(top) + 1))
+    """A model's tables, and what each task holds of them."""
+
+    def __init__(self, docs: DataFrame, max_vocabulary: int | None = None):
+        texts, spark = docs.select("text"), docs.sparkSession
+        self.whole = max_vocabulary is None
+        self.min_count = 1 if self.whole else CLASS_MIN_COUNT
+        words = staged(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+        self.n, self.v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+        top = words.orderBy(F.desc("c"), "word").limit(CACHED_WORDS if self.whole else max_vocabulary).collect()
+        order = np.argsort(np.array([word_key(bytes(r["word"])) for r in top], np.int64))
+        #: Keys of the most frequent words, sorted, and their counts.
+        self.top = np.array([word_key(bytes(r["word"])) for r in top], np.int64)[order]
+        self.counts = np.array([r["c"] for r in top], np.int64)[order]
+        self.words = words.select(F.xxhash64("word").bitwiseOR(F.lit(SIGN)).alias("key"), "c")
+        rare = self.n - int(self.counts.sum())  # tokens of all other words
         self.base_total = self.n + 0.5 * (self.v + 1)
-        self._pairs(texts)
-
-    def _pairs(self, texts: DataFrame) -> None:
-        base, size = self.vocabulary.base, len(self.counts)
+        #: The class has a count of its own; without one, a word that is not found was never met.
+        self.class_p1 = 0.5 / self.base_total if self.whole else (rare + 0.5) / (self.n + 0.5 * (len(top) + 1))
+        self.class_share = 1.0 if self.whole else 0.5 / (rare + 0.5 * (self.v - len(top) + 1))
+        self.p1_total = self.base_total if self.whole else self.n + 0.5 * (len(top) + 1)
+        self.hot = spark.createDataFrame(pa.table([pa.array(np.append(self.top, [START, CLASS]))], ["key"]))
+        if self.whole:
+            own = self.words.select(F.col("key").alias("w"), ((F.col("c") + 0.5) / self.p1_total).alias("p1"))
+        else:
+            p1 = np.append((self.counts + 0.5) / self.p1_total, self.class_p1)
+            own = spark.createDataFrame(pa.table([pa.array(np.append(self.top, CLASS)), pa.array(p1)], ["w", "p1"]))
+        self._pairs(texts, own)
+
+    def _pairs(self, texts: DataFrame, own: DataFrame) -> None:
         seen = Observation()
-        pairs = texts.mapInArrow(_count_pairs(self.vocabulary), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+        pairs = texts.mapInArrow(_count_pairs(None if self.whole else self.top), "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
         marks = [F.count_if(F.col("c") == r).alias(str(r)) for r in range(1, DISCOUNT_UP_TO + 2)]
-        pairs = staged(pairs.observe(seen, *marks).where(F.col("c") >= MIN_COUNT))
+        pairs = staged(pairs.observe(seen, F.count(F.lit(1)).alias("0"), *marks))
         n = {int(k): int(v or 0) for k, v in seen.get.items()}
+        self.n_pairs = n.pop(0)
         factor = F.lit(1.0)
         for r, d in enumerate(discounts(n), 1):
             factor = F.when(F.col("c") == r, d).otherwise(factor)
-        spark = texts.sparkSession
-        own = F.broadcast(spark.createDataFrame([(k, float(p)) for k, p in enumerate(self.p1)], "w long, p1 double"))  # one row a word of the vocabulary
-        rows = pairs.withColumns({"h": F.floor(F.col("key") / base).cast("long"), "w": F.col("key") % base, "kept": F.col("c") * factor}).join(own, "w")
-        by_history = rows.groupBy("h").agg(F.sum("kept").alias("kept"), F.sum("p1").alias("p1")).collect()  # at most one a word
-        met = np.zeros(base)  # how often a history is followed by a token
-        met[:size] = self.counts
-        ends = self.vocabulary.ids.get(END)
-        if ends is not None:
-            met[self.vocabulary.start], met[ends] = met[ends], 0
-        self.backoff, self.total = np.ones(base), np.maximum(met, 1.0)
-        for r in by_history:
-            h, own_left = r["h"], 1 - r["p1"]
-            total = met[h] if met[h] - r["kept"] > 1e-6 else r["kept"] + 1.0  # one count is set aside if none is left
-            if own_left < 1e-9:
-                total, own_left = r["kept"], 1.0
-            self.total[h], self.backoff[h] = total, max(0.0, 1 - r["kept"] / total) / own_left
-        lines = F.broadcast(spark.createDataFrame([(k, float(t), float(b)) for k, (t, b) in enumerate(zip(self.total, self.backoff, strict=True))], "h long, total double, backoff double"))
-        plain = F.greatest(F.col("backoff") * F.col("p1"), F.lit(1e-300))
-        gain = F.log10(F.col("kept") / F.col("total")) - F.log10(plain)
-        self.pairs = staged(rows.join(lines, "h").select("key", "c", gain.alias("gain")))
-
-    def rare_words(self) -> DataFrame:
-        """Keys and counts of the words outside the vocabulary."""
-        top = [(w,) for w in self.vocabulary.ids]
-        inside = self.words.sparkSession.createDataFrame(top, "word binary") if top else self.words.select("word").limit(0)
-        rest = self.words.join(F.broadcast(inside), "word", "left_anti")
-        return rest.select(F.xxhash64("word").bitwiseOR(F.lit(SIGN)).alias("key"), "c")
+        kept = F.when(F.col("c") >= self.min_count, F.col("c") * factor)
+        rows = _looked_up(pairs, own, "w", self.hot).withColumn("kept", kept)
+        sums = rows.groupBy("h").agg(F.sum("c").alias("met"), F.coalesce(F.sum("kept"), F.lit(0.0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("kept").isNotNull(), F.col("p1"))), F.lit(0.0)).alias("p1"))
+        none_left = 1 - F.col("p1") < 1e-9
+        # one count is set aside if none is left
+        total = F.when(none_left, F.col("kept")).when(F.col("met") - F.col("kept") > 1e-6, F.col("met")).otherwise(F.col("kept") + 1)
+        backoff = F.greatest((1 - F.col("kept") / F.col("total")) / F.when(none_left, 1.0).otherwise(1 - F.col("p1")), F.lit(1e-300))
+        self.histories = staged(sums.withColumn("total", total).select("h", F.log10("total").alias("total"), F.log10(backoff).alias("backoff")))
+        gain = F.log10("kept") - F.col("total") - F.col("backoff") - F.log10("p1")
+        gains = lambda r: _looked_up(r.where("kept is not null"), self.histories, "h", self.hot).select(pair_key().alias("key"), gain.alias("gain"))
+        self.pairs = gains(rows)  # read once, by the tasks that answer
+        often = pairs.sparkSession.createDataFrame(pairs.orderBy(F.desc("c"), "h", "w").limit(HOT_PAIRS).toArrow(), pairs.schema)
+        self.hot_pairs = gains(_looked_up(often, own, "w", self.hot).withColumn("kept", kept)).toPandas().sort_values("key")
+        known = self.histories.join(F.broadcast(self.hot), F.col("h") == F.col("key"), "left_semi").select("h", "backoff").toArrow()
+        found = dict(zip(known.column("h").to_pylist(), known.column("backoff").to_pylist(), strict=True))
+        self.backoff = np.array([found.get(k, 0.0) for k in self.top.tolist()])
+        self.start_backoff, self.class_backoff = found.get(START, 0.0), found.get(CLASS, 0.0)
 
     def answers(self) -> DataFrame:
-        """What a key that a task could not answer adds: to the base score, to the score, to the known words."""
-        rare = self.rare_words().select("key", F.log10((F.col("c") + 0.5) / 0.5).alias("base"), F.log10((F.col("c") + 0.5) / 0.5).alias("score"), F.lit(1).alias("known"))
-        return rare.unionByName(self.pairs.select("key", F.lit(0.0).alias("base"), F.col("gain").alias("score"), F.lit(0).alias("known")))
+        """What a key that a task could not answer adds to the base score and to the score; keys of words are negative."""
+        hot = F.broadcast(self.hot)
+        rare = self.words.join(hot, "key", "left_anti").select("key", F.log10((F.col("c") + 0.5) / 0.5).alias("base"))
+        if self.whole:  # a word that is not the last one is a history as well
+            rest = self.histories.select(F.col("h").alias("key"), "backoff").join(hot, "key", "left_anti")
+            rare = rare.join(rest, "key", "left").select("key", "base", (F.col("base") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
+        else:
+            rare = rare.withColumn("score", F.col("base"))
+        return rare.unionByName(self.pairs.select("key", F.lit(0.0).alias("base"), F.col("gain").alias("score")))
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -202,14 +247,13 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _scorer(model: Model, hot: tuple[np.ndarray, np.ndarray], parts: int):
-    vocabulary, counts = model.vocabulary, model.counts
-    p1, backoff = np.log10(model.p1), np.log10(np.maximum(model.backoff, 1e-300))
-    floor = -300.0
-    rare_one, base_total = np.log10(0.5 / model.rare_total), model.base_total
-    base = np.log10((counts + 0.5) / base_total)
-    base[-1] = np.log10(0.5 / base_total)  # a rare word counts as unknown until its partition answers
+    top, whole = model.top, model.whole
+    base = np.log10((model.counts + 0.5) / model.base_total)
+    p1, backoff = np.log10((model.counts + 0.5) / model.p1_total), model.backoff
+    base_rare = np.log10(0.5 / model.base_total)  # a rare word counts as unknown until its partition answers
+    p1_rare = np.log10(model.class_p1) + np.log10(model.class_share)
+    start_backoff, class_backoff = model.start_backoff, model.class_backoff
     hot_keys, hot_gains = hot
-    rare = vocabulary.rare
     kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     names = ["part", "blob", "doc_id", "key", "n_tokens", "n_known", "base", "score"]
 
@@ -217,28 +261,24 @@ def _scorer(model: Model, hot: tuple[np.ndarray, np.ndarray], parts: int):
         for batch, at, texts in _texts(batches, 2):
             ids = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)
             keys = batch.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)
-            w, h, row = vocabulary(texts)
+            word = _keys(texts)
+            k, known = _found(word, top)
+            w = word if whole else np.where(known, word, CLASS)
+            h, lens = _before(w, texts)
+            row = np.repeat(np.arange(len(texts)), lens)
             sums = lambda x: np.bincount(row, x, len(texts))  # noqa: B023, E731
-            pair = h * vocabulary.base + w
-            plain = np.maximum(backoff[h] + p1[w], floor) + np.where(w == rare, rare_one, 0.0)
-            if len(hot_keys):
-                k = np.minimum(np.searchsorted(hot_keys, pair), len(hot_keys) - 1)
-                is_hot = hot_keys[k] == pair
-                plain[is_hot] += hot_gains[k[is_hot]]
-            else:
-                is_hot = np.zeros(len(pair), bool)
+            pair = pair_keys(h, w)
+            own, plain, back = (np.full(len(w), x) for x in (base_rare, p1_rare, class_backoff))
+            own[known], plain[known], back[known] = base[k[known]], p1[k[known]], backoff[k[known]]
+            ends = np.cumsum(lens)
+            back[ends - 1] = 0.0  # the end is no history
+            plain += back
+            plain[ends - lens] += start_backoff
+            k, is_hot = _found(pair, hot_keys)
+            plain[is_hot] += hot_gains[k[is_hot]]
             n = sums(np.ones(len(w))).astype(np.int64)
-            known = sums((w != rare).astype(float)).astype(np.int64)
-            out = [[int(abs(int(x)) % parts) for x in ids], [None] * len(ids), ids, keys, n, known, sums(base[w]), sums(plain)]
-            flat = np.array([], np.int64)
-            if (w == rare).any():
-                where = np.flatnonzero(w == rare)
-                every = [x for t in texts for x in t]
-                flat = np.fromiter((word_key(every[i]) for i in where), np.int64, len(where))
-                del every
-                asked, asker = np.concatenate([flat, pair[~is_hot]]), np.concatenate([row[where], row[~is_hot]])
-            else:
-                asked, asker = pair[~is_hot], row[~is_hot]
+            out = [[int(abs(int(x)) % parts) for x in ids], [None] * len(ids), ids, keys, n, sums(known.astype(float)).astype(np.int64), sums(own), sums(plain)]
+            asked, asker = np.concatenate([word[~known], pair[~is_hot]]), np.concatenate([row[~known], row[~is_hot]])
             part = _part(asked, parts)
             order = np.lexsort((asker, part))
             part, asked, asker = part[order], asked[order], asker[order]
@@ -276,7 +316,7 @@ def _answered(parts: int):
         keys = table.column("key").to_numpy()
         order = np.argsort(keys)
         keys = keys[order]
-        values = [table.column(c).to_numpy()[order].astype(float) for c in ("known", "base", "score")]
+        values = [(keys < 0).astype(float), *(table.column(c).to_numpy()[order] for c in ("base", "score"))]
         along = asked.filter(pa.compute.is_null(asked.column("blob")))
         found = [[along.column(x.split()[0]).to_numpy().astype(t) for x, t in zip(SUMS.split(", "), TYPES[:-1], strict=True)] + [np.ones(len(along), np.int64)]]
         for blob in asked.column("blob").to_pylist():
@@ -313,7 +353,7 @@ def _summed(packed: pa.Table) -> pa.Table:
     return pa.table([pa.array(x) for x in _merged(sums)], [x.split()[0] for x in SUMS.split(", ")] + ["rows"])
 
 
-def scored(docs: DataFrame, training: DataFrame | None = None, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
+def scored(docs: DataFrame, training: DataFrame | None = None, max_vocabulary: int | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     The model learns from ``training``, without it from the rows of ``docs`` that are not held out.
@@ -321,8 +361,8 @@ def scored(docs: DataFrame, training: DataFrame | None = None, max_vocabulary: i
     model = Model(docs.where(trains()) if training is None else training, max_vocabulary)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # what the partitions answer is packed by buckets of texts, as many as there are partitions
-    parts = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (6 * GROUP_KEYS) + 1)) | 1
-    hot = model.pairs.orderBy(F.desc("c"), "key").limit(HOT_PAIRS).select("key", "gain").toPandas().sort_values("key")
+    parts = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (6 * GROUP_KEYS) + 1, model.n_pairs // GROUP_PAIRS + 1)) | 1
+    hot = model.hot_pairs
     tables = (hot["key"].to_numpy(np.int64), hot["gain"].to_numpy(float))
     # a null id and texts that share an id are told apart by the text
     rows = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")

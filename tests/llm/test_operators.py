@@ -305,6 +305,42 @@ def test_katz(spark, docs, local):
     assert katz.scored(docs.limit(0)).count() == 0
 
 
+def test_katz_has_all_words_and_pairs(spark, docs, local, monkeypatch):
+    monkeypatch.setattr(katz, "CACHED_WORDS", 40, raising=False)  # most words and pairs are answered by the tables
+    monkeypatch.setattr(katz, "HOT_PAIRS", 30)
+    is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    tokens = [(d, [w.encode() for w in words(lower(t))] + [b""]) for d, t, _ in local]
+    c, pairs = Counter(), Counter()
+    for d, t in tokens:
+        if not is_held(d):
+            c.update(t)
+            pairs.update(zip(["start", *t], t, strict=False))
+    n, v = sum(c.values()), len(c)
+    ds = katz.discounts(Counter(pairs.values()))
+    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    met, kept, own, by = Counter(), Counter(), Counter(), {}
+    for (h, w), x in pairs.items():
+        by[h, w] = x * (ds[x - 1] if x <= len(ds) else 1.0)
+        met[h] += x
+        kept[h] += by[h, w]
+        own[h] += p1(w)
+
+    def prob(h, w):
+        if not met[h]:
+            return p1(w)
+        total = met[h] if met[h] - kept[h] > 1e-6 else kept[h] + 1.0
+        return by[h, w] / total if (h, w) in by else (1 - kept[h] / total) / (1 - own[h]) * p1(w)
+
+    for h in ["start", *list(c)[:20]]:
+        if h != b"":
+            assert sum(prob(h, w) for w in [*c, "never met"]) == pytest.approx(1)
+    want = [(d, len(t), sum(c[x] > 0 for x in t), sum(math.log10(p1(x)) for x in t), sum(math.log10(prob(h, w)) for h, w in zip(["start", *t], t, strict=False))) for d, t in tokens]
+    by_row = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted((tuple(r) for r in katz.scored(docs).select("doc_id", "n_tokens", "n_known", "base_score", "score").collect()), key=by_row)
+    for r, w in zip(got, sorted(want, key=by_row), strict=True):
+        assert r[:3] == w[:3] and r[3:] == pytest.approx(w[3:], rel=1e-7)
+
+
 def test_katz_beats_the_base_on_held_out_texts(spark, sf_dir):
     rows = [r for r in queries.op7_katz(spark, sf_dir.replace("sf0.001", "sf0.01")).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
