@@ -1,7 +1,7 @@
 """URL filter: rules, and for the rest host word segmentation with multinomial naive Bayes.
 
 Concatenated host names are split into words by Viterbi over a unigram model, which is
-counted from the titles and URLs of the corpus. Host words and path tokens are scored by
+counted from the titles and URLs of the corpus without the hosts. Host words and path tokens are scored by
 naive Bayes with two classes; no labels exist, so hosts with a seed word teach the blocked
 class and the others the allowed one.
 
@@ -27,6 +27,8 @@ Rule = tuple[str, str, str]
 # Rules as given, and words that mark a host as unwanted.
 RULES: tuple[Rule, ...] = (("block", "com", "en/"), ("allow", "example.com", "en/7"), ("block", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/"))
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "warez", "xxx")
+#: Labels that make a public suffix with the country after them, as in co.uk.
+SECOND_LEVEL = frozenset(("ac", "co", "com", "edu", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"))
 #: The models keep so many words, the most frequent ones, so that they fit into every task.
 MAX_WORDS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,18 +90,26 @@ class Segmenter:
         return tuple(reversed(words))
 
 
+def own_labels(h: str) -> list[str]:
+    """The labels of a host before its public suffix; of an address or a lone label, all."""
+    labels = [x for x in h.rpartition("@")[2].partition(":")[0].split(".") if x]
+    if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND_LEVEL:
+        return labels[:-2]
+    return labels[:-1] or labels
+
+
 def url_tokens(h: str, p: str, seg: Segmenter) -> list[str]:
-    """``h:`` words of the host's labels but the last two, ``p:`` path tokens; digits are one token."""
-    labels = h.partition(":")[0].split(".")
-    names = labels[:-2] if len(labels) > 2 else labels[:1]
+    """``h:`` words of the host's labels before its public suffix, ``p:`` path tokens; digits are one token."""
+    names = own_labels(h)
     words = [w for x in names for part in re.findall(r"[^\W\d_]+", x) for w in seg.split(part)]
     return [f"h:{w}" for w in words] + ["p:#" if t.isdigit() else f"p:{t.lower()}" for t in re.findall(r"\w+", p)]
 
 
 def word_counts(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    """Counts of the words of all titles and URLs; the most frequent ``max_words``."""
+    """Counts of the words of all titles and URLs without hosts; the most frequent ``max_words``."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    text = F.lower(F.concat_ws(" ", title, F.coalesce("url", F.lit(""))))
+    rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^.*?://[^/?#]*", "")  # a host must not teach that its name is one word
+    text = F.lower(F.concat_ws(" ", title, rest))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where("length(w) between 2 and 24")
     top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(max_words)
     return {r["w"]: r["count"] for r in top.collect()}

@@ -369,6 +369,15 @@ def test_urls(spark, sf_dir):
     assert bad and all(re.search("spam|pills|casino|adult|ads|bets", h) for h in bad)
 
 
+def test_registrable_names_are_segmented(spark):
+    for h, want in {"www.cheapcasino.com": ["www", "cheapcasino"], "cheapcasino.co.uk": ["cheapcasino"], "m.cheapcasino.com.br:80": ["m", "cheapcasino"], "cheapcasino.com": ["cheapcasino"], "co.uk": ["co"], "casino": ["casino"], "": []}.items():
+        assert urls.own_labels(h) == want
+    pages = [(k, f"http://www.{n}.com/p/{k}", f"<title>cheap casino and garden news {k}</title>") for k, n in enumerate(["cheapcasino", "gardennews"] * 30)]
+    pages += [(100, "http://m.cheapcasino.co.uk/", None), (101, "http://m.gardennews.co.uk/", None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert (got[0], got[1], got[100], got[101]) == ("block", "allow", "block", "allow")
+
+
 def test_segmentation():
     seg = urls.Segmenter({"cheap": 50, "pills": 40, "heap": 3, "free": 60, "bets": 30, "a": 100})
     assert seg.split("cheappills") == ("cheap", "pills") and seg.split("freebets") == ("free", "bets") and seg.split("xyz") == ("xyz",) and seg.split("") == ()
