@@ -184,4 +184,8 @@ OVER_TEST_TABLES = {
         lambda t: in_context(t("events").where(c("event_type") == "error", c("event_id") % 7 == 0).project(error_id=c("event_id"), at=c("ts")), events_as_log(t), "at", "10m", ("Timestamp", "EventId")),
         f"SELECT e.event_id AS error_id, ts AS at, \"Timestamp\", \"EventId\" FROM events e JOIN {_LOG} ON abs(epoch_us(ts) - epoch_us(\"Timestamp\")) <= 600000000 WHERE event_type = 'error' AND e.event_id % 7 = 0",
     ),
+    "lib_context_join_whole": (
+        lambda t: in_context(t("events").where(c("event_type") == "error").project(error_id=c("event_id"), at=c("ts")), events_as_log(t), "at", "10m", ("Timestamp", "EventId")),
+        f"SELECT e.event_id AS error_id, ts AS at, \"Timestamp\", \"EventId\" FROM events e JOIN {_LOG} ON \"Timestamp\" BETWEEN ts - INTERVAL 10 MINUTE AND ts + INTERVAL 10 MINUTE WHERE event_type = 'error'",
+    ),
 }

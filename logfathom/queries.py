@@ -128,6 +128,11 @@ def sort_nulls(t):
     return t("customer").project("c_custkey", k=F.when(c("c_acctbal") > 0, c("c_nationkey"))).sort_by(("k", "asc"), "c_custkey").take(300)
 
 
+@query("SELECT c_custkey, k FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS k FROM customer) ORDER BY k NULLS FIRST, c_custkey DESC")
+def sort_nulls_whole(t):
+    return t("customer").project("c_custkey", k=F.when(c("c_acctbal") > 0, c("c_nationkey"))).sort_by(("k", "asc"), "c_custkey")
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY user_id, event_id LIMIT 50")
 def take_sorted(t):
     return t("events").sort_by(("event_id", "asc")).sort_by(("user_id", "asc")).take(50).project("event_id", "user_id")
@@ -157,10 +162,11 @@ def _join(kind: str, sql: str) -> None:
     query(sql.format(l=_LEFT, r=_RIGHT))(run)
 
 
-for _kind, _sql in {
+_JOINS = {
     "inner": "SELECT * FROM {l} JOIN {r} ON c_custkey = o_custkey", "leftouter": "SELECT * FROM {l} LEFT JOIN {r} ON c_custkey = o_custkey", "rightouter": "SELECT * FROM {l} RIGHT JOIN {r} ON c_custkey = o_custkey", "fullouter": "SELECT * FROM {l} FULL JOIN {r} ON c_custkey = o_custkey",
     "leftsemi": "SELECT * FROM {l} WHERE c_custkey IN (SELECT o_custkey FROM {r})", "leftanti": "SELECT * FROM {l} WHERE c_custkey NOT IN (SELECT o_custkey FROM {r})", "rightsemi": "SELECT * FROM {r} WHERE o_custkey IN (SELECT c_custkey FROM {l})", "rightanti": "SELECT * FROM {r} WHERE o_custkey NOT IN (SELECT c_custkey FROM {l})",
-}.items():
+}
+for _kind, _sql in _JOINS.items():
     _join(_kind, _sql)
 
 
@@ -182,6 +188,33 @@ def join_null_keys(t):
     return a.join(b, "k", "inner")
 
 
+# The same over whole tables: sides without a partner by segment and order status, one null key a side.
+
+_WHOLE_LEFT = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')"
+_WHOLE_RIGHT = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F')"
+
+
+def _join_whole(kind: str, sql: str) -> None:
+    def run(t):
+        left = t("customer").where(c("c_mktsegment") != "BUILDING").project("c_custkey", "c_mktsegment")
+        right = t("orders").where(c("o_orderstatus") != "F").project("o_orderkey", "o_custkey", "o_totalprice")
+        return left.join(right, [("c_custkey", "o_custkey")], kind)
+
+    run.__name__ = f"join_{kind}_whole"
+    query(sql.format(l=_WHOLE_LEFT, r=_WHOLE_RIGHT))(run)
+
+
+for _kind, _sql in _JOINS.items():
+    _join_whole(_kind, _sql)
+
+
+@query("SELECT a.k, a.o_orderkey, b.k AS k1, b.c_name FROM (SELECT nullif(o_custkey, 7) AS k, o_orderkey FROM orders) a JOIN (SELECT nullif(c_custkey, 7) AS k, c_name FROM customer) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_null_keys_whole(t):
+    a = t("orders").project(k=F.nullif(c("o_custkey"), F.lit(7)), o_orderkey=c("o_orderkey"))
+    b = t("customer").project(k=F.nullif(c("c_custkey"), F.lit(7)), c_name=c("c_name"))
+    return a.join(b, "k", "inner")
+
+
 # ---- unions ----
 
 
@@ -375,6 +408,14 @@ def fn_ipv4(t):
     return t("customer").where(x < 65536).project("c_custkey", n=fn.parse_ipv4(address), p=fn.ipv4_is_private(address))
 
 
+@query("SELECT o_orderkey, n, n >> 24 IN (0, 10, 127) OR n >> 28 = 15 OR n >> 20 = 2753 OR n >> 16 IN (43518, 49320) OR n >> 17 = 25353 OR n >> 8 IN (12582914, 12989284, 13303921) OR n >> 3 = 402653184 OR n >> 1 = 1610612821 AS p FROM (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders)")
+def fn_ipv4_whole(t):
+    x = (c("o_orderkey") * F.lit(2654435761)) % F.lit(4294967296)
+    octet = lambda k: F.shiftright(x, k).bitwiseAND(F.lit(255))
+    address = fn.strcat(octet(24), ".", octet(16), ".", octet(8), ".", octet(0))
+    return t("orders").project("o_orderkey", n=fn.parse_ipv4(address), p=fn.ipv4_is_private(address))
+
+
 # ---- lets, subqueries, time range ----
 
 
