@@ -12,7 +12,8 @@ With 42 bands of 6 rows a pair of similarity 0.8 shares no bucket with probabili
 Edge cases: a text with fewer words than a shingle is one shingle; a null, empty or blank
 text has none and links with nothing; rows that share a doc_id are one node; a null doc_id
 is linked with nothing, has a null component and is kept; repeated rows are copies; an
-empty table gives an empty one; other columns pass through ``deduplicated`` unchanged.
+empty table gives an empty one; other columns pass through ``deduplicated`` unchanged, which
+knows rows by id and text, so that null and repeated ids are no exception there.
 """
 
 from __future__ import annotations
@@ -192,7 +193,19 @@ def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame, docs: DataFr
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id (exact copies of that row once)."""
-    judged = near_duplicates(docs, n, percent)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component, the one with the smallest doc_id (null last; of rows with equal id and text, one).
+
+    A row is known by its id and text: a null id is no bar to being a copy, and of texts that
+    share an id only those that are copies go.
+    """
+    rows = docs.withColumn("_node", F.xxhash64("doc_id", "text"))
+    nodes = staged(rows.groupBy("_node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
+    judged = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), n, percent)
+    linked = judged.select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_comp")).distinct().join(nodes, "_node")
+    best = linked.groupBy("_comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node"))["_node"].alias("_best"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    gone = staged(linked.join(best, "_comp").where("_node <> _best").select("_node"))
+    # texts stay where they are but for rows that are repeated
+    repeated = nodes.where("_n > 1").select("_node")
+    left = rows.join(gone, "_node", "left_anti")
+    once, again = left.join(repeated, "_node", "left_anti"), left.join(repeated, "_node", "left_semi")
+    return once.unionByName(again.dropDuplicates(["_node"])).select(*docs.columns)
