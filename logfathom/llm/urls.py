@@ -1,9 +1,11 @@
 """URL filter: rules, and for the rest host word segmentation with multinomial naive Bayes.
 
 Concatenated host names are split into words by Viterbi over a unigram model, which is
-counted from the titles and URLs of the corpus without the hosts. Host words and path tokens are scored by
+counted from the titles and URLs of the corpus without the hosts: the parts of each distinct
+name are looked up in the table of all words. Host words and path tokens are scored by
 naive Bayes with two classes; no labels exist, so hosts with a seed word teach the blocked
-class and the others the allowed one.
+class and the others the allowed one. Weights are a table of all tokens; tasks hold those of
+the most frequent ones, the others are joined and summed a page.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, meets no rule and
 is judged by the prior alone; repeated rows give repeated results; on an empty table the
@@ -19,6 +21,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .common import staged
 
@@ -29,8 +32,11 @@ RULES: tuple[Rule, ...] = (("block", "com", "en/"), ("allow", "example.com", "en
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "warez", "xxx")
 #: Labels that make a public suffix with the country after them, as in co.uk.
 SECOND_LEVEL = frozenset(("ac", "co", "com", "edu", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"))
-#: The models keep so many words, the most frequent ones, so that they fit into every task.
-MAX_WORDS = 100_000
+#: The most frequent tokens whose weights every task holds; it changes no verdict.
+CACHED_TOKENS = 100_000
+#: A label of a host has no more letters than this, so longer words stand in none.
+LABEL = 63
+STRINGS = ArrayType(StringType())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER_SCHEME = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,9 +61,9 @@ def rule_of(rules: Sequence[Rule], h: Column, p: Column) -> tuple[Column, Column
 class Segmenter:
     """Splits a name into the most probable words; unknown letters cost more than any known word."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
         self.counts = counts
-        self.total = math.log(sum(counts.values()) + 1)
+        self.total = math.log((sum(counts.values()) if total is None else total) + 1)
         self.longest = max(map(len, counts), default=1)
         self.memo: dict[str, tuple[str, ...]] = {}
 
@@ -98,54 +104,79 @@ def own_labels(h: str) -> list[str]:
     return labels[:-1] or labels
 
 
-def url_tokens(h: str, p: str, seg: Segmenter) -> list[str]:
-    """``h:`` words of the host's labels before its public suffix, ``p:`` path tokens; digits are one token."""
-    names = own_labels(h)
-    words = [w for x in names for part in re.findall(r"[^\W\d_]+", x) for w in seg.split(part)]
-    return [f"h:{w}" for w in words] + ["p:#" if t.isdigit() else f"p:{t.lower()}" for t in re.findall(r"\w+", p)]
+@F.arrow_udf(STRINGS)
+def _names(h: pa.Array) -> pa.Array:
+    """Runs of letters in the labels of each host."""
+    return pa.array([[x for name in own_labels(v) for x in re.findall(r"[^\W\d_]+", name)] for v in h.to_pylist()], pa.list_(pa.string()))
 
 
-def word_counts(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    """Counts of the words of all titles and URLs without hosts; the most frequent ``max_words``."""
+@F.arrow_udf(STRINGS)
+def _parts(names: pa.Array) -> pa.Array:
+    return pa.array([list({x[a:b] for a in range(len(x)) for b in range(a + 2, min(a + LABEL, len(x)) + 1)}) for x in names.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(STRINGS)
+def _path_tokens(p: pa.Array) -> pa.Array:
+    """``p:`` tokens of each path; digits are one token."""
+    return pa.array([["p:#" if t.isdigit() else f"p:{t.lower()}" for t in re.findall(r"\w+", x)] for x in p.to_pylist()], pa.list_(pa.string()))
+
+
+def word_counts(pages: DataFrame, seeds: Sequence[str]) -> DataFrame:
+    """(w, c): counts of all words of titles and URLs without hosts; a seed has two at least."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^.*?://[^/?#]*", "")  # a host must not teach that its name is one word
     text = F.lower(F.concat_ws(" ", title, rest))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where("length(w) between 2 and 24")
-    top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(max_words)
-    return {r["w"]: r["count"] for r in top.collect()}
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(f"length(w) between 2 and {LABEL}").groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    known = pages.sparkSession.createDataFrame([(w, 2) for w in seeds], "w string, c long")
+    return words.unionByName(known).groupBy("w").agg(F.max("c").alias("c"))
 
 
-def _tokens_udf(seg_counts: dict[str, int]):
-    seg = Segmenter(seg_counts)
+def host_tokens(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, host_tokens): the ``h:`` words of each distinct host."""
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
-    @F.arrow_udf("array<string>")
-    def tokens(h: pa.Array, p: pa.Array) -> pa.Array:
-        return pa.array([url_tokens(a, b, seg) for a, b in zip(h.to_pylist(), p.to_pylist(), strict=True)], pa.list_(pa.string()))
+    @F.arrow_udf(STRINGS)
+    def split(names: pa.Array, found: pa.Array) -> pa.Array:
+        rows = zip(names.to_pylist(), found.to_pylist(), strict=True)
+        return pa.array([[f"h:{w}" for w in Segmenter({x["w"]: x["c"] for x in f or ()}, total).split(n)] for n, f in rows], pa.list_(pa.string()))
 
-    return tokens
+    placed = hosts.select("host", F.posexplode(_names("host")).alias("pos", "name"))
+    names = placed.select("name").distinct()
+    parts = names.select("name", F.explode(_parts("name")).alias("w")).join(words, "w")
+    found = parts.groupBy("name").agg(F.collect_list(F.struct("w", "c")).alias("found"))
+    known = names.join(found, "name", "left").select("name", split("name", "found").alias("words"))
+    one = placed.join(known, "name").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("x"))
+    return hosts.join(one, "host", "left").select("host", F.coalesce(F.flatten("x.words"), F.array().cast("array<string>")).alias("host_tokens"))
 
 
-def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, seeds: Sequence[str] = SEEDS, max_words: int = MAX_WORDS) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, seeds: Sequence[str] = SEEDS, cached: int = CACHED_TOKENS) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, and the classifier's ``score`` (log odds of block)."""
-    counts = word_counts(pages, max_words)
-    known = counts | {s: max(counts.get(s, 0), 2) for s in seeds}
-    rows = pages.select("page_id", host().alias("host"), path().alias("path"))
-    rows = staged(rows.withColumn("tokens", _tokens_udf(known)(F.col("host"), F.col("path"))))
+    urls = pages.select("page_id", host().alias("host"), path().alias("path"))
+    split = staged(host_tokens(urls.select("host").distinct(), staged(word_counts(pages, seeds))))
+    rows = staged(urls.join(split, "host").select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", F.concat("host_tokens", _path_tokens("path")).alias("tokens")))
     bad = F.arrays_overlap("tokens", F.array(*(F.lit(f"h:{s}") for s in seeds)))
     seen = rows.select(bad.alias("bad"), "tokens")
     n_bad, n = seen.agg(F.count_if("bad"), F.count(F.lit(1))).first()
-    by_token = seen.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    by_token = staged(seen.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")))
     total = by_token.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0)), F.count(F.lit(1))).first()
-    top = by_token.orderBy(F.desc(F.col("b") + F.col("g")), "t").limit(max_words).collect()
     v = total[2] + 1
     rest = math.log((total[1] + v) / (total[0] + v))
-    weights = {r["t"]: math.log((r["b"] + 1) / (r["g"] + 1)) + rest for r in top}
+    weight = F.log((F.col("b") + 1) / (F.col("g") + 1)) + rest
+    top = by_token.orderBy(F.desc(F.col("b") + F.col("g")), "t").limit(cached).select("t", weight.alias("x")).collect()
+    weights = {r["t"]: r["x"] for r in top}
     prior = math.log((n_bad + 1) / (n - n_bad + 1))
 
     @F.arrow_udf("double")
     def log_odds(tokens: pa.Array) -> pa.Array:
-        return pa.array([prior + sum(weights.get(t, rest) for t in ts) for ts in tokens.to_pylist()], pa.float64())
+        return pa.array([prior + sum(weights.get(t, 0.0) for t in ts) for ts in tokens.to_pylist()], pa.float64())
+
+    @F.arrow_udf(STRINGS)
+    def others(tokens: pa.Array) -> pa.Array:
+        return pa.array([[t for t in ts if t not in weights] for ts in tokens.to_pylist()], pa.list_(pa.string()))
 
     text, action = rule_of(rules, F.col("host"), F.col("path"))
     scored = rows.withColumn("score", log_odds(F.col("tokens")))
+    if total[2] > len(top):
+        rare = rows.select("row", F.explode(others("tokens")).alias("t")).join(by_token.select("t", weight.alias("x")), "t")
+        scored = scored.join(rare.groupBy("row").agg(F.sum("x").alias("x")), "row", "left").withColumn("score", F.col("score") + F.coalesce("x", F.lit(0.0)))
     return scored.select("page_id", "host", "path", text.alias("rule"), F.coalesce(action, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")

@@ -378,6 +378,16 @@ def test_registrable_names_are_segmented(spark):
     assert (got[0], got[1], got[100], got[101]) == ("block", "allow", "block", "allow")
 
 
+def test_url_tokens_have_no_cap(spark, sf_dir, monkeypatch):
+    rows = [(k, f"http://a{k % 9}.spam.com/x{'abcdefgh'[k % 8]}/only{'abc'[k % 3]}", "<title>spam</title>") for k in range(30)] + [(99, "http://cheapsofas.org/q", "<title>cheap sofas</title>"), (None, None, None), (0, "http://a0.spam.com/xa/onlya", None)]
+    for df in (table(spark, sf_dir, "pages"), spark.createDataFrame(rows, "page_id long, url string, html string")):
+        want = sorted((str(r["page_id"]), str(r["host"]), r["path"], r["verdict"], round(r["score"], 9)) for r in urls.judged(df).collect())
+        got = sorted((str(r["page_id"]), str(r["host"]), r["path"], r["verdict"], round(r["score"], 9)) for r in urls.judged(df, urls.RULES, urls.SEEDS, 2).collect())
+        assert got == want and len(got) == df.count()
+    found = urls.host_tokens(df.select(urls.host().alias("host")).distinct(), urls.word_counts(df, urls.SEEDS)).collect()
+    assert {r["host"]: r["host_tokens"] for r in found}["cheapsofas.org"] == ["h:cheap", "h:sofas"]  # words met once
+
+
 def test_segmentation():
     seg = urls.Segmenter({"cheap": 50, "pills": 40, "heap": 3, "free": 60, "bets": 30, "a": 100})
     assert seg.split("cheappills") == ("cheap", "pills") and seg.split("freebets") == ("free", "bets") and seg.split("xyz") == ("xyz",) and seg.split("") == ()
