@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks), ("secrets", redact_secrets), ("mixing", mix_sources)]
-#: Toxicity scores and signatures have no SQL; tests compare the stages with brute force.
+#: Toxicity scores and signatures have no SQL; tests compare near_duplicates with brute force, the other stages by ids and counts.
 ORACLE_SQL = None
 
 
