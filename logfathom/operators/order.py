@@ -26,9 +26,14 @@ def numbered(df: DataFrame, order: Sequence[Column], number: str = NUMBER) -> Da
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="logfathom-"))
+            top = "file://" + tempfile.mkdtemp(prefix="logfathom-")
+        sc.setCheckpointDir(top)
     parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     before, total = {}, 0
     for r in parts.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
