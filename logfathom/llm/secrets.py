@@ -5,8 +5,8 @@ was found is an anchored pattern tried. Kinds whose format carries a checksum ar
 only if it fits. Runs of hexadecimal digits have no keyword; one pattern scans for them.
 
 Edge cases: a null or empty text has no spans; texts of any length are scanned whole;
-repeated rows give repeated results; an empty table gives an empty one; a column named
-like an output is replaced.
+repeated rows give repeated results; an empty table gives an empty one. ``with_secret_spans``
+replaces a column named like its output; ``redact`` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 KEYWORDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "npm": ("npm_",), "jwt": ("eyj",)}
+#: A decoded token header with more brackets than this is none.
+MAX_NESTING = 100
+#: Where the first part of a token ends: no later start before it can match if this one does not.
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,7 +54,10 @@ def crc_base62(body: str) -> str:
 
 def _jwt_header(part: str) -> bool:
     try:
-        head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+        raw = base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+        if raw.count(b"[") + raw.count(b"{") > MAX_NESTING:  # no header nests so deeply; the parser would recurse
+            return False
+        head = json.loads(raw)
     except ValueError:
         return False
     return isinstance(head, dict) and "alg" in head
@@ -86,10 +93,14 @@ def spans(text: str | None) -> list[tuple[int, str, int]]:
     hits = [(last - n + 1, kind) for last, (kind, n) in automaton().iter(lowered)]
     for start, kind in sorted(hits):
         pattern, valid = RULES[kind]
-        if start >= past[kind] and (m := pattern.match(text, start)):
+        if start < past[kind]:
+            continue
+        if m := pattern.match(text, start):
             past[kind] = m.end()
             if valid(m):
                 found.append((start, kind, m.end()))
+        elif kind == "jwt":  # so that a long run of starts is scanned once
+            past[kind] = JWT_RUN.match(text, start).end()
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
@@ -123,8 +134,9 @@ def _redacted(text: pa.Array, found: pa.Array) -> pa.Array:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace each secret (overlapping ones together) by its first kind in brackets; texts without one stay as they are."""
-    found = with_secret_spans(df, text, "_found")
-    return found.withColumn(text, F.when(F.size("_found") > 0, _redacted(F.col(text), F.col("_found"))).otherwise(F.col(text))).drop("_found")
+    found = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), _spans(F.col(text)).alias("found"))
+    clean = F.when(F.size("found") > 0, _redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    return found.withColumn("row", F.col("row").withField(text, clean)).select("row.*")
 
 
 def digest(df: DataFrame, text: str = "text") -> DataFrame:
