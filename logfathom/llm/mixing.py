@@ -7,7 +7,8 @@ alone; nothing is sorted. The thresholds are nested: a larger budget takes a sup
 
 Edge cases: a null source is a source of its own, ordered last; a null or empty text has
 size 0 and is never taken; rows with equal ``doc_id`` and text share a hash and are taken
-together; an empty table gives an empty one.
+together; texts of any length are counted whole; an empty table gives an empty one; ``mix``
+keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import NUMBER, numbered
 from .common import staged, word_count
 
 BITS, LEVELS = 12, 5
@@ -33,22 +35,21 @@ def row_hash() -> Column:
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``target`` per source (columns ``source``, ``source_size``): shares by weight, none above ``most`` times its size.
 
-    What a capped source leaves goes to the others by weight. In the order of cap over
-    weight, the first source that its share does not fill sets the level for the rest.
-    One row a source, so the windows stay small.
+    What a capped source leaves goes to the others by weight: each round raises the level
+    per unit of weight by what the sources below it leave, until no further one is capped.
+    A round is one aggregate; caps and weights are whole numbers, so sums are exact and
+    reruns agree. Ties and the null source need no order but that of the weights.
     """
-    n = len(weights)
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(n)) + 1).cast("int")).cast("double")
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    rest = fill.rowsBetween(0, Window.unboundedFollowing)
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    t = sizes.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    t = t.withColumn("level", level)
-    found = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "source", "level"))).over(everything)["level"]
-    return t.withColumn("found", found).select("source", "source_size", F.coalesce(F.least("cap", F.col("found") * F.col("weight")), "cap").alias("target"))
+    rank = F.pmod(F.col(NUMBER) - 1, F.lit(len(weights))).cast("int") + 1
+    rows = numbered(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()])
+    t = staged(rows.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), rank).cast("double").alias("weight"), (most * F.col("source_size")).alias("cap")))
+    level, before = 0.0, -1.0
+    while level is not None and level != before:
+        before, free = level, F.col("cap") > level * F.col("weight")
+        spent, units, total = t.agg(F.sum(F.when(~free, F.col("cap"))), F.sum(F.when(free, F.col("weight"))), F.sum("source_size")).first()
+        level = (share * total - (spent or 0.0)) / units if units else None
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return t.select("source", "source_size", target.alias("target"))
 
 
 def _with(rows: DataFrame, per_source: DataFrame) -> DataFrame:
@@ -87,13 +88,19 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return done.select("source", "cut", "closed")
 
 
-def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """``docs`` without its text, with size, source_size, target (its source's) and taken (0, 1 or 2 times its size)."""
-    rows = staged(docs.select("doc_id", "source", word_count("text").alias("size"), row_hash().alias("hash")))
+def _times(rows: DataFrame) -> tuple[Column, Column, DataFrame]:
+    """How often a row is taken, as a sum of two columns over ``rows`` with their source's line of the third."""
     plan = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     cuts = staged(plan.join(thresholds(rows, plan).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"))
-    whole = (F.col("target") >= F.col("source_size")).cast("long")
+    whole = (F.col("target") >= F.col("source_size")).cast("int")
     more = F.when(F.col("cut").isNull() | (F.col("hash") < F.col("cut")) | (F.col("closed") & (F.col("hash") == F.col("cut"))), 1).otherwise(0)
+    return whole, more, cuts
+
+
+def mixed_sizes(docs: DataFrame) -> DataFrame:
+    """``docs`` without its text, with size, source_size, target (its source's) and taken (0, 1 or 2 times its size)."""
+    rows = staged(docs.select("doc_id", "source", word_count("text").alias("size"), row_hash().alias("hash")))
+    whole, more, cuts = _times(rows)
     return _with(rows, cuts).select("doc_id", "source", "hash", "size", "source_size", "target", (F.col("size") * (whole + more)).cast("long").alias("taken"))
 
 
@@ -104,10 +111,7 @@ def mix(docs: DataFrame) -> DataFrame:
     table of thresholds.
     """
     rows = staged(docs.select("source", word_count("text").alias("size"), row_hash().alias("hash")))
-    plan = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    cuts = staged(plan.join(thresholds(rows, plan).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"))
-    whole = (F.col("_target") >= F.col("_source_size")).cast("int")
-    more = F.when(F.col("_cut").isNull() | (F.col("_hash") < F.col("_cut")) | (F.col("_closed") & (F.col("_hash") == F.col("_cut"))), 1).otherwise(0)
-    small = cuts.select("source", *(F.col(c).alias(f"_{c}") for c in ("source_size", "target", "cut", "closed")))
-    times = F.when(word_count("text") > 0, whole + more).otherwise(0)
-    return _with(docs.withColumn("_hash", row_hash()), small).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_one")).drop("_one")
+    whole, more, cuts = _times(rows)
+    here = docs.select(F.struct("*").alias("row"), "source", word_count("text").alias("size"), row_hash().alias("hash"))
+    times = F.when(F.col("size") > 0, whole + more).otherwise(0)
+    return _with(here, cuts).select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
