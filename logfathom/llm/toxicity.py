@@ -28,8 +28,9 @@ from .common import staged
 
 #: At most so many labelled rows of each class, those with the smallest hashes, teach lexicon and weights.
 MAX_LABELLED = 10_000
-#: A term is in this share of the toxic texts at least (and in 5), and has such log odds.
-MIN_SHARE, MIN_TEXTS, MIN_ODDS, MAX_TERMS = 0.02, 5, 3.0, 500
+#: A term is in so many toxic texts of the sample at least, and has such log odds. All such terms are kept;
+#: as the sample is bounded, so are they.
+MIN_TEXTS, MIN_ODDS = 8, 3.0
 STEMS, FUZZY_LENGTH, WINDOW = (4, 5, 6), 5, 6
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -126,24 +127,24 @@ def quoted(text: str, start: int, end: int) -> bool:
     return opened or any(w in REPORTING for w in near)
 
 
-FEATURES = 5
+FEATURES = 6
 
 
 def evidence(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Evidence of terms used and quoted, by distinct term, of misspelled ones, hits, and their density."""
+    """Evidence of terms used and quoted, by distinct term, the same of misspelled ones, hits, and their density."""
     text = text or ""
     words = WORD.findall(text.lower())
     hits = {w: m for w in set(words) if (m := lexicon.match(w))}
     if not hits:
         return [0.0] * FEATURES
-    used, said, odd, n = {}, {}, {}, 0
+    found: tuple[dict, ...] = ({}, {}, {}, {})  # used, quoted; misspelled: used, quoted
+    n = 0
     for m in WORD.finditer(text):
         if hit := hits.get(m[0].lower()):
             k, edits = hit
             n += 1
-            into = odd if edits else said if quoted(text, m.start(), m.end()) else used
-            into[k] = lexicon.terms[k].weight
-    return [*(math.log1p(sum(x.values())) for x in (used, said, odd)), math.log1p(n), min(1.0, 20 * n / len(words))]
+            found[2 * (edits > 0) + quoted(text, m.start(), m.end())][k] = lexicon.terms[k].weight
+    return [*(math.log1p(sum(x.values())) for x in found), math.log1p(n), min(1.0, 20 * n / len(words))]
 
 
 def _crc(mod: int = 3):
@@ -176,9 +177,8 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     kinds = [F.struct(F.col("w").alias("t"), F.lit(False).alias("stem"))] + [F.when(F.length("w") >= k, F.struct(F.substring("w", 1, k).alias("t"), F.lit(True).alias("stem"))) for k in STEMS]
     terms = words.select("h", "toxic", F.explode(F.array(*kinds)).alias("f")).where("f is not null").select("h", "toxic", "f.*").distinct()
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    least = max(MIN_TEXTS, MIN_SHARE * n1)
-    counted = terms.groupBy("t", "stem").agg(F.count_if("toxic").alias("c1"), F.count_if(~F.col("toxic")).alias("c0")).where(F.col("c1") >= least).withColumn("odds", odds)
-    rows = counted.where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "t", "stem").limit(10 * MAX_TERMS).collect()
+    counted = terms.groupBy("t", "stem").agg(F.count_if("toxic").alias("c1"), F.count_if(~F.col("toxic")).alias("c0")).where(F.col("c1") >= MIN_TEXTS).withColumn("odds", odds)
+    rows = counted.where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "t", "stem").collect()
     whole = {r["t"]: r for r in rows if not r["stem"]}
     chosen: list[Term] = []
     for r in sorted((r for r in rows if r["stem"]), key=lambda r: (len(r["t"]), r["t"])):
@@ -187,7 +187,7 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
             continue  # a shorter stem has it, or it is one word in fact
         chosen.append(Term(r["t"], True, r["odds"]))
     chosen += [Term(t, False, w["odds"]) for t, w in sorted(whole.items()) if not any(t.startswith(c.text) for c in chosen)]
-    return sorted(chosen, key=lambda t: (-t.weight, t.text))[:MAX_TERMS]
+    return sorted(chosen, key=lambda t: (-t.weight, t.text))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
