@@ -105,7 +105,10 @@ def _verifier(n: int, percent: int):
             out = []
             for c, m, is_member, raw in zip(batch.column("center").to_pylist(), batch.column("member").to_pylist(), batch.column("is_member").to_pylist(), doc_bytes(batch.column("text")), strict=True):
                 if not is_member:  # a star's center comes before its members
-                    centers = [*centers, raw] if c == center else [raw]
+                    if c != center:
+                        centers = [raw]
+                    elif raw not in centers:  # rows repeated under one doc_id are one text
+                        centers.append(raw)
                     center = c
                     continue
                 mine = shingle_set(raw, n)
@@ -198,7 +201,7 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     A row is known by its id and text: a null id is no bar to being a copy, and of texts that
     share an id only those that are copies go.
     """
-    rows = docs.withColumn("_node", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_node"))
     nodes = staged(rows.groupBy("_node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
     judged = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), n, percent)
     linked = judged.select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_comp")).distinct().join(nodes, "_node")
@@ -208,4 +211,4 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     repeated = nodes.where("_n > 1").select("_node")
     left = rows.join(gone, "_node", "left_anti")
     once, again = left.join(repeated, "_node", "left_anti"), left.join(repeated, "_node", "left_semi")
-    return once.unionByName(again.dropDuplicates(["_node"])).select(*docs.columns)
+    return once.unionByName(again.dropDuplicates(["_node"])).select("_row.*")
