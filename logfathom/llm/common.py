@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is unset (a local session, as in tests), a temporary folder serves.
+    Where that setting is unset, a temporary folder serves a local session; on a cluster, whose
+    executors would write to folders of their own, it is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="logfathom-")
         spark.sparkContext.setCheckpointDir(top)
         spark.conf.set("spark.checkpoint.dir", top)

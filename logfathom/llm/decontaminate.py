@@ -97,5 +97,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Data
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows in which an item is found. Rows with a null doc_id are judged like others."""
-    bad = contained(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contained(docs, items, threshold).select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # names of other columns cannot clash
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

@@ -1,16 +1,19 @@
 """Each numbered operator against a brute-force version, on a small table and on edge cases."""
 
+import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from logfathom.llm import decontaminate, katz, mixing, neardup, quality, queries, secrets, substrings, toxicity, urls, warc
+from logfathom.llm import components, decontaminate, katz, mixing, neardup, quality, queries, secrets, substrings, toxicity, urls, warc
 from logfathom.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -175,6 +178,8 @@ def test_quotation_lowers_the_evidence():
     used, quoted = toxicity.evidence("you are an idiot and always were", lex), toxicity.evidence('they called him "idiot" yesterday', lex)
     assert used[0] > 0 and used[1] == 0 and quoted[0] == 0 and quoted[1] > 0
     assert toxicity.evidence("such an idoot", lex)[2] > 0
+    odd = toxicity.evidence('they called him "idoot" yesterday', lex)
+    assert odd[2] == 0 and odd[3] > 0
 
 
 def test_mixing(docs, local, spark):
@@ -216,6 +221,18 @@ def test_mixing(docs, local, spark):
         kept[r["doc_id"]] += len(words(r["text"]))
     assert +kept == +taken
     assert mixing.mixed_sizes(docs.limit(0)).count() == 0
+    clash = docs.select("doc_id", "text", "source", F.lit("x").alias("_hash"), F.lit(7).alias("row"), F.lit(None).cast("string").alias("_one"))
+    out = mixing.mix(clash)
+    assert out.columns == clash.columns and {tuple(r)[3:] for r in out.collect()} == {("x", 7, None)}
+
+
+def test_mixing_targets_with_ties_and_a_null_source(spark):
+    df = spark.createDataFrame([("a", 500), ("b", 200), (None, 100)], "source string, source_size long")
+    assert {r["source"]: r["target"] for r in mixing.targets(df).collect()} == {"a": 750.0, "b": 300.0, None: 150.0}
+    same = spark.createDataFrame([(s, 0) for s in ("a", "b", None)], "source string, source_size long")
+    assert {r["target"] for r in mixing.targets(same).collect()} == {0.0}
+    one = spark.createDataFrame([(None, 10), ("z", 1000)], "source string, source_size long")
+    assert {r["source"]: r["target"] for r in mixing.targets(one).collect()} == {None: 20.0, "z": 1495.0}
 
 
 def brute_repeats(rows, n=20):
@@ -421,6 +438,15 @@ def test_secret_checksums_and_redaction(spark):
     good = f"ghp_{body}{secrets.crc_base62(body)}"
     assert [k for _, k, _ in secrets.spans(f"use {good} now")] == ["github"]
     assert secrets.spans(f"use ghp_{body}000000 now") == []
+    deep = base64.urlsafe_b64encode(('{"a":' + "[" * 20_000).encode()).decode().rstrip("=")
+    assert secrets.spans(f"x {deep}.abc.def y") == []
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    assert [k for _, k, _ in secrets.spans("eyJ" * 40_000 + f" {head}.abc.def")] == ["jwt"]
+    start = time.monotonic()
+    assert secrets.spans("eyJ" * 200_000) == []
+    assert time.monotonic() - start < 5
+    clash = spark.createDataFrame([(1, "password=hunter22", "keep", 5)], "doc_id long, text string, _found string, row int")
+    assert [tuple(r) for r in secrets.redact(clash).collect()] == [(1, "[assign]", "keep", 5)]
     df = spark.createDataFrame([(1, f"é {good} and password=hunter22 end"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {1: "é [github] and [assign] end", 2: "clean", 3: None}
 
@@ -462,6 +488,33 @@ def test_near_duplicates(spark, docs, local, n):
     assert neardup.near_duplicates(df.limit(0), n=n).count() == 0
 
 
+def test_names_of_other_columns_do_not_clash(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 1, 2, 3, 4, "a"), (2, text, 1, 2, 3, 4, "b"), (3, "other words that are in no item at all", 1, 2, 3, 4, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _bad int, _gone int, _node int, row int, bad string")
+    assert [tuple(r) for r in neardup.deduplicated(df).orderBy("doc_id").collect()] == [rows[0], rows[2]]
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminated(df, items).collect()] == [rows[2]]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_LINKS", 3)
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (120, 2))] + [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(700, 740)]
+    up = list(range(800))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
+
+
 def test_queries_run_over_whole_tables(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     assert queries.op9_secrets(spark, sf_dir).count() == n
