@@ -1,157 +1,353 @@
-"""Language-model scoring: Katz backoff over words, with Good-Turing discounts.
-
-The model has all words and all pairs of neighbours of the training texts, and an end token.
-The probability of a token is that of the pair (previous token, token), discounted, if the pair
-was met, else the history's backoff weight times the token's own probability; words never met
-have one share of it. The backoff weights make each history's probabilities sum to one exactly:
-what the discounts leave, over what the tokens outside the history's pairs have on their own.
-
-Words are known by 64-bit hashes, pairs by the hashes of history and word. Counts, discounted
-pairs, histories and words are tables partitioned by key. Words and pairs are first summed
-inside each task. For scoring, every task knows the ``CACHED_WORDS`` most frequent words with
-their backoff weights and the ``HOT_PAIRS`` most frequent pairs, which only saves questions;
-keys that these do not answer go, packed, to the task that holds their partition of the tables.
-That adds them up for each text and returns the sums packed, one row a bucket of texts, and the
-buckets are added up: nothing is made a word or a text and partition.
-
-With ``max_vocabulary`` given, all but so many words are one class, in which a word has its
-share, and pairs met less often than ``CLASS_MIN_COUNT`` are not stored; ``op7_katz`` does not.
+"""Language-model scoring: Katz backoff over words, with Good-Turing discounts, order 3.
+
+The model has all words, pairs and triples of neighbours of the training texts, an end token
+and two start tokens before each text. A token's probability is evaluated recursively: that
+of its triple, discounted, if it was met, else the history's backoff weight times what the
+shorter history gives, and so on to the word alone; words never met have one share of it. A
+history that was never met passes on to the shorter one. Backoff weights make each history's
+probabilities sum to one exactly: what the discounts leave, over what the tokens outside the
+history's own have by the shorter history. A history whose tokens were all met too often to
+be discounted sets one count aside.
+
+Tables (all in the shared folder): ``words`` (key, c), and one table partitioned by kind with
+a packed row a partition of n-grams: ``grams`` (counts, by last history word, word, and word
+before), ``asked`` (what the texts need of that partition), ``head`` (the texts' own sums).
+An n-gram lies in the partition of its last history word, so that pairs, triples and both
+histories' sums meet in one task after one shuffle. A history word with more tokens than half
+a partition holds is hot: its n-grams are dealt by word as well, its sums are added up as
+rows, and what is asked of it waits for those sums. Triples of other words that were met need
+only their text's counts by how often they were met, as the discounts are known last.
+
+Words are known by 63-bit hashes. Tasks hold the most frequent words (``CACHED_WORDS`` at
+most, a short code each), which only makes packed rows smaller; the counts of the others are
+joined by partition and word.
 
 Edge cases: a null, empty or blank text is its end token; texts of any length are scored
 whole; repeated rows get equal rows; a null doc_id counts as training; without training
 texts every token is unknown and the base probability is 0.5 / 0.5 at N = V = 0; an empty
-table gives an empty one; other columns are not read.
+table gives an empty one; other columns are not read. The rows of ``docs`` must come in the
+same order if a lost task reads them again, as those of files and written tables do.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, Observation
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bytes, mixed, staged
+from .common import LAST, doc_bytes, mixed, released, staged
 
-#: What each scoring task holds of the model; it changes no score.
-CACHED_WORDS, HOT_PAIRS = 65_000, 65_536
-#: Good-Turing discounts hold up to this count; only models with a class of words drop pairs.
-DISCOUNT_UP_TO, CLASS_MIN_COUNT = 5, 2
-#: Keys and stored pairs in a partition of the scoring, words in a task's batch, distinct entries before a task's sums are sent on.
-GROUP_KEYS, GROUP_PAIRS, BATCH_WORDS, FLUSH = 4_000_000, 1_500_000, 500_000, 400_000
+#: Most words that tasks have a code for; it changes no score.
+CACHED_WORDS = 500_000
+#: Good-Turing discounts hold up to this count.
+DISCOUNT_UP_TO = 5
+#: Tokens in a partition of the n-grams, and in a batch of texts.
+PART_TOKENS, BATCH_TOKENS = 1_500_000, 1_000_000
 END = b""
-SIGN = -(2**63)
+RARE = np.uint64(1 << 63)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+ROWS = "kind string, part int, uid long, key long, vec array<long>, q double, blob binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.binary())
 
 
-def word_key(word: bytes) -> int:
-    """Spark's ``xxhash64`` of the word, with the sign bit: keys of pairs have none."""
-    return (xxhash.xxh64_intdigest(word, 42) | 2**63) - 2**64
+def trains() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
 
 
-#: The history of a text's first token, and the class of words; no word has a space.
-START, CLASS = word_key(b" "), word_key(b"  ")
+# ---- packing ----
 
 
-def trains(column: str = "doc_id"):
-    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)) != 1, F.lit(True))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; equal bytes of neighbours lie together."""
+    head = np.array([len(arrays), *map(len, arrays)], np.int64)
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *planes]))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
-    """Slices of batches with about ``BATCH_WORDS`` words."""
-    for batch in batches:
-        texts, n, at = [], 0, 0
-        for k, raw in enumerate(doc_bytes(batch.column(column))):
-            texts.append(raw.lower().split())
-            texts[-1].append(END)
-            n += len(texts[-1])
-            if n >= BATCH_WORDS:
-                yield batch, at, texts
-                texts, n, at = [], 0, k + 1
-        if texts:
-            yield batch, at, texts
-
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = np.frombuffer(raw, np.int64, 1 + len(kinds))[1:]
+    at, out = 8 * (1 + len(kinds)), []
+    for size, kind in zip(n.tolist(), map(np.dtype, kinds), strict=True):
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
+    return out
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+def _short(*columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of word ids as codes of four bytes and the distinct ids of words without a code."""
+    rare = [c >= RARE for c in columns]
+    vocabulary, at = np.unique(np.concatenate([c[r] for c, r in zip(columns, rare, strict=True)]), return_inverse=True)
+    out, k = [np.diff(vocabulary, prepend=np.uint64(0))], 0
+    for c, r in zip(columns, rare, strict=True):
+        code = c.astype(np.uint32)
+        n = int(r.sum())
+        code[r] = at[k : k + n].astype(np.uint32) | np.uint32(1 << 31)
+        out.append(code)
+        k += n
+    return out
 
-    for _, _, texts in _texts(batches, 0):
-        for t in texts:
-            seen.update(t)
-        if len(seen) > FLUSH:
-            yield out()
-            seen = Counter()
-    yield out()
 
+def _wide(vocabulary: np.ndarray, *codes: np.ndarray) -> list[np.ndarray]:
+    """The ids of ``_short``."""
+    vocabulary, out = np.cumsum(vocabulary, dtype=np.uint64), []
+    for code in codes:
+        c = code.astype(np.uint64)
+        rare = code >= np.uint32(1 << 31)
+        c[rare] = vocabulary[code[rare] & np.uint32((1 << 31) - 1)]
+        out.append(c)
+    return out
 
-def _keys(texts: list[list[bytes]]) -> np.ndarray:
-    """Keys of all tokens of all texts."""
-    n = sum(map(len, texts))
-    found = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(texts), repeat(42)), np.uint64, n)
-    return (found | np.uint64(2**63)).view(np.int64)
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
-def _found(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key stands in a sorted table, and whether it does."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
 
+# ---- texts ----
 
-def _before(w: np.ndarray, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The history of each token, and the number of tokens of each text."""
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[np.cumsum(lens) - lens] = START
-    return h, lens
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | RARE
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of pairs, not negative; ``pair_key`` in numpy."""
-    h = h.view(np.uint64)
-    return ((((h << np.uint64(1)) | (h >> np.uint64(63))) ^ w.view(np.uint64)) & np.uint64(2**63 - 1)).view(np.int64)
 
+#: No word has a space.
+START = int(_hashes([b" "])[0])
 
-def pair_key(h: str = "h", w: str = "w"):
-    turned = F.shiftleft(F.col(h), 1).bitwiseOR(F.shiftrightunsigned(F.col(h), 63))
-    return turned.bitwiseXOR(F.col(w)).bitwiseAND(F.lit(2**63 - 1))
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, which train, numbers of tokens, ids of all tokens) of about ``BATCH_TOKENS`` tokens; a longer text is not cut."""
+    ids, train, found, n = [], [], [], 0
 
-def _count_pairs(inside: np.ndarray | None):
-    """Counts of (history, word); all words not in ``inside``, if it is given, are the class."""
+    def out() -> tuple[np.ndarray, ...]:
+        return np.array(ids, np.int64), np.array(train, bool), np.array(list(map(len, found)), np.int64), np.concatenate(found)
 
-    def merge(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        h, w, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, first, at = np.unique(pair_keys(h, w), return_index=True, return_inverse=True)
-        return h[first], w[first], np.bincount(at, c, len(first)).astype(np.int64)
+    for batch in batches:
+        for i, t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), doc_bytes(batch.column(2)), strict=True):
+            words = raw.lower().split()
+            words.append(END)
+            ids.append(i)
+            train.append(t)
+            found.append(_hashes(words))
+            n += len(words)
+            if n >= BATCH_TOKENS:
+                yield out()
+                ids, train, found, n = [], [], [], 0
+    if ids:
+        yield out()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, ...]] = []
-        for _, _, texts in _texts(batches, 0):
-            w = _keys(texts)
-            if inside is not None:
-                w = np.where(_found(w, inside)[1], w, CLASS)
-            h, _ = _before(w, texts)
-            _, first, c = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-            found.append((h[first], w[first], c))
-            if len(found) >= 8:
-                found = [merge(found)]
-                if len(found[0][0]) > 5 * FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["h", "w", "c"])
-                    found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merge(found)], ["h", "w", "c"])
 
-    return count
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, train, lens, ids in _streams(batches):
+        u, c = np.unique(ids[np.repeat(train, lens)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c, pa.int64())], ["key", "c"])
+
+
+class Codes:
+    """The most frequent words: a code and a count each; the start token has one too."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, hot_from: int):
+        order = np.lexsort((keys, -counts))
+        keys, counts = np.append(keys[order], np.uint64(START)), np.append(counts[order], 0)
+        self.counts = counts
+        self.code = np.argsort(keys).astype(np.uint64)
+        self.keys = keys[self.code.astype(np.int64)]
+        ends = counts[keys == _hashes([END])[0]]
+        as_history = np.append(counts[:-1], ends[0] if len(ends) else 0)  # as many starts as ends
+        #: Codes of words that are too frequent as a history for one partition.
+        self.hot = as_history >= hot_from
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
+        return np.where(self.keys[at] == ids, self.code[at], ids)
+
+    def is_hot(self, ids: np.ndarray) -> np.ndarray:
+        return (ids < RARE) & self.hot[np.where(ids < RARE, ids, np.uint64(0)).astype(np.int64)]
+
+    def part(self, h1: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+        return (mixed(np.where(self.is_hot(h1), mixed(h1 + ODD) ^ w, h1) + ODD) % np.uint64(parts)).astype(np.int64)
+
+
+def _histories(w: np.ndarray, lens: np.ndarray, start: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token, and the one before that."""
+    first = np.cumsum(lens) - lens
+    h1, h2 = np.empty_like(w), np.empty_like(w)
+    h1[1:], h2[2:] = w[:-1], w[:-2]
+    h1[first] = h2[first] = start
+    h2[(first + 1)[lens > 1]] = start
+    return h1, h2
+
+
+def _rare_words(codes: Codes, parts: int):
+    """(part, key) of words without a code, for the partitions that their n-grams go to."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, lens, ids in _streams(batches):
+            w = codes.of(ids)
+            h1, _ = _histories(w, lens, codes.of(np.array([START], np.uint64))[0])
+            rare = w >= RARE
+            w, part = w[rare], codes.part(h1[rare], w[rare], parts)
+            _, one = np.unique(mixed(w + ODD * part.astype(np.uint64)), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part[one], pa.int32()), pa.array(w[one].view(np.int64))], ["part", "key"])
+
+    return found
+
+
+def _sender(codes: Codes, parts: int, total: float):
+    """The n-grams of all tokens, packed by partition, and the texts' own sums."""
+    base = np.log10((codes.counts + 0.5) / total)
+    unknown = np.log10(0.5 / total)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (ids, train, lens, tokens) in enumerate(_streams(batches)):
+            uid = (TaskContext.get().partitionId() << 32) | k
+            w = codes.of(tokens)
+            h1, h2 = _histories(w, lens, codes.of(np.array([START], np.uint64))[0])
+            known = w < RARE
+            own = np.where(known, base[np.where(known, w, np.uint64(0)).astype(np.int64)], unknown)
+            row = np.repeat(np.arange(len(ids)), lens)
+            sums = lambda x: np.bincount(row, x, len(ids))  # noqa: B023, E731
+            rows = [("head", uid % parts, uid, None, None, None, _pack(ids, train.view(np.uint8), lens, sums(known.astype(float)).astype(np.int64), sums(own)))]
+            part = codes.part(h1, w, parts)
+            order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+            edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                at = order[a:b]  # in the order of the texts
+                new = np.flatnonzero(np.diff(row[at], prepend=-1))
+                doc = row[at[new]]
+                blob = _pack(np.diff(doc, prepend=0).astype(np.uint32), train[doc].view(np.uint8), np.diff(np.append(new, b - a)).astype(np.uint32), *_short(w[at], h1[at], h2[at]))
+                rows.append(("asked", int(part[at[0]]), uid, None, None, None, blob))
+            yield _batch(rows)
+
+    return send
+
+
+# ---- partitions of n-grams ----
+
+
+def _by_count(of: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` histories, how many of its n-grams have each count that is discounted, and the sum of all other counts."""
+    out = [np.bincount(of[c == r], minlength=n) for r in range(1, DISCOUNT_UP_TO + 1)]
+    return np.array([*out, np.bincount(of[c > DISCOUNT_UP_TO], c[c > DISCOUNT_UP_TO], n).astype(np.int64)], np.int64)
+
+
+class Grams:
+    """Ids of pairs, triples and histories of some tokens, and their counts."""
+
+    def __init__(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, train: np.ndarray):
+        pair = mixed(h1 * ODD + w)
+        _, self.first, self.triple = np.unique(mixed(pair * ODD + h2), return_index=True, return_inverse=True)
+        _, self.pair_first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        self.context_key, self.context_first, self.context = np.unique(mixed((h2 ^ RARE) * ODD + mixed(h1 + ODD)), return_index=True, return_inverse=True)
+        self.word, self.history = np.unique(h1, return_inverse=True)
+        self.c3 = np.bincount(self.triple, train, len(self.first)).astype(np.int64)
+        self.c2 = np.bincount(self.pair, train, len(self.pair_first)).astype(np.int64)
+
+    def contexts(self) -> np.ndarray:
+        """Per pair of history words: its triples by count, and by the count of the pair that remains without the first word."""
+        met = self.c3 > 0
+        at, n = self.context[self.first[met]], len(self.context_key)
+        return np.concatenate([_by_count(at, self.c3[met], n), _by_count(at, self.c2[self.pair[self.first[met]]], n)])
+
+    def histories(self, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per history word: its pairs by count, and the sum of their words' own probabilities."""
+        met = self.c2 > 0
+        at = self.history[self.pair_first[met]]
+        return _by_count(at, self.c2[met], len(self.word)), np.bincount(at, p1[self.pair_first[met]], len(self.word))
+
+    def stored(self, w: np.ndarray, h2: np.ndarray) -> bytes:
+        """Counts of all triples met: history words, the words after each, and the words before each pair."""
+        met = np.flatnonzero(self.c3)
+        at = self.first[met]
+        order = np.lexsort((h2[at], self.pair[at], self.history[at]))
+        at, c = at[order], self.c3[met][order]
+        pairs = np.flatnonzero(np.diff(self.pair[at], prepend=-1))
+        words = np.flatnonzero(np.diff(self.history[at[pairs]], prepend=-1))
+        sizes = (np.diff(np.append(x, n)).astype(np.uint32) for x, n in ((words, len(pairs)), (pairs, len(at))))
+        return _pack(c.astype(np.uint32), *sizes, *_short(self.word[self.history[at[pairs[words]]]], w[at[pairs]], h2[at]))
+
+
+def grams_of(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(h2, h1, w, count) of all triples in a row of kind ``grams``; words by code or hash."""
+    c, per_word, per_pair, *ids = _unpack(blob, "u4", "u4", "u4", "u8", "u4", "u4", "u4")
+    h1, w, h2 = _wide(*ids)
+    return h2, np.repeat(np.repeat(h1, per_word), per_pair), np.repeat(w, per_pair), c
+
+
+ASKED = ("u8", "u4", "u4", "f4", *["u4"] * DISCOUNT_UP_TO, "f4", "u4", "u4", "u4", "u4", "u4", "u4", "u8", "u4", *["i8"] * 12, "u8", "f8", *["i8"] * 6)
+
+
+def _met(codes: Codes, total: float):
+    """One partition: the counts of its n-grams, and what its texts need of them."""
+
+    def met(asked: pa.Table, found: pa.Table) -> pa.Table:
+        rows = [tuple(r[n] for n in NAMES) for r in asked.filter(pa.compute.equal(asked.column("kind"), "head")).to_pylist()]
+        asked = asked.filter(pa.compute.equal(asked.column("kind"), "asked"))
+        if not len(asked):
+            return pa.Table.from_batches([_batch(rows)] if rows else [], pa.schema(list(zip(NAMES, TYPES, strict=True))))
+        part = asked.column("part")[0].as_py()
+        uids, ordinals, trained, sizes, columns = [], [], [], [], []
+        for uid, blob in zip(asked.column("uid").to_pylist(), asked.column("blob").to_pylist(), strict=True):
+            step, train, n, *ids = _unpack(blob, "u4", "u1", "u4", "u8", "u4", "u4", "u4")
+            uids.append(np.full(len(step), uid, np.int64))
+            ordinals.append(np.cumsum(step))
+            trained.append(train)
+            sizes.append(n)
+            columns.append(_wide(*ids))
+        uid, ordinal, train, size = map(np.concatenate, (uids, ordinals, trained, sizes))
+        w, h1, h2 = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del columns
+        doc = np.repeat(np.arange(len(uid)), size)
+        g = Grams(w, h1, h2, train[doc])
+        # counts of the words themselves
+        order = np.argsort(found.column("key").to_numpy().view(np.uint64)) if len(found) else np.zeros(0, np.int64)
+        keys, counts = (found.column(c).to_numpy()[order] for c in ("key", "c"))
+        is_rare = w >= RARE
+        c1 = np.zeros(len(w), np.int64)
+        c1[~is_rare] = codes.counts[w[~is_rare].astype(np.int64)]
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys.view(np.uint64), w[is_rare]), len(keys) - 1)
+            c1[is_rare] = np.where(keys.view(np.uint64)[at] == w[is_rare], counts[at], 0)
+        more = is_rare & (c1 > 0)
+        sums = lambda x, on: np.bincount(doc[on], x[on] if x is not None else None, len(uid))
+        base, known = sums(np.log10((c1 + 0.5) / 0.5), more), sums(None, more)
+        # sums of histories
+        contexts = g.contexts()
+        pairs, q = g.histories((c1 + 0.5) / total)
+        hot = codes.is_hot(g.word)
+        hot_context = hot[g.history[g.context_first]]
+        for k in np.flatnonzero(hot):
+            rows.append(("hot", part, None, int(g.word[k]), pairs[:, k].tolist(), float(q[k]), None))
+        rows += [("context", part, None, k, v, None, None) for k, v in zip(g.context_key[hot_context].view(np.int64).tolist(), contexts[:, hot_context].T.tolist(), strict=True)]
+        # triples that were met: all but the discount is known here
+        c3, on_hot = g.c3[g.triple], hot[g.history]
+        seen = (c3 > 0) & ~on_hot
+        full, kept = _totals(contexts[:6])
+        plain = np.log10(np.maximum(c3, 1) / np.maximum(kept, 1)[g.context])
+        by_count = [sums(None, seen & (c3 == r)).astype(np.uint32) for r in range(1, DISCOUNT_UP_TO + 1)]
+        # all others wait for the discounts
+        left = np.flatnonzero(~seen)
+        own_context, context = np.unique(g.context[left], return_inverse=True)
+        own_history, history = np.unique(g.history[left], return_inverse=True)
+        of_context = np.searchsorted(own_history, g.history[g.context_first[own_context]])
+        waits = [doc[left], context, history, np.where(on_hot, c3, 0)[left], g.c2[g.pair[left]], c1[left]]
+        vectors = [*contexts[:, own_context], np.where(hot[own_history], g.word[own_history] + np.uint64(1), np.uint64(0)), q[own_history], *pairs[:, own_history]]
+        keys_of = np.where(hot_context[own_context], g.context_key[own_context], np.uint64(0))
+        blob = _pack(uid.view(np.uint64), ordinal.astype(np.uint32), known.astype(np.uint32), base.astype(np.float32), *by_count, sums(plain, seen).astype(np.float32), *(x.astype(np.uint32) for x in waits), keys_of, of_context.astype(np.uint32), *vectors)
+        rows.append(("asked", part, None, None, None, None, blob))
+        numbers = [int((c == r).sum()) for c in (g.c2, g.c3) for r in range(1, DISCOUNT_UP_TO + 2)]
+        rows.append(("grams", part, None, None, numbers, None, g.stored(w, h2)))
+        return pa.Table.from_batches([_batch(rows)])
+
+    return met
 
 
 def discounts(n: dict[int, int], k: int = DISCOUNT_UP_TO) -> list[float]:
@@ -165,213 +361,131 @@ def discounts(n: dict[int, int], k: int = DISCOUNT_UP_TO) -> list[float]:
     return out
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, column: str, hot: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has each of their keys; the few hot keys do not move the rows."""
-    hot = F.broadcast(hot.select(F.col("key").alias(column)))
-    near = rows.join(F.broadcast(table.join(hot, column, "left_semi")), column)
-    far = rows.join(hot, column, "left_anti").join(table.join(hot, column, "left_anti"), column)
-    return near.unionByName(far)
-
-
-class Model:
-    """A model's tables, and what each task holds of them."""
-
-    def __init__(self, docs: DataFrame, max_vocabulary: int | None = None):
-        texts, spark = docs.select("text"), docs.sparkSession
-        self.whole = max_vocabulary is None
-        self.min_count = 1 if self.whole else CLASS_MIN_COUNT
-        words = staged(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-        self.n, self.v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-        top = words.orderBy(F.desc("c"), "word").limit(CACHED_WORDS if self.whole else max_vocabulary).collect()
-        order = np.argsort(np.array([word_key(bytes(r["word"])) for r in top], np.int64))
-        #: Keys of the most frequent words, sorted, and their counts.
-        self.top = np.array([word_key(bytes(r["word"])) for r in top], np.int64)[order]
-        self.counts = np.array([r["c"] for r in top], np.int64)[order]
-        self.words = words.select(F.xxhash64("word").bitwiseOR(F.lit(SIGN)).alias("key"), "c")
-        rare = self.n - int(self.counts.sum())  # tokens of all other words
-        self.base_total = self.n + 0.5 * (self.v + 1)
-        #: The class has a count of its own; without one, a word that is not found was never met.
-        self.class_p1 = 0.5 / self.base_total if self.whole else (rare + 0.5) / (self.n + 0.5 * (len(top) + 1))
-        self.class_share = 1.0 if self.whole else 0.5 / (rare + 0.5 * (self.v - len(top) + 1))
-        self.p1_total = self.base_total if self.whole else self.n + 0.5 * (len(top) + 1)
-        self.hot = spark.createDataFrame(pa.table([pa.array(np.append(self.top, [START, CLASS]))], ["key"]))
-        if self.whole:
-            own = self.words.select(F.col("key").alias("w"), ((F.col("c") + 0.5) / self.p1_total).alias("p1"))
-        else:
-            p1 = np.append((self.counts + 0.5) / self.p1_total, self.class_p1)
-            own = spark.createDataFrame(pa.table([pa.array(np.append(self.top, CLASS)), pa.array(p1)], ["w", "p1"]))
-        self._pairs(texts, own)
-
-    def _pairs(self, texts: DataFrame, own: DataFrame) -> None:
-        seen = Observation()
-        pairs = texts.mapInArrow(_count_pairs(None if self.whole else self.top), "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
-        marks = [F.count_if(F.col("c") == r).alias(str(r)) for r in range(1, DISCOUNT_UP_TO + 2)]
-        pairs = staged(pairs.observe(seen, F.count(F.lit(1)).alias("0"), *marks))
-        n = {int(k): int(v or 0) for k, v in seen.get.items()}
-        self.n_pairs = n.pop(0)
-        factor = F.lit(1.0)
-        for r, d in enumerate(discounts(n), 1):
-            factor = F.when(F.col("c") == r, d).otherwise(factor)
-        kept = F.when(F.col("c") >= self.min_count, F.col("c") * factor)
-        rows = _looked_up(pairs, own, "w", self.hot).withColumn("kept", kept)
-        sums = rows.groupBy("h").agg(F.sum("c").alias("met"), F.coalesce(F.sum("kept"), F.lit(0.0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("kept").isNotNull(), F.col("p1"))), F.lit(0.0)).alias("p1"))
-        none_left = 1 - F.col("p1") < 1e-9
-        # one count is set aside if none is left
-        total = F.when(none_left, F.col("kept")).when(F.col("met") - F.col("kept") > 1e-6, F.col("met")).otherwise(F.col("kept") + 1)
-        backoff = F.greatest((1 - F.col("kept") / F.col("total")) / F.when(none_left, 1.0).otherwise(1 - F.col("p1")), F.lit(1e-300))
-        self.histories = staged(sums.withColumn("total", total).select("h", F.log10("total").alias("total"), F.log10(backoff).alias("backoff")))
-        gain = F.log10("kept") - F.col("total") - F.col("backoff") - F.log10("p1")
-        gains = lambda r: _looked_up(r.where("kept is not null"), self.histories, "h", self.hot).select(pair_key().alias("key"), gain.alias("gain"))
-        self.pairs = gains(rows)  # read once, by the tasks that answer
-        often = pairs.sparkSession.createDataFrame(pairs.orderBy(F.desc("c"), "h", "w").limit(HOT_PAIRS).toArrow(), pairs.schema)
-        self.hot_pairs = gains(_looked_up(often, own, "w", self.hot).withColumn("kept", kept)).toPandas().sort_values("key")
-        known = self.histories.join(F.broadcast(self.hot), F.col("h") == F.col("key"), "left_semi").select("h", "backoff").toArrow()
-        found = dict(zip(known.column("h").to_pylist(), known.column("backoff").to_pylist(), strict=True))
-        self.backoff = np.array([found.get(k, 0.0) for k in self.top.tolist()])
-        self.start_backoff, self.class_backoff = found.get(START, 0.0), found.get(CLASS, 0.0)
-
-    def answers(self) -> DataFrame:
-        """What a key that a task could not answer adds to the base score and to the score; keys of words are negative."""
-        hot = F.broadcast(self.hot)
-        rare = self.words.join(hot, "key", "left_anti").select("key", F.log10((F.col("c") + 0.5) / 0.5).alias("base"))
-        if self.whole:  # a word that is not the last one is a history as well
-            rest = self.histories.select(F.col("h").alias("key"), "backoff").join(hot, "key", "left_anti")
-            rare = rare.join(rest, "key", "left").select("key", "base", (F.col("base") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
-        else:
-            rare = rare.withColumn("score", F.col("base"))
-        return rare.unionByName(self.pairs.select("key", F.lit(0.0).alias("base"), F.col("gain").alias("score")))
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys ^ (keys >> 17)) % parts
-
-
-def _scorer(model: Model, hot: tuple[np.ndarray, np.ndarray], parts: int):
-    top, whole = model.top, model.whole
-    base = np.log10((model.counts + 0.5) / model.base_total)
-    p1, backoff = np.log10((model.counts + 0.5) / model.p1_total), model.backoff
-    base_rare = np.log10(0.5 / model.base_total)  # a rare word counts as unknown until its partition answers
-    p1_rare = np.log10(model.class_p1) + np.log10(model.class_share)
-    start_backoff, class_backoff = model.start_backoff, model.class_backoff
-    hot_keys, hot_gains = hot
-    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    names = ["part", "blob", "doc_id", "key", "n_tokens", "n_known", "base", "score"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, texts in _texts(batches, 2):
-            ids = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)
-            keys = batch.column(1).slice(at, len(texts)).to_numpy(zero_copy_only=False)
-            word = _keys(texts)
-            k, known = _found(word, top)
-            w = word if whole else np.where(known, word, CLASS)
-            h, lens = _before(w, texts)
-            row = np.repeat(np.arange(len(texts)), lens)
-            sums = lambda x: np.bincount(row, x, len(texts))  # noqa: B023, E731
-            pair = pair_keys(h, w)
-            own, plain, back = (np.full(len(w), x) for x in (base_rare, p1_rare, class_backoff))
-            own[known], plain[known], back[known] = base[k[known]], p1[k[known]], backoff[k[known]]
-            ends = np.cumsum(lens)
-            back[ends - 1] = 0.0  # the end is no history
-            plain += back
-            plain[ends - lens] += start_backoff
-            k, is_hot = _found(pair, hot_keys)
-            plain[is_hot] += hot_gains[k[is_hot]]
-            n = sums(np.ones(len(w))).astype(np.int64)
-            out = [[int(abs(int(x)) % parts) for x in ids], [None] * len(ids), ids, keys, n, sums(known.astype(float)).astype(np.int64), sums(own), sums(plain)]
-            asked, asker = np.concatenate([word[~known], pair[~is_hot]]), np.concatenate([row[~known], row[~is_hot]])
-            part = _part(asked, parts)
-            order = np.lexsort((asker, part))
-            part, asked, asker = part[order], asked[order], asker[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            blank = [None] * (len(edges) - 1)
-            blobs, where_to = [], []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                docs, first = np.unique(asker[a:b], return_index=True)
-                head = np.array([len(docs), b - a], np.int64)
-                blobs.append(b"".join(x.tobytes() for x in (head, ids[docs].astype(np.int64), keys[docs].astype(np.int64), np.diff(np.append(first, b - a)).astype(np.int32), asked[a:b])))
-                where_to.append(int(part[a]))
-            columns = [list(x) + y for x, y in zip(out, (where_to, blobs, blank, blank, blank, blank, blank, blank), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=False) for c, t in zip(columns, kinds, strict=True)], names)
-
-    return score
-
-
-SUMS = "doc_id long, key long, n_tokens long, n_known long, base double, score double"
-TYPES = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64, np.int64)
-Sums = list[np.ndarray]
-
-
-def _merged(sums: list[Sums]) -> Sums:
-    """Sums of equal (doc_id, key), in their order: doc_id, key, tokens, known words, base, score, rows."""
-    ids, own, *values = (np.concatenate(x) for x in zip(*sums, strict=True))
-    order = np.lexsort((own, ids))
-    ids, own = ids[order], own[order]
-    first = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(own) != 0))[: len(ids)])
-    return [ids[first], own[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)]
-
-
-def _answered(parts: int):
-    def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
-        """The sums of the texts that asked and of those that came along: one packed row a bucket of texts."""
-        keys = table.column("key").to_numpy()
-        order = np.argsort(keys)
-        keys = keys[order]
-        values = [(keys < 0).astype(float), *(table.column(c).to_numpy()[order] for c in ("base", "score"))]
-        along = asked.filter(pa.compute.is_null(asked.column("blob")))
-        found = [[along.column(x.split()[0]).to_numpy().astype(t) for x, t in zip(SUMS.split(", "), TYPES[:-1], strict=True)] + [np.ones(len(along), np.int64)]]
-        for blob in asked.column("blob").to_pylist():
-            if not blob or not len(keys):
-                continue
-            d, n = np.frombuffer(blob, np.int64, 2)
-            ids, own = np.frombuffer(blob, np.int64, 2 * d, 16).reshape(2, -1)
-            sizes = np.frombuffer(blob, np.int32, d, 16 + 16 * d)
-            want = np.frombuffer(blob, np.int64, n, 16 + 20 * d)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            row, at = np.repeat(np.arange(d), sizes)[hit], at[hit]
-            some = np.unique(row)
-            known, base, score = (np.bincount(row, v[at], d)[some] for v in values)
-            none = np.zeros(len(some), np.int64)
-            found.append([ids[some], own[some], none, known.astype(np.int64), base, score, none])
-        sums = _merged(found)
-        bucket = (mixed(sums[0].view(np.uint64) ^ mixed(sums[1].view(np.uint64))) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-        at = [order[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        part = asked.column("part")[0].as_py() if len(asked) else 0
-        return pa.table([pa.array([int(bucket[x[0]]) for x in at], pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array([b"".join(v[x].tobytes() for v in sums) for x in at], pa.binary())], ["bucket", "part", "blob"])
-
-    return answered
+def _totals(by_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per history: how often it was met, and what counts are divided by; one more if nothing is discounted."""
+    full = (np.arange(1, DISCOUNT_UP_TO + 1) @ by_count[:DISCOUNT_UP_TO]) + by_count[DISCOUNT_UP_TO]
+    return full, full + (by_count[:DISCOUNT_UP_TO].sum(axis=0) == 0)
 
 
-def _summed(packed: pa.Table) -> pa.Table:
-    """One row a text of a bucket, from what its partitions answered."""
-    sums = []
-    for blob in packed.sort_by("part").column("blob").to_pylist():
-        n = len(blob) // (8 * len(TYPES))
-        sums.append([np.frombuffer(blob, t, n, 8 * n * k) for k, t in enumerate(TYPES)])
-    return pa.table([pa.array(x) for x in _merged(sums)], [x.split()[0] for x in SUMS.split(", ")] + ["rows"])
+def _mass(by_count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What discounting leaves to the n-grams met, in counts."""
+    return (np.arange(1, DISCOUNT_UP_TO + 1) * d) @ by_count[:DISCOUNT_UP_TO] + by_count[DISCOUNT_UP_TO]
+
+
+def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple]):
+    """The sums of the texts that asked a partition, packed by batch of texts."""
+    times = lambda c, d: c * np.where(c <= DISCOUNT_UP_TO, d[np.clip(c, 1, DISCOUNT_UP_TO) - 1], 1.0)
+
+    def one(blob: bytes, sums: dict[int, list]) -> Iterator[tuple]:
+        uid, ordinal, known, base, *rest = _unpack(blob, *ASKED)
+        e, plain = rest[:DISCOUNT_UP_TO], rest[DISCOUNT_UP_TO]
+        doc, context, history, c3, c2, c1 = (x.astype(np.int64) for x in rest[6:12])
+        keys, of_context, contexts = rest[12], rest[13].astype(np.int64), np.array(rest[14:26])
+        hot_word, q, pairs = rest[26], rest[27].copy(), np.array(rest[28:])
+        for k in np.flatnonzero(hot_word):
+            pairs[:, k], q[k] = hot[int(hot_word[k]) - 1]
+        for k in np.flatnonzero(keys):
+            contexts[:, k] = sums[int(keys[k].view(np.int64))]
+        met2, all2 = _totals(pairs)
+        back2 = np.log10(np.maximum((1 - _mass(pairs, d2) / all2) / (1 - q), 1e-300))
+        lower = np.log10((c1 + 0.5) / total)
+        p2 = np.where(c2 > 0, np.log10(np.maximum(times(c2, d2), 1e-300) / all2[history]), np.where(met2[history] > 0, back2[history], 0.0) + lower)
+        met3, all3 = _totals(contexts[:6])
+        q3 = _mass(contexts[6:], d2) / all2[of_context]
+        back3 = np.log10(np.maximum((1 - _mass(contexts[:6], d3) / all3) / (1 - q3), 1e-300))
+        p3 = np.where(c3 > 0, np.log10(np.maximum(times(c3, d3), 1e-300) / all3[context]), np.where(met3[context] > 0, back3[context], 0.0) + p2)
+        score = plain.astype(float) + sum(n * np.log10(x) for n, x in zip(e, d3, strict=True)) + np.bincount(doc, p3, len(uid))
+        edges = np.flatnonzero(np.diff(uid.view(np.int64), prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(uid[a]), False, _pack(ordinal[a:b], known[a:b], base[a:b], score[a:b].astype(np.float32))
+
+    def rows(table: pa.Table | pa.RecordBatch, sums: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for kind, uid, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "uid", "blob")), strict=True):
+            got = [(uid, True, blob)] if kind == "head" else list(one(blob, sums))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["uid", "head", "blob"])
 
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from rows(batch, {})
 
-def scored(docs: DataFrame, training: DataFrame | None = None, max_vocabulary: int | None = None) -> DataFrame:
+    def with_sums(table: pa.Table, found: pa.Table) -> pa.Table:
+        sums = dict(zip(found.column("key").to_pylist(), found.column("vec").to_pylist(), strict=True))
+        return pa.Table.from_batches(rows(table, sums), pa.schema([("uid", pa.int64()), ("head", pa.bool_()), ("blob", pa.binary())]))
+
+    return here, with_sums
+
+
+SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _summed(packed: pa.Table) -> pa.Table:
+    """The rows of one batch of texts, from its own sums and what the partitions answered."""
+    heads, blobs = packed.column("head").to_pylist(), packed.column("blob").to_pylist()
+    ids, train, n, known, base = _unpack(blobs[heads.index(True)], "i8", "u1", "i8", "i8", "f8")
+    score, known, base = np.zeros(len(ids)), known.copy(), base.copy()
+    for is_head, blob in zip(heads, blobs, strict=True):
+        if not is_head:
+            at, more, own, got = _unpack(blob, "u4", "u4", "f4", "f4")
+            score[at] += got
+            known[at] += more
+            base[at] += own
+    columns = (pa.array(ids, pa.int64(), mask=ids == LAST), pa.array(train.astype(bool)), pa.array(n), pa.array(known), pa.array(base), pa.array(score))
+    return pa.table(list(columns), [x.split()[0] for x in SCORED.split(", ")])
+
+
+# ---- the model ----
+
+
+def most_frequent(words: DataFrame, most: int, hot_from: int) -> Codes:
+    """Codes of the words met so often that there are at most ``most`` of them; only those counts are collected."""
+    least, seen = 1, 0
+    by_count = words.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).count().toPandas().sort_values("c", ascending=False)
+    for c, n in zip(by_count["c"].tolist(), by_count["count"].tolist(), strict=True):
+        seen += n
+        if seen > most:
+            least = c + 1
+            break
+    top = words.where(F.col("c") >= least).toArrow()
+    return Codes(top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy(), hot_from)
+
+
+def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
-    The model learns from ``training``, without it from the rows of ``docs`` that are not held out.
+    The model learns from the rows for which ``train`` holds, by default those that are not held out.
     """
-    model = Model(docs.where(trains()) if training is None else training, max_vocabulary)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # what the partitions answer is packed by buckets of texts, as many as there are partitions
-    parts = int(max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // (6 * GROUP_KEYS) + 1, model.n_pairs // GROUP_PAIRS + 1)) | 1
-    hot = model.hot_pairs
-    tables = (hot["key"].to_numpy(np.int64), hot["gain"].to_numpy(float))
-    # a null id and texts that share an id are told apart by the text
-    rows = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    asked = rows.mapInArrow(_scorer(model, tables, parts), f"part int, blob binary, {SUMS}")
-    spread = F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 17)), F.lit(parts)).cast("int")
-    answers = model.answers().withColumn("part", spread)
-    sums = asked.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_answered(parts), "bucket int, part int, blob binary")
-    whole = sums.groupBy("bucket").applyInArrow(_summed, f"{SUMS}, rows long")
-    one = whole.select("*", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("_r"))  # repeated rows were summed
-    doc_id = F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id"))
-    per = lambda c: F.col(c) / F.col("rows")
-    return one.select(doc_id.alias("doc_id"), per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score")).withColumn("held_out", ~trains())
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), (trains() if train is None else train).alias("train"), "text")
+    words = staged(texts.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
+    n, v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+    total = n + 0.5 * (v + 1)
+    codes = most_frequent(words, CACHED_WORDS, max(2, PART_TOKENS // 2))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(spark.sparkContext.defaultParallelism, size // (6 * PART_TOKENS) + 1))
+    rare = texts.mapInArrow(_rare_words(codes, parts), "part int, key long").join(words, "key").select("part", "key", "c")
+    rare = staged(rare)
+    released(spark)
+    asked = texts.mapInArrow(_sender(codes, parts, total), ROWS)
+    # in one task a partition, whatever the session's number
+    met = asked.repartition(parts, "part").groupBy("part").cogroup(rare.repartition(parts, "part").groupBy("part")).applyInArrow(_met(codes, total), ROWS)
+    tables = staged(met, "kind")
+    del asked, met
+    released(spark)
+    r = range(DISCOUNT_UP_TO + 1)
+    numbers = tables.where("kind = 'grams'").agg(*(F.sum(F.col("vec")[k]) for k in range(2 * len(r)))).first()
+    d2, d3 = (np.array(discounts({k + 1: int(numbers[k + x] or 0) for k in r})) for x in (0, len(r)))
+    vectors = lambda m: F.array(*(F.sum(F.col("vec")[k]) for k in range(m))).alias("vec")
+    # at most one row a cached word
+    hot = {x["key"]: (x["vec"], x["q"]) for x in tables.where("kind = 'hot'").groupBy("key").agg(vectors(6), F.sum("q").alias("q")).collect()}
+    here, with_sums = _answered(d2, d3, total, hot)
+    waiting = tables.where("kind in ('head', 'asked')").select("kind", "part", "uid", "blob")
+    schema = "uid long, head boolean, blob binary"
+    if hot:
+        own = tables.where("kind = 'context'").select("part", "key", "vec")
+        sums = own.groupBy("key").agg(vectors(12))
+        found = own.select(F.col("part").alias("to"), "key").join(sums, "key")
+        answers = waiting.repartition(parts, "part").groupBy("part").cogroup(found.repartition(parts, "to").groupBy("to")).applyInArrow(with_sums, schema)
+    else:
+        answers = waiting.mapInArrow(here, schema)
+    rows = answers.groupBy("uid").applyInArrow(_summed, SCORED)
+    return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from logfathom.llm import components, decontaminate, katz, mixing, neardup, quality, queries, secrets, substrings, toxicity, urls, warc
+from logfathom.llm import common, components, decontaminate, katz, mixing, neardup, quality, queries, secrets, substrings, toxicity, urls, warc
 from logfathom.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -273,89 +273,85 @@ def test_substrings_of_many_copies(spark, monkeypatch):
     assert Counter(tuple(r) for r in substrings.digest(df).collect()) == brute_repeats(rows)
 
 
-def test_katz(spark, docs, local):
-    got = sorted(katz.scored(docs, max_vocabulary=50).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]))
+def brute_katz(rows):
+    """Words, pairs and triples of whole texts in dictionaries, evaluated by recursion."""
     is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    tokens = [(d, [w.encode() for w in words(lower(t))] + [b""]) for d, t, _ in local]
-    c = Counter(w for d, t in tokens if not is_held(d) for w in t)
-    n, v = sum(c.values()), len(c)
-    top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:50]]
-    rare = "rare"
-    cls = lambda w: w if w in set(top) else rare
-    pairs, met = Counter(), Counter()
-    for d, t in tokens:
+    texts = [(d, ["<s>", "<s>", *words(lower(t)), "</s>"]) for d, t in rows]
+    grams = [Counter(), Counter(), Counter()]
+    for d, t in texts:
         if not is_held(d):
-            ids = ["start", *map(cls, t)]
-            pairs.update(zip(ids, ids[1:], strict=False))
-            met.update(ids[:-1])
-    size = 51
-    cc = {w: c[w] for w in top} | {rare: n - sum(c[w] for w in top)}
-    p1 = {w: (x + 0.5) / (n + 0.5 * size) for w, x in cc.items()}
-    ds = katz.discounts(Counter(pairs.values()))
-    kept = {k: x * (ds[x - 1] if x <= len(ds) else 1.0) for k, x in pairs.items() if x >= 2}
-    by = defaultdict(dict)
-    for (h, w), x in kept.items():
-        by[h][w] = x
-
-    def prob(h, w):
-        mass, own = sum(by[h].values()), 1 - sum(p1[x] for x in by[h])
-        total = max(met[h], 1.0)
-        total = total if total - mass > 1e-6 else mass + 1.0
-        if own < 1e-9:
-            total, own = mass, 1.0
-        return by[h][w] / total if w in by[h] else (1 - mass / total) / own * p1[w]
-
-    for h in [*top, rare, "start"]:
-        assert sum(prob(h, w) for w in [*top, rare]) == pytest.approx(1)
-    in_rare = lambda w: (c[w] + 0.5) / (cc[rare] + 0.5 * (v - 50 + 1))
-    want = []
-    for d, t in tokens:
-        ids = ["start", *map(cls, t)]
-        s = sum(math.log10(max(prob(h, w), 1e-300)) + (math.log10(in_rare(x)) if w == rare else 0) for h, w, x in zip(ids, ids[1:], t, strict=False))
-        base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)
-        want.append((d, is_held(d), len(t), sum(c[x] > 0 for x in t), n, base, s))
-    want.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
-    assert len(got) == len(want)
-    for r, w in zip(got, want, strict=True):
-        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:5]
-        assert (r["base_score"], r["score"]) == pytest.approx(w[5:], rel=1e-7)
+            for k in range(2, len(t)):
+                for g in range(3):
+                    grams[g][tuple(t[k - g : k + 1])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    ds = [None, *(katz.discounts(Counter(g.values())) for g in grams[1:])]
+    after = [None, defaultdict(list), defaultdict(list)]
+    for g in (1, 2):
+        for gram in grams[g]:
+            after[g][gram[:-1]].append(gram[-1])
+    memo = {}
+
+    def p(gram):
+        g = len(gram) - 1
+        if g == 0:
+            return (grams[0][gram] + 0.5) / (n + 0.5 * (v + 1))
+        h = gram[:-1]
+        if h not in after[g]:
+            return p(gram[1:])
+        if h not in memo:
+            counts = [(grams[g][(*h, w)], w) for w in after[g][h]]
+            kept = sum(c * (ds[g][c - 1] if c <= 5 else 1) for c, _ in counts)
+            total = sum(c for c, _ in counts) + all(c > 5 for c, _ in counts)
+            memo[h] = total, (1 - kept / total) / (1 - sum(p((*h[1:], w)) for _, w in counts))
+        total, backoff = memo[h]
+        c = grams[g][gram]
+        return c * (ds[g][c - 1] if c <= 5 else 1) / total if c else backoff * p(gram[1:])
+
+    for h in [("<s>", "<s>"), *list(after[2])[:15], *list(after[1])[:10]]:
+        assert sum(p((*h, w)) for (w,) in [*grams[0], ("never met",)]) == pytest.approx(1)
+    out = []
+    for d, t in texts:
+        own = [x for x in t[2:]]
+        out.append((d, is_held(d), len(own), sum(grams[0][(w,)] > 0 for w in own), n, sum(math.log10(p((w,))) for w in own), sum(math.log10(p(tuple(t[k - 2 : k + 1]))) for k in range(2, len(t)))))
+    return out, grams
+
+
+@pytest.mark.parametrize("cached, tokens, batch", [(10**6, 10**6, 10**6), (40, 3000, 5000)])
+def test_katz(spark, docs, local, monkeypatch, cached, tokens, batch):
+    """Also with few cached words, hot histories and many small partitions and batches."""
+    for name, x in (("CACHED_WORDS", cached), ("PART_TOKENS", tokens), ("BATCH_TOKENS", batch)):
+        monkeypatch.setattr(katz, name, x)
+    by_row = lambda r: (r[0] is None, r[0] or 0, r[2])
+    want, _ = brute_katz([(d, t) for d, t, _ in local])
+    got = katz.scored(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    for r, w in zip(sorted(map(tuple, got), key=by_row), sorted(want, key=by_row), strict=True):
+        assert r[:5] == w[:5] and r[5:] == pytest.approx(w[5:], rel=2e-6)
     assert katz.scored(docs.limit(0)).count() == 0
 
 
-def test_katz_has_all_words_and_pairs(spark, docs, local, monkeypatch):
-    monkeypatch.setattr(katz, "CACHED_WORDS", 40, raising=False)  # most words and pairs are answered by the tables
-    monkeypatch.setattr(katz, "HOT_PAIRS", 30)
-    is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    tokens = [(d, [w.encode() for w in words(lower(t))] + [b""]) for d, t, _ in local]
-    c, pairs = Counter(), Counter()
-    for d, t in tokens:
-        if not is_held(d):
-            c.update(t)
-            pairs.update(zip(["start", *t], t, strict=False))
-    n, v = sum(c.values()), len(c)
-    ds = katz.discounts(Counter(pairs.values()))
-    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    met, kept, own, by = Counter(), Counter(), Counter(), {}
-    for (h, w), x in pairs.items():
-        by[h, w] = x * (ds[x - 1] if x <= len(ds) else 1.0)
-        met[h] += x
-        kept[h] += by[h, w]
-        own[h] += p1(w)
-
-    def prob(h, w):
-        if not met[h]:
-            return p1(w)
-        total = met[h] if met[h] - kept[h] > 1e-6 else kept[h] + 1.0
-        return by[h, w] / total if (h, w) in by else (1 - kept[h] / total) / (1 - own[h]) * p1(w)
-
-    for h in ["start", *list(c)[:20]]:
-        if h != b"":
-            assert sum(prob(h, w) for w in [*c, "never met"]) == pytest.approx(1)
-    want = [(d, len(t), sum(c[x] > 0 for x in t), sum(math.log10(p1(x)) for x in t), sum(math.log10(prob(h, w)) for h, w in zip(["start", *t], t, strict=False))) for d, t in tokens]
-    by_row = lambda r: (r[0] is None, r[0] or 0, r[1])
-    got = sorted((tuple(r) for r in katz.scored(docs).select("doc_id", "n_tokens", "n_known", "base_score", "score").collect()), key=by_row)
-    for r, w in zip(got, sorted(want, key=by_row), strict=True):
-        assert r[:3] == w[:3] and r[3:] == pytest.approx(w[3:], rel=1e-7)
+def test_katz_without_training_texts(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in katz.scored(df, F.lit(False)).collect()} == {(1, 3, 0, 0.0), (2, 1, 0, 0.0)}
+
+
+def test_katz_stores_all_counts(spark, docs, local, monkeypatch):
+    kept = {}
+
+    def keep(df, *by):
+        kept[by] = common.staged(df, *by)
+        return kept[by]
+
+    monkeypatch.setattr(katz, "staged", keep)
+    monkeypatch.setattr(katz, "CACHED_WORDS", 0)
+    katz.scored(docs.where("doc_id >= 9001").select("doc_id", "text")).count()
+    _, grams = brute_katz([(d, t) for d, t, _ in local if d is not None and d >= 9001])
+    key = lambda w: int(katz._hashes([b" " if w == "<s>" else b"" if w == "</s>" else w.encode()])[0])
+    want = {tuple(key(w) if w != "<s>" else 0 for w in g): c for g, c in grams[2].items()}
+    got = {}
+    for r in kept["kind",].where("kind = 'grams'").collect():
+        h2, h1, w, c = (x.tolist() for x in katz.grams_of(bytes(r["blob"])))
+        got.update(zip(zip(h2, h1, w, strict=True), c, strict=True))
+    assert got == want
 
 
 def test_katz_beats_the_base_on_held_out_texts(spark, sf_dir):
