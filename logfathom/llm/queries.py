@@ -55,5 +55,93 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_toxicity, op5_mixing, op6_substrings, op7_katz, op8_urls, op9_secrets, op10_neardup)}
-ORACLES: dict[str, str] = {}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op3_quality`` that the learned rules do not touch."""
+    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op8_urls`` that the learned scores do not touch."""
+    return op8_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op9_secrets`` that kinds with a checksum do not touch."""
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+OPERATORS = (op1_warc, op2_decontaminate, op3_quality, op4_toxicity, op5_mixing, op6_substrings, op7_katz, op8_urls, op9_secrets, op10_neardup)
+QUERIES: dict[str, Query] = {f.__name__: f for f in (*OPERATORS, quality_base, url_rules, secrets_base)}
+
+# ---- the same in SQL; models (op3's rules, op4, op7, op8's scores) and the hashes of op5 have none ----
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_TOKENS = rf"list_filter(string_split_regex({_LOWER.format('text')}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: str, place: int, pattern: str, valid: str) -> str:
+    """Matches and their places in code points, from the pieces between them."""
+    return f"""SELECT doc_id, id, '{kind}' AS kind, {place} AS place, start_at, start_at + length(m) AS end_at FROM (
+    SELECT doc_id, id, unnest(m) AS m, unnest(b) AS b, unnest(list_transform(range(1, len(m) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)))::BIGINT AS start_at
+    FROM (SELECT doc_id, id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {2 if kind == "assign" else 0}) AS b, string_split_regex(text, '{pattern}') AS p FROM d) WHERE len(m) > 0) WHERE {valid}"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, nullif(first, page_id) AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100""",
+    "op2_decontaminate": rf"""
+WITH i AS (SELECT DISTINCT item_id, {_TOKENS} AS w FROM benchmark), lengths AS (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+theirs AS (SELECT item_id, w, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j+k-1], ' ')))) AS s FROM (SELECT *, least(len(w), 5) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT item_id, w, count(*) AS n_item FROM theirs GROUP BY ALL),
+d AS (SELECT DISTINCT doc_id, text, {_TOKENS} AS w FROM documents),
+mine AS (SELECT DISTINCT doc_id, text, s FROM (SELECT doc_id, text, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j+k-1], ' '))) AS s FROM d, lengths)),
+shared AS (SELECT doc_id, text, item_id, w, count(*) AS n_shared FROM mine JOIN theirs USING (s) GROUP BY ALL),
+best AS (SELECT doc_id, item_id, max((n_shared, n_item)) AS b FROM shared JOIN sizes USING (item_id, w) WHERE n_shared >= ceil(n_item * 0.8 - 1e-9) GROUP BY ALL)
+SELECT doc_id, item_id, b[1] AS n_shared, b[2] AS n_item, b[1] / b[2] AS containment FROM best""",
+    "op6_substrings": rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i+19], ' ') END)) AS run FROM d),
+q AS (SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, pos) > 1 AS again FROM p),
+r AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM q),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM r GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id""",
+    "op10_neardup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id AND 5 * b.n >= 4 * a.n AND 5 * a.n >= 4 * b.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON doc_id = a""",
+    "quality_base": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+lines AS (SELECT id, sum(n - 1) AS n FROM (SELECT id, line, count(*) AS n FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) GROUP BY ALL) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+runs AS (SELECT id, unnest(range(1, len(w) - 3)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS run FROM d),
+again AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(pos, pos + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY id, run) AS c FROM runs) WHERE c > 1) GROUP BY 1),
+t AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN lines USING (id) LEFT JOIN again USING (id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM t""",
+    "url_rules": rf"""
+WITH u AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
+SELECT page_id, host, path, CASE
+WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM u""",
+    "secrets_base": f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_spans("assign", 0, _ASSIGN, "length(b) >= 6")} UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")} UNION ALL {_spans("hex", 2, "[0-9a-f]{24,}", "true")})
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+sha256(coalesce(string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, place), '')) AS base_sha256 FROM d LEFT JOIN s USING (id) GROUP BY d.id""",
+}
