@@ -23,7 +23,8 @@ LEVEL_KEYS = ("level", "severity", "levelname", "loglevel", "lvl", "priority", "
 TIME_KEYS = ("timestamp", "time", "@timestamp", "ts", "datetime", "date", "asctime", "eventTime", "created", "start_time", "logged_at")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-_]"
-XORG = {"EE": "error", "WW": "warning", "II": "info", "NI": "notice", "--": "debug", "**": "notice", "++": "debug", "==": "debug", "!!": "critical", "??": "unknown"}
+# Markers of X servers and their levels; a line with any other marker is no line of theirs.
+XORG = {"EE": "error", "WW": "warning", "II": "info", "NI": "notice", "--": "debug", "**": "notice", "++": "debug", "==": "debug", "!!": "critical"}
 ISO_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:\s?(?:Z|[+-]\d{2}:?\d{2}))?"
 
 
@@ -105,8 +106,9 @@ def _first(o: Column, keys: tuple[str, ...]) -> Column:
 
 def by_magnitude(number: Column) -> Column:
     """Epoch seconds, milli-, micro- or nanoseconds, told apart by size."""
-    us = F.when(number > 1e17, number / 1000).when(number > 1e14, number).when(number > 1e11, number * 1000).when(number > 1e8, number * 1_000_000)
-    return F.timestamp_micros(us.try_cast("bigint"))
+    digits = F.floor(F.log10(number)) + 1  # 9 to 11 for seconds of the years 1973 to 5138, three more for each finer unit
+    unit = F.least(F.floor((digits - 9) / 3), F.lit(3))
+    return F.timestamp_micros(F.when(unit >= 0, number * F.pow(F.lit(10.0), 6 - 3 * unit)).try_cast("bigint"))
 
 
 def _time(text: Column) -> Column:
@@ -218,7 +220,7 @@ _add("bracket-colon", 81, True, rf"^\[({ISO_TIME})\]:\s*(\w+):\s*(.*)$", _plain_
 _add("electron", 80, True, rf"^({ISO_TIME})\s+\[\s*(\w+)\s*\]\s*(.*)$", _plain_level, _known(2))
 _add("syslog", 75, True, r"^([A-Z][a-z]{2})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)$", lambda g, x: _event(_made(_year(_month(g(1)), x), _month(g(1)), g(2), g(3)), levels.from_words(g(7)), g(7), _json(host=g(4), program=g(5), pid=_long(g(6)))), lambda g, _: _month(g(1)) > 0)
 _add("npm", 65, False, r"^(\d+) (silly|verbose|info|timing|http|notice|warn|error) (.*)$", lambda g, _: _event(None, F.coalesce(levels.level(g(2)), F.lit("info")), g(3)))
-_add("xorg", 60, True, r"^\[\s*(\d+\.\d+)\]\s(?:\((EE|WW|II|NI|--|\*\*|\+\+|==|!!|\?\?)\)\s?)?(.*)$", lambda g, _: _event(None, F.try_element_at(F.create_map(*(F.lit(x) for kv in XORG.items() for x in kv)), g(2)), g(3), _json(uptime=g(1).try_cast("double"), marker=_given(g(2)))))
+_add("xorg", 60, True, r"^\[\s*(\d+\.\d+)\]\s(?:\((EE|WW|II|NI|--|\*\*|\+\+|==|!!)\)\s?|(?!\(..\)))(.*)$", lambda g, _: _event(None, F.try_element_at(F.create_map(*(F.lit(x) for kv in XORG.items() for x in kv)), g(2)), g(3), _json(uptime=g(1).try_cast("double"), marker=_given(g(2)))))
 _add("go", 55, True, r"^(\d{4})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2}(?:\.\d+)?) (.*)$", lambda g, _: _event(_made(g(1), g(2), g(3), g(4)), levels.from_words(g(5)), g(5)))
 _add("timestamped", 20, True, rf"^\[?({ISO_TIME})\]?[\s:|-]*(.*)$", lambda g, _: _event(v.moment(g(1)), levels.from_words(g(2)), g(2)), lambda g, _: v.moment(g(1)).isNotNull())
 

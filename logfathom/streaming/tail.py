@@ -2,8 +2,12 @@
 
 ``LogTail`` is a streaming source that reads what was appended to files since the last
 offset (bytes a file), leaves a last line without its end for later, and begins anew when a
-file became shorter or its beginning changed. Executors read the byte ranges; only names,
-sizes and a hash of each beginning are in the offset.
+file became shorter or what was read of it changed: the offset has a hash of the first and
+the last bytes read of each file, so that a new file with the same first line (a header) is
+told apart. Executors read the byte ranges; a trigger opens only files whose size or time
+changed, and takes all new lines: a stream reader is not told where a restarted query stands,
+so it cannot end a trigger early.
+Files are read as they are written; compressed ones are read by ``ingest``.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from ..sources.formats import FORMATS, Context
 
 SCHEMA = "path string, at long, line string"
-#: A task reads so many bytes at most; a file's beginning has so many.
+#: A task reads so many bytes at most; the hash covers so many at either end of what was read.
 RANGE, HEAD = 32 << 20, 256
 
 
@@ -34,40 +38,60 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.stop = path, start, end, stop
 
 
+def _mark(s, end: int) -> str:
+    """The end of what was read of a file, and a hash of the bytes at its beginning and before that end."""
+    around = s.read_at(min(end, HEAD), 0) + s.read_at(min(end, HEAD), max(0, end - HEAD))
+    return f"{end}:{hashlib.sha256(around).hexdigest()[:16]}"
+
+
+def _line_end(s, end: int, start: int = 0, step: int = 1 << 16) -> int:
+    """The last line end at or before ``end``; ``start`` if there is none after it."""
+    while end > start:
+        block = s.read_at(min(step, end - start), max(start, end - step))
+        k = block.rfind(b"\n")
+        if k >= 0:
+            return end - len(block) + k + 1
+        end -= len(block)
+    return start
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, path: str):
         self.path = path
+        self.known: dict[str, tuple] = {}  # size and time of each file
+        self.last: dict[str, str] = {}  # its mark
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        """For each file its length up to the last line end, and the hash of its beginning."""
+        """For each file the mark of its last line end."""
         from pyarrow import fs
 
         store, base = _files(self.path)
-        out = {}
-        for f in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
-            if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")):
-                with store.open_input_file(f.path) as s:
-                    n = s.size()
-                    head = s.read_at(min(n, HEAD), 0).split(b"\n")[0]
-                    end, step = n, 1 << 16
-                    while end > 0:
-                        block = s.read_at(min(step, end), end - min(step, end))
-                        k = block.rfind(b"\n")
-                        end = end - len(block) + k + 1 if k >= 0 else end - len(block)
-                        if k >= 0:
-                            break
-                out[f.path] = f"{end}:{hashlib.sha256(head).hexdigest()[:16]}"
-        return out
+        for f in sorted(store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)), key=lambda f: f.path):
+            if f.type != fs.FileType.File or f.base_name.startswith((".", "_")) or self.known.get(f.path, ())[:2] == (f.size, f.mtime_ns):
+                continue
+            with store.open_input_file(f.path) as s:
+                n = s.size()
+                end = _line_end(s, n, self._resumes(s, n, self.last.get(f.path, "0:")))
+                self.last[f.path] = _mark(s, end)
+            self.known[f.path] = (f.size, f.mtime_ns)
+        return dict(self.last)
+
+    def _resumes(self, s, n: int, mark: str) -> int:
+        """Where reading goes on: after what the mark tells, or at the start of a new or rewritten file."""
+        old = int(mark.split(":")[0])
+        return old if old <= n and (not old or _mark(s, old) == mark) else 0
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
+        store, out = _files(self.path)[0], []
         for path, mark in sorted(end.items()):
-            n, head = int(mark.split(":")[0]), mark.split(":")[1]
-            old, was = (start.get(path) or "0:").split(":")
-            at = int(old) if was == head and int(old) <= n else 0  # a new or shorter file is read from its start
+            n, was = int(mark.split(":")[0]), start.get(path, "0:")
+            if was == mark:
+                continue
+            with store.open_input_file(path) as s:
+                at = self._resumes(s, n, was)
             out += [Range(path, a, min(a + RANGE, n), n) for a in range(at, n, RANGE)]
         return out
 
