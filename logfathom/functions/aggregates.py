@@ -17,6 +17,8 @@ from .values import col, finite, truthy
 AGGREGATES: dict[str, Callable[..., Column]] = {}
 #: Items that lists, sets and bags hold unless a limit is given, and at most.
 LIST_LIMIT, MOST = 1024, 100_000
+#: First field of the rows of ``arg_max`` and ``arg_min``: ``summarize`` spreads these, unlike other structs.
+ROW = "_row_"
 
 
 def aggregate(*names: str):
@@ -185,7 +187,7 @@ def variance(x: object) -> Column:
 
 def _arg(pick, key: Column, columns: tuple[Column, ...], order: Column | None) -> Column:
     by = key if order is None else F.when(key.isNotNull(), F.struct(key.alias("k"), order.alias("o")))
-    return pick(F.struct(*columns), by)
+    return pick(F.struct(F.lit(True).alias(ROW), *columns), by)
 
 
 @aggregate("arg_max")

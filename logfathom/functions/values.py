@@ -129,13 +129,41 @@ def yes(p: Column) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
+def _kind(x: Column) -> Column:
+    """What a value can be compared with: numbers with numbers, times with times, all else with its own type; Catalyst folds it."""
+    return F.when(typed(x, *NUMBER), "number").when(typed(x, "timestamp", "date"), "time").otherwise(F.typeof(x))
+
+
+def alike(a: object, b: object) -> Column:
+    """Whether two values are of one kind; it is known from the types, so a comparison of unlike ones is never evaluated."""
+    return _kind(col(a)) == _kind(col(b))
+
+
 def eq(a: object, b: object) -> Column:
-    return yes(col(a) == col(b))
+    """False where either side is null, and for values of unlike kinds: text is no number."""
+    return yes(F.when(alike(a, b), col(a) == col(b)))
 
 
 def ne(a: object, b: object) -> Column:
-    """False where either side is null."""
-    return yes(col(a) != col(b))
+    """False where either side is null; true for values of unlike kinds."""
+    return yes(F.when(alike(a, b), col(a) != col(b)).otherwise(col(a).isNotNull() & col(b).isNotNull()))
+
+
+def lt(a: object, b: object) -> Column:
+    """False where either side is null or the kinds are unlike, as are ``le``, ``gt`` and ``ge``."""
+    return yes(F.when(alike(a, b), col(a) < col(b)))
+
+
+def le(a: object, b: object) -> Column:
+    return yes(F.when(alike(a, b), col(a) <= col(b)))
+
+
+def gt(a: object, b: object) -> Column:
+    return lt(b, a)
+
+
+def ge(a: object, b: object) -> Column:
+    return le(b, a)
 
 
 def eq_fold(a: object, b: object) -> Column:
@@ -150,7 +178,13 @@ def is_in(x: object, *items: object, fold: bool = False) -> Column:
     """Membership; a null is never a member."""
     if fold:
         return yes(F.lower(text(x)).isin(*(str(i).lower() for i in items))) & col(x).isNotNull()
-    return yes(col(x).isin(*items))
+    groups: dict[str, list] = {}
+    for i in items:
+        groups.setdefault("text" if isinstance(i, str) else "bool" if isinstance(i, bool) else "number" if isinstance(i, (int, float)) else "other", []).append(i)
+    out = F.lit(False)
+    for own in groups.values():  # items of another kind than the value are never equal to it
+        out |= F.when(alike(x, own[0]), col(x).isin(*own)).otherwise(False)
+    return yes(out)
 
 
 def not_in(x: object, *items: object, fold: bool = False) -> Column:
@@ -159,12 +193,13 @@ def not_in(x: object, *items: object, fold: bool = False) -> Column:
 
 
 def between(x: object, low: object, high: object) -> Column:
-    return yes(col(x).between(col(low), col(high)))
+    """False for a null, and for ends of another kind."""
+    return yes(F.when(alike(x, low) & alike(x, high), col(x).between(col(low), col(high))))
 
 
 def not_between(x: object, low: object, high: object) -> Column:
-    """False for a null, unlike a plain negation."""
-    return yes(~col(x).between(col(low), col(high)))
+    """False for a null, unlike a plain negation; true for ends of another kind."""
+    return yes(F.when(alike(x, low) & alike(x, high), ~col(x).between(col(low), col(high))).otherwise(col(x).isNotNull()))
 
 
 def terms(needle: str) -> list[str]:
@@ -243,7 +278,9 @@ def matches(x: object, pattern: str) -> Column:
 
 
 def add(a: object, b: object) -> Column:
-    """Sum, null on overflow; text on either side concatenates (use ``strcat`` for that)."""
+    """Sum, null on overflow; with a Python string on either side the text of both. Two text columns: ``strcat``."""
+    if isinstance(a, str) or isinstance(b, str):
+        return F.concat(text(a), text(b))
     return F.try_add(col(a), col(b))
 
 
@@ -256,7 +293,7 @@ def mul(a: object, b: object) -> Column:
 
 
 def div(a: object, b: object) -> Column:
-    """Quotient: longs floor, division by zero is null."""
+    """Quotient as a double: longs floor, division by zero is null. ``idiv`` has all 64 bits of a long."""
     a, b = col(a), col(b)
     integers = typed(a, "tinyint", "smallint", "int$", "bigint") & typed(b, "tinyint", "smallint", "int$", "bigint")
     q = F.try_divide(a.cast("double"), b.cast("double"))

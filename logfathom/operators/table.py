@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as v
+from ..functions.aggregates import ROW
 from . import order as rows_in_order
 
 HIDDEN = "_order_"
@@ -237,8 +238,8 @@ class Table:
         keys = [x.alias(k) for k, x in by.items()] if isinstance(by, dict) else [F.col(self._real(k)) for k in by]
         grouped = self.raw.groupBy(*keys)
         out = grouped.agg(*(x.alias(k) for k, x in aggregates.items())) if aggregates else self.raw.select(*keys).distinct()
-        kinds = dict(out.dtypes)
-        spread = [c for k in out.columns for c in ([f"`{k}`.*"] if k in aggregates and kinds[k].startswith("struct") else [f"`{k}`"])]
+        rows = {f.name: f.dataType.fieldNames()[1:] for f in out.schema if f.dataType.typeName() == "struct" and f.dataType.fieldNames()[0] == ROW}
+        spread = [c for k in out.columns for c in ([F.col(f"`{k}`.`{n}`") for n in rows[k]] if k in rows else [F.col(f"`{k}`")])]
         return self._new(out.select(*spread), self.name)
 
     # ---- several tables ----
@@ -261,7 +262,9 @@ class Table:
                 w = Window.partitionBy(*own).orderBy(*self._keys())
                 left = self.raw.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*self.columns)
             else:
-                left = left.groupBy(*(x.alias(f"_g{k}") for k, x in enumerate(own))).agg(F.min(F.struct(*self.columns)).alias("_row")).select("_row.*")
+                row = F.struct(*self.columns)
+                ordered = not any("map<" in k or "variant" in k for _, k in left.dtypes)  # maps have no order: any row
+                left = left.groupBy(*(x.alias(f"_g{k}") for k, x in enumerate(own))).agg((F.min(row) if ordered else F.any_value(row)).alias("_row")).select("_row.*")
         left = left.withColumns({k[0]: F.col(self._real(a)) for k, (a, _) in zip(keys, pairs, strict=True)})
         taken, renamed = {c.lower() for c in self.columns}, []
         for c in other.columns:

@@ -450,3 +450,5 @@ for _name, (_build, _sql) in library.OVER_TEST_TABLES.items():
     QUERIES[_name] = lambda spark, sf_dir, f=_build: f(tables(spark, sf_dir)).df
     if _sql:
         ORACLES[_name] = _sql
+
+from . import scalar_queries  # noqa: E402, F401
