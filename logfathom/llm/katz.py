@@ -11,11 +11,11 @@ be discounted sets one count aside.
 
 Tables (all in the shared folder): ``words`` (key, c), and one table partitioned by kind with
 a packed row a partition of n-grams: ``grams`` (counts, by last history word, word, and word
-before), ``asked`` (what the texts need of that partition), ``head`` (the texts' own sums).
+before), ``asked`` and ``late`` (what the texts need of that partition), ``head`` (the texts' own sums).
 An n-gram lies in the partition of its last history word, so that pairs, triples and both
-histories' sums meet in one task after one shuffle. A history word with more tokens than half
-a partition holds is hot: its n-grams are dealt by word as well, its sums are added up as
-rows, and what is asked of it waits for those sums. Triples of other words that were met need
+histories' sums meet in one task after one shuffle. A history word with more tokens than one
+and a half partitions hold is hot: its n-grams are dealt by word as well, its sums are added up
+over partitions, packed, and what is asked of it waits for those. Triples of other words that were met need
 only their text's counts by how often they were met, as the discounts are known last.
 
 Words are known by 63-bit hashes. Tasks hold the most frequent words (``CACHED_WORDS`` at
@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,9 @@ CACHED_WORDS = 500_000
 #: Good-Turing discounts hold up to this count.
 DISCOUNT_UP_TO = 5
 #: Tokens in a partition of the n-grams, and in a batch of texts.
-PART_TOKENS, BATCH_TOKENS = 1_500_000, 1_000_000
+PART_TOKENS, BATCH_TOKENS = 800_000, 1_000_000
+#: Texts whose sums a task holds before it sends them on.
+TEXTS = 1_000_000
 END = b""
 RARE = np.uint64(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -186,10 +188,11 @@ def _histories(w: np.ndarray, lens: np.ndarray, start: np.uint64) -> tuple[np.nd
     return h1, h2
 
 
-def _rare_words(codes: Codes, parts: int):
+def _rare_words(shared: Broadcast, parts: int):
     """(part, key) of words without a code, for the partitions that their n-grams go to."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
         for _, _, lens, ids in _streams(batches):
             w = codes.of(ids)
             h1, _ = _histories(w, lens, codes.of(np.array([START], np.uint64))[0])
@@ -201,12 +204,12 @@ def _rare_words(codes: Codes, parts: int):
     return found
 
 
-def _sender(codes: Codes, parts: int, total: float):
+def _sender(shared: Broadcast, parts: int, total: float):
     """The n-grams of all tokens, packed by partition, and the texts' own sums."""
-    base = np.log10((codes.counts + 0.5) / total)
-    unknown = np.log10(0.5 / total)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
+        base, unknown = np.log10((codes.counts + 0.5) / total), np.log10(0.5 / total)
         for k, (ids, train, lens, tokens) in enumerate(_streams(batches)):
             uid = (TaskContext.get().partitionId() << 32) | k
             w = codes.of(tokens)
@@ -236,18 +239,22 @@ def _sender(codes: Codes, parts: int, total: float):
 def _by_count(of: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` histories, how many of its n-grams have each count that is discounted, and the sum of all other counts."""
     out = [np.bincount(of[c == r], minlength=n) for r in range(1, DISCOUNT_UP_TO + 1)]
-    return np.array([*out, np.bincount(of[c > DISCOUNT_UP_TO], c[c > DISCOUNT_UP_TO], n).astype(np.int64)], np.int64)
+    return np.array([*out, np.bincount(of[c > DISCOUNT_UP_TO], c[c > DISCOUNT_UP_TO], n)], np.int32)
 
 
 class Grams:
     """Ids of pairs, triples and histories of some tokens, and their counts."""
 
     def __init__(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray, train: np.ndarray):
+        def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            u, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            return u, first.astype(np.int32), at.astype(np.int32)
+
         pair = mixed(h1 * ODD + w)
-        _, self.first, self.triple = np.unique(mixed(pair * ODD + h2), return_index=True, return_inverse=True)
-        _, self.pair_first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        self.context_key, self.context_first, self.context = np.unique(mixed((h2 ^ RARE) * ODD + mixed(h1 + ODD)), return_index=True, return_inverse=True)
-        self.word, self.history = np.unique(h1, return_inverse=True)
+        _, self.first, self.triple = distinct(mixed(pair * ODD + h2))
+        _, self.pair_first, self.pair = distinct(pair)
+        self.context_key, self.context_first, self.context = distinct(mixed((h2 ^ RARE) * ODD + mixed(h1 + ODD)))
+        self.word, _, self.history = distinct(h1)
         self.c3 = np.bincount(self.triple, train, len(self.first)).astype(np.int64)
         self.c2 = np.bincount(self.pair, train, len(self.pair_first)).astype(np.int64)
 
@@ -282,13 +289,14 @@ def grams_of(blob: bytes) -> tuple[np.ndarray, ...]:
     return h2, np.repeat(np.repeat(h1, per_word), per_pair), np.repeat(w, per_pair), c
 
 
-ASKED = ("u8", "u4", "u4", "f4", *["u4"] * DISCOUNT_UP_TO, "f4", "u4", "u4", "u4", "u4", "u4", "u4", "u8", "u4", *["i8"] * 12, "u8", "f8", *["i8"] * 6)
+ASKED = ("u8", "u4", "u4", "f4", *["u4"] * DISCOUNT_UP_TO, "f4", "u4", "u4", "u4", "u4", "u4", "u4", "u8", "u4", *["i4"] * 12, "u8", "f8", *["i4"] * 6)
 
 
-def _met(codes: Codes, total: float):
+def _met(shared: Broadcast, total: float, spread: int):
     """One partition: the counts of its n-grams, and what its texts need of them."""
 
     def met(asked: pa.Table, found: pa.Table) -> pa.Table:
+        codes = shared.value
         rows = [tuple(r[n] for n in NAMES) for r in asked.filter(pa.compute.equal(asked.column("kind"), "head")).to_pylist()]
         asked = asked.filter(pa.compute.equal(asked.column("kind"), "asked"))
         if not len(asked):
@@ -326,30 +334,55 @@ def _met(codes: Codes, total: float):
         hot_context = hot[g.history[g.context_first]]
         for k in np.flatnonzero(hot):
             rows.append(("hot", part, None, int(g.word[k]), pairs[:, k].tolist(), float(q[k]), None))
-        rows += [("context", part, None, k, v, None, None) for k, v in zip(g.context_key[hot_context].view(np.int64).tolist(), contexts[:, hot_context].T.tolist(), strict=True)]
         # triples that were met: all but the discount is known here
         c3, on_hot = g.c3[g.triple], hot[g.history]
         seen = (c3 > 0) & ~on_hot
-        full, kept = _totals(contexts[:6])
-        plain = np.log10(np.maximum(c3, 1) / np.maximum(kept, 1)[g.context])
+        divisor = np.maximum(_totals(contexts[:6])[1], 1)
+        plain = np.log10(np.maximum(c3, 1) / divisor[g.context])
         by_count = [sums(None, seen & (c3 == r)).astype(np.uint32) for r in range(1, DISCOUNT_UP_TO + 1)]
-        # all others wait for the discounts
-        left = np.flatnonzero(~seen)
-        own_context, context = np.unique(g.context[left], return_inverse=True)
-        own_history, history = np.unique(g.history[left], return_inverse=True)
-        of_context = np.searchsorted(own_history, g.history[g.context_first[own_context]])
-        waits = [doc[left], context, history, np.where(on_hot, c3, 0)[left], g.c2[g.pair[left]], c1[left]]
-        vectors = [*contexts[:, own_context], np.where(hot[own_history], g.word[own_history] + np.uint64(1), np.uint64(0)), q[own_history], *pairs[:, own_history]]
-        keys_of = np.where(hot_context[own_context], g.context_key[own_context], np.uint64(0))
-        blob = _pack(uid.view(np.uint64), ordinal.astype(np.uint32), known.astype(np.uint32), base.astype(np.float32), *by_count, sums(plain, seen).astype(np.float32), *(x.astype(np.uint32) for x in waits), keys_of, of_context.astype(np.uint32), *vectors)
-        rows.append(("asked", part, None, None, None, None, blob))
+
+        def waiting(left: np.ndarray, first: bool) -> bytes:
+            """What waits for discounts, and with the first of them what the texts have so far."""
+            docs = np.arange(len(uid)) if first else np.unique(doc[left])
+            had = [x[docs] * first for x in (known.astype(np.uint32), base.astype(np.float32), *by_count, sums(plain, seen).astype(np.float32))]
+            own_context, context = np.unique(g.context[left], return_inverse=True)
+            own_history, history = np.unique(g.history[left], return_inverse=True)
+            of_context = np.searchsorted(own_history, g.history[g.context_first[own_context]])
+            waits = [np.searchsorted(docs, doc[left]), context, history, np.where(on_hot, c3, 0)[left], g.c2[g.pair[left]], c1[left]]
+            vectors = [*contexts[:, own_context], np.where(hot[own_history], g.word[own_history] + np.uint64(1), np.uint64(0)), q[own_history], *pairs[:, own_history]]
+            keys_of = np.zeros(len(own_context), np.uint64) if first else g.context_key[own_context]  # all hot ones, as sent
+            return _pack(uid[docs].view(np.uint64), ordinal[docs].astype(np.uint32), *had, *(x.astype(np.uint32) for x in waits), np.diff(keys_of, prepend=np.uint64(0)), of_context.astype(np.uint32), *vectors)
+
+        rows.append(("asked", part, None, None, None, None, waiting(np.flatnonzero(~seen & ~on_hot), True)))
+        if on_hot.any():
+            rows.append(("late", part, None, None, None, None, waiting(np.flatnonzero(on_hot), False)))
         numbers = [int((c == r).sum()) for c in (g.c2, g.c3) for r in range(1, DISCOUNT_UP_TO + 2)]
         rows.append(("grams", part, None, None, numbers, None, g.stored(w, h2)))
+        to = _adder(g.context_key, spread)
+        for k in np.unique(to[hot_context]):
+            at = np.flatnonzero(hot_context & (to == k))
+            rows.append(("context", part, None, int(k), None, None, _pack(np.diff(g.context_key[at], prepend=np.uint64(0)), *contexts[:, at])))
         return pa.Table.from_batches([_batch(rows)])
 
     return met
 
 
+def _adder(keys: np.ndarray, spread: int) -> np.ndarray:
+    """The task that adds up each hot history."""
+    return (mixed(keys + ODD) % np.uint64(spread)).astype(np.int64)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of hot histories of two words over all partitions, back to each in the order in which it sent them."""
+    got = [_unpack(blob, "u8", *["i4"] * 12) for blob in table.column("blob").to_pylist()]
+    keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
+    _, at = np.unique(keys, return_inverse=True)
+    sums = [np.bincount(at, np.concatenate(v)).astype(np.int64)[at] for v in zip(*(x[1:] for x in got), strict=True)]
+    cut = np.cumsum([0, *(len(x[0]) for x in got)])
+    blobs = [_pack(*(v[a:b] for v in sums)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([table.column("part"), table.column("key"), pa.array(blobs, pa.binary())], ["to", "adder", "blob"])
+
+
 def discounts(n: dict[int, int], k: int = DISCOUNT_UP_TO) -> list[float]:
     """Katz's factors for counts 1 to ``k`` from the counts of counts; (r - 0.5) / r where Good-Turing gives none."""
     out = []
@@ -372,20 +405,23 @@ def _mass(by_count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (np.arange(1, DISCOUNT_UP_TO + 1) * d) @ by_count[:DISCOUNT_UP_TO] + by_count[DISCOUNT_UP_TO]
 
 
-def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple]):
+def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple], spread: int):
     """The sums of the texts that asked a partition, packed by batch of texts."""
     times = lambda c, d: c * np.where(c <= DISCOUNT_UP_TO, d[np.clip(c, 1, DISCOUNT_UP_TO) - 1], 1.0)
 
-    def one(blob: bytes, sums: dict[int, list]) -> Iterator[tuple]:
+    def one(blob: bytes, sums: dict[int, np.ndarray] | None) -> Iterator[tuple]:
+        """(batch of texts, place in it, and three sums) of a packed row."""
         uid, ordinal, known, base, *rest = _unpack(blob, *ASKED)
         e, plain = rest[:DISCOUNT_UP_TO], rest[DISCOUNT_UP_TO]
         doc, context, history, c3, c2, c1 = (x.astype(np.int64) for x in rest[6:12])
-        keys, of_context, contexts = rest[12], rest[13].astype(np.int64), np.array(rest[14:26])
-        hot_word, q, pairs = rest[26], rest[27].copy(), np.array(rest[28:])
+        keys, of_context, contexts = rest[12], rest[13].astype(np.int64), np.array(rest[14:26], np.int64)
+        hot_word, q, pairs = rest[26], rest[27], np.array(rest[28:], np.int64)
         for k in np.flatnonzero(hot_word):
             pairs[:, k], q[k] = hot[int(hot_word[k]) - 1]
-        for k in np.flatnonzero(keys):
-            contexts[:, k] = sums[int(keys[k].view(np.int64))]
+        if sums is not None:
+            adder = _adder(np.cumsum(keys, dtype=np.uint64), spread)
+            for k, found in sums.items():
+                contexts[:, adder == k] = found
         met2, all2 = _totals(pairs)
         back2 = np.log10(np.maximum((1 - _mass(pairs, d2) / all2) / (1 - q), 1e-300))
         lower = np.log10((c1 + 0.5) / total)
@@ -397,20 +433,40 @@ def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple
         score = plain.astype(float) + sum(n * np.log10(x) for n, x in zip(e, d3, strict=True)) + np.bincount(doc, p3, len(uid))
         edges = np.flatnonzero(np.diff(uid.view(np.int64), prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(uid[a]), False, _pack(ordinal[a:b], known[a:b], base[a:b], score[a:b].astype(np.float32))
+            yield int(uid[a]), ordinal[a:b], known[a:b], base[a:b], score[a:b]
 
-    def rows(table: pa.Table | pa.RecordBatch, sums: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for kind, uid, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "uid", "blob")), strict=True):
-            got = [(uid, True, blob)] if kind == "head" else list(one(blob, sums))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["uid", "head", "blob"])
+    def packed(rows: Iterator[tuple[int, bool, bytes]]) -> list[pa.Array]:
+        got = list(zip(*rows, strict=True)) or [[]] * 3
+        return [pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.bool_(), pa.binary()), strict=True)]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over all partitions that a task reads, sent on before they are too many."""
+        texts: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            dense = ((u, np.flatnonzero(x[3]).astype(np.uint32), x) for u, x in texts.items())
+            return pa.RecordBatch.from_arrays(packed((u, False, _pack(at, x[0, at].astype(np.uint32), *(x[k, at].astype(np.float32) for k in (1, 2)))) for u, at, x in dense), ["uid", "head", "blob"])
+
         for batch in batches:
-            yield from rows(batch, {})
+            for kind, uid, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "uid", "blob")), strict=True):
+                if kind == "head":
+                    yield pa.RecordBatch.from_arrays(packed([(uid, True, blob)]), ["uid", "head", "blob"])
+                    continue
+                for u, at, *found in one(blob, None):
+                    x = texts.get(u, np.zeros((4, 0)))
+                    if x.shape[1] <= at[-1]:
+                        x = texts[u] = np.pad(x, ((0, 0), (0, int(at[-1]) + 1 - x.shape[1])))
+                    for k, v in enumerate((*found, 1)):
+                        x[k, at] += v
+                if sum(x.shape[1] for x in texts.values()) > TEXTS:
+                    yield out()
+                    texts = {}
+        yield out()
 
     def with_sums(table: pa.Table, found: pa.Table) -> pa.Table:
-        sums = dict(zip(found.column("key").to_pylist(), found.column("vec").to_pylist(), strict=True))
-        return pa.Table.from_batches(rows(table, sums), pa.schema([("uid", pa.int64()), ("head", pa.bool_()), ("blob", pa.binary())]))
+        sums = {k: np.array(_unpack(blob, *["i8"] * 12)) for k, blob in zip(found.column("adder").to_pylist(), found.column("blob").to_pylist(), strict=True)}
+        rows = ((u, False, _pack(at, known, base, score.astype(np.float32))) for blob in table.column("blob").to_pylist() for u, at, known, base, score in one(blob, sums))
+        return pa.table(packed(rows), ["uid", "head", "blob"])
 
     return here, with_sums
 
@@ -459,15 +515,15 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     words = staged(texts.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     n, v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
     total = n + 0.5 * (v + 1)
-    codes = most_frequent(words, CACHED_WORDS, max(2, PART_TOKENS // 2))
+    codes = spark.sparkContext.broadcast(most_frequent(words, CACHED_WORDS, PART_TOKENS + PART_TOKENS // 2))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(spark.sparkContext.defaultParallelism, size // (6 * PART_TOKENS) + 1))
     rare = texts.mapInArrow(_rare_words(codes, parts), "part int, key long").join(words, "key").select("part", "key", "c")
-    rare = staged(rare)
-    released(spark)
+    # tasks that add up what several partitions have of one history
+    spread = int(codes.value.counts[codes.value.hot].sum() // (2 * PART_TOKENS) + 1)
     asked = texts.mapInArrow(_sender(codes, parts, total), ROWS)
     # in one task a partition, whatever the session's number
-    met = asked.repartition(parts, "part").groupBy("part").cogroup(rare.repartition(parts, "part").groupBy("part")).applyInArrow(_met(codes, total), ROWS)
+    met = asked.repartition(parts, "part").groupBy("part").cogroup(rare.repartition(parts, "part").groupBy("part")).applyInArrow(_met(codes, total, spread), ROWS)
     tables = staged(met, "kind")
     del asked, met
     released(spark)
@@ -477,15 +533,12 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     vectors = lambda m: F.array(*(F.sum(F.col("vec")[k]) for k in range(m))).alias("vec")
     # at most one row a cached word
     hot = {x["key"]: (x["vec"], x["q"]) for x in tables.where("kind = 'hot'").groupBy("key").agg(vectors(6), F.sum("q").alias("q")).collect()}
-    here, with_sums = _answered(d2, d3, total, hot)
-    waiting = tables.where("kind in ('head', 'asked')").select("kind", "part", "uid", "blob")
+    here, with_sums = _answered(d2, d3, total, hot, spread)
     schema = "uid long, head boolean, blob binary"
+    answers = tables.where("kind in ('head', 'asked')").select("kind", "uid", "blob").mapInArrow(here, schema)
     if hot:
-        own = tables.where("kind = 'context'").select("part", "key", "vec")
-        sums = own.groupBy("key").agg(vectors(12))
-        found = own.select(F.col("part").alias("to"), "key").join(sums, "key")
-        answers = waiting.repartition(parts, "part").groupBy("part").cogroup(found.repartition(parts, "to").groupBy("to")).applyInArrow(with_sums, schema)
-    else:
-        answers = waiting.mapInArrow(here, schema)
+        found = tables.where("kind = 'context'").select("part", "key", "blob").groupBy("key").applyInArrow(_added, "to int, adder long, blob binary")
+        late = tables.where("kind = 'late'").select("part", "blob")
+        answers = answers.unionByName(late.repartition(parts, "part").groupBy("part").cogroup(found.repartition(parts, "to").groupBy("to")).applyInArrow(with_sums, schema))
     rows = answers.groupBy("uid").applyInArrow(_summed, SCORED)
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

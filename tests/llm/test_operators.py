@@ -318,7 +318,7 @@ def brute_katz(rows):
     return out, grams
 
 
-@pytest.mark.parametrize("cached, tokens, batch", [(10**6, 10**6, 10**6), (40, 500, 5000)])
+@pytest.mark.parametrize("cached, tokens, batch", [(10**6, 10**6, 10**6), (40, 300, 5000)])
 def test_katz(spark, docs, local, monkeypatch, cached, tokens, batch):
     """Also with few cached words, hot histories and many small partitions and batches."""
     for name, x in (("CACHED_WORDS", cached), ("PART_TOKENS", tokens), ("BATCH_TOKENS", batch)):
