@@ -45,13 +45,13 @@ from pyspark.sql import functions as F
 from .common import LAST, doc_bytes, mixed, released, staged
 
 #: Most words that tasks have a code for; it changes no score.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 #: Good-Turing discounts hold up to this count.
 DISCOUNT_UP_TO = 5
 #: Tokens in a partition of the n-grams, and in a batch of texts.
 PART_TOKENS, BATCH_TOKENS = 800_000, 1_000_000
-#: Texts whose sums a task holds before it sends them on.
-TEXTS = 1_000_000
+#: Texts whose sums, and words whose counts, a task holds before it sends them on.
+TEXTS, WORDS = 1_000_000, 1_000_000
 END = b""
 RARE = np.uint64(1 << 63)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -147,10 +147,34 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
         yield out()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, train, lens, ids in _streams(batches):
-        u, c = np.unique(ids[np.repeat(train, lens)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c, pa.int64())], ["key", "c"])
+def _count_words(parts: int):
+    """Counts of words, added up in the task and packed by partition."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            part = (mixed(keys) % np.uint64(parts)).astype(np.int64)
+            at = [np.flatnonzero(part == k) for k in range(parts)] if len(keys) else []
+            blobs = [_pack(np.diff(keys[x], prepend=np.uint64(0)), counts[x]) for x in at]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+        for _, train, lens, ids in _streams(batches):
+            u, c = np.unique(ids[np.repeat(train, lens)], return_counts=True)
+            both, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
+            keys, counts = both, np.bincount(at, np.concatenate([counts, c]), len(both)).astype(np.int64)
+            if len(keys) > WORDS:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+        yield out()
+
+    return count
+
+
+def _words(packed: pa.Table) -> pa.Table:
+    got = [_unpack(blob, "u8", "i8") for blob in packed.column("blob").to_pylist()]
+    keys, at = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]), return_inverse=True)
+    return pa.table([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, np.concatenate([c for _, c in got]), len(keys)).astype(np.int64), pa.int64())], ["key", "c"])
 
 
 class Codes:
@@ -159,9 +183,9 @@ class Codes:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, hot_from: int):
         order = np.lexsort((keys, -counts))
         keys, counts = np.append(keys[order], np.uint64(START)), np.append(counts[order], 0)
-        self.counts = counts
-        self.code = np.argsort(keys).astype(np.uint64)
-        self.keys = keys[self.code.astype(np.int64)]
+        self.counts = counts.astype(np.uint32 if counts[0] < 2**32 else np.uint64)
+        self.code = np.argsort(keys).astype(np.uint32)
+        self.keys = keys[self.code]
         ends = counts[keys == _hashes([END])[0]]
         as_history = np.append(counts[:-1], ends[0] if len(ends) else 0)  # as many starts as ends
         #: Codes of words that are too frequent as a history for one partition.
@@ -169,7 +193,7 @@ class Codes:
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
-        return np.where(self.keys[at] == ids, self.code[at], ids)
+        return np.where(self.keys[at] == ids, self.code[at].astype(np.uint64), ids)
 
     def is_hot(self, ids: np.ndarray) -> np.ndarray:
         return (ids < RARE) & self.hot[np.where(ids < RARE, ids, np.uint64(0)).astype(np.int64)]
@@ -274,7 +298,7 @@ class Grams:
         """Counts of all triples met: history words, the words after each, and the words before each pair."""
         met = np.flatnonzero(self.c3)
         at = self.first[met]
-        order = np.lexsort((h2[at], self.pair[at], self.history[at]))
+        order = np.lexsort((h2[at], w[at], self.history[at]))
         at, c = at[order], self.c3[met][order]
         pairs = np.flatnonzero(np.diff(self.pair[at], prepend=-1))
         words = np.flatnonzero(np.diff(self.history[at[pairs]], prepend=-1))
@@ -289,7 +313,9 @@ def grams_of(blob: bytes) -> tuple[np.ndarray, ...]:
     return h2, np.repeat(np.repeat(h1, per_word), per_pair), np.repeat(w, per_pair), c
 
 
-ASKED = ("u8", "u4", "u4", "f4", *["u4"] * DISCOUNT_UP_TO, "f4", "u4", "u4", "u4", "u4", "u4", "u4", "u8", "u4", *["i4"] * 12, "u8", "f8", *["i4"] * 6)
+ASKED = ("u8", "i4", "u4", "f4", *["u4"] * DISCOUNT_UP_TO, "u8", "u4", "u4", "u4", "u4", "u4", "u4", "u4", "u4", *["i4"] * 12, "u8", "f8", *["i4"] * 6)
+#: Sums of logarithms wait as whole numbers of so many to the unit.
+FINE = 100_000
 
 
 def _met(shared: Broadcast, total: float, spread: int):
@@ -340,25 +366,25 @@ def _met(shared: Broadcast, total: float, spread: int):
         divisor = np.maximum(_totals(contexts[:6])[1], 1)
         plain = np.log10(np.maximum(c3, 1) / divisor[g.context])
         by_count = [sums(None, seen & (c3 == r)).astype(np.uint32) for r in range(1, DISCOUNT_UP_TO + 1)]
+        to = _adder(g.context_key, spread)
 
         def waiting(left: np.ndarray, first: bool) -> bytes:
             """What waits for discounts, and with the first of them what the texts have so far."""
             docs = np.arange(len(uid)) if first else np.unique(doc[left])
-            had = [x[docs] * first for x in (known.astype(np.uint32), base.astype(np.float32), *by_count, sums(plain, seen).astype(np.float32))]
+            had = [x[docs] * first for x in (known.astype(np.uint32), base.astype(np.float32), *by_count, np.rint(-FINE * sums(plain, seen)).astype(np.uint64))]
             own_context, context = np.unique(g.context[left], return_inverse=True)
             own_history, history = np.unique(g.history[left], return_inverse=True)
             of_context = np.searchsorted(own_history, g.history[g.context_first[own_context]])
-            waits = [np.searchsorted(docs, doc[left]), context, history, np.where(on_hot, c3, 0)[left], g.c2[g.pair[left]], c1[left]]
-            vectors = [*contexts[:, own_context], np.where(hot[own_history], g.word[own_history] + np.uint64(1), np.uint64(0)), q[own_history], *pairs[:, own_history]]
-            keys_of = np.zeros(len(own_context), np.uint64) if first else g.context_key[own_context]  # all hot ones, as sent
-            return _pack(uid[docs].view(np.uint64), ordinal[docs].astype(np.uint32), *had, *(x.astype(np.uint32) for x in waits), np.diff(keys_of, prepend=np.uint64(0)), of_context.astype(np.uint32), *vectors)
+            waits = [np.diff(np.searchsorted(docs, doc[left]), prepend=0), context, history, np.where(on_hot, c3, 0)[left], g.c2[g.pair[left]], c1[left]]
+            vectors = [*(contexts[:, own_context] * first), np.where(hot[own_history], g.word[own_history] + np.uint64(1), np.uint64(0)), q[own_history], *pairs[:, own_history]]
+            adder = to[own_context] * (not first)  # with the order, this tells which sums are whose: all hot histories are here, as sent
+            return _pack(uid[docs].view(np.uint64), np.diff(ordinal[docs], prepend=0).astype(np.int32), *had, *(x.astype(np.uint32) for x in waits), adder.astype(np.uint32), of_context.astype(np.uint32), *vectors)
 
         rows.append(("asked", part, None, None, None, None, waiting(np.flatnonzero(~seen & ~on_hot), True)))
         if on_hot.any():
             rows.append(("late", part, None, None, None, None, waiting(np.flatnonzero(on_hot), False)))
         numbers = [int((c == r).sum()) for c in (g.c2, g.c3) for r in range(1, DISCOUNT_UP_TO + 2)]
         rows.append(("grams", part, None, None, numbers, None, g.stored(w, h2)))
-        to = _adder(g.context_key, spread)
         for k in np.unique(to[hot_context]):
             at = np.flatnonzero(hot_context & (to == k))
             rows.append(("context", part, None, int(k), None, None, _pack(np.diff(g.context_key[at], prepend=np.uint64(0)), *contexts[:, at])))
@@ -405,21 +431,22 @@ def _mass(by_count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (np.arange(1, DISCOUNT_UP_TO + 1) * d) @ by_count[:DISCOUNT_UP_TO] + by_count[DISCOUNT_UP_TO]
 
 
-def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple], spread: int):
+def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple]):
     """The sums of the texts that asked a partition, packed by batch of texts."""
     times = lambda c, d: c * np.where(c <= DISCOUNT_UP_TO, d[np.clip(c, 1, DISCOUNT_UP_TO) - 1], 1.0)
 
     def one(blob: bytes, sums: dict[int, np.ndarray] | None) -> Iterator[tuple]:
         """(batch of texts, place in it, and three sums) of a packed row."""
         uid, ordinal, known, base, *rest = _unpack(blob, *ASKED)
-        e, plain = rest[:DISCOUNT_UP_TO], rest[DISCOUNT_UP_TO]
+        ordinal = np.cumsum(ordinal, dtype=np.int64).astype(np.uint32)
+        e, plain = rest[:DISCOUNT_UP_TO], rest[DISCOUNT_UP_TO].astype(float) / -FINE
         doc, context, history, c3, c2, c1 = (x.astype(np.int64) for x in rest[6:12])
-        keys, of_context, contexts = rest[12], rest[13].astype(np.int64), np.array(rest[14:26], np.int64)
+        doc = np.cumsum(doc)
+        adder, of_context, contexts = rest[12], rest[13].astype(np.int64), np.array(rest[14:26], np.int64)
         hot_word, q, pairs = rest[26], rest[27], np.array(rest[28:], np.int64)
         for k in np.flatnonzero(hot_word):
             pairs[:, k], q[k] = hot[int(hot_word[k]) - 1]
         if sums is not None:
-            adder = _adder(np.cumsum(keys, dtype=np.uint64), spread)
             for k, found in sums.items():
                 contexts[:, adder == k] = found
         met2, all2 = _totals(pairs)
@@ -430,7 +457,7 @@ def _answered(d2: np.ndarray, d3: np.ndarray, total: float, hot: dict[int, tuple
         q3 = _mass(contexts[6:], d2) / all2[of_context]
         back3 = np.log10(np.maximum((1 - _mass(contexts[:6], d3) / all3) / (1 - q3), 1e-300))
         p3 = np.where(c3 > 0, np.log10(np.maximum(times(c3, d3), 1e-300) / all3[context]), np.where(met3[context] > 0, back3[context], 0.0) + p2)
-        score = plain.astype(float) + sum(n * np.log10(x) for n, x in zip(e, d3, strict=True)) + np.bincount(doc, p3, len(uid))
+        score = plain + sum(n * np.log10(x) for n, x in zip(e, d3, strict=True)) + np.bincount(doc, p3, len(uid))
         edges = np.flatnonzero(np.diff(uid.view(np.int64), prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield int(uid[a]), ordinal[a:b], known[a:b], base[a:b], score[a:b]
@@ -512,12 +539,12 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), (trains() if train is None else train).alias("train"), "text")
-    words = staged(texts.mapInArrow(_count_words, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(max(spark.sparkContext.defaultParallelism, size // (6 * PART_TOKENS) + 1))
+    words = staged(texts.mapInArrow(_count_words(parts), "part int, blob binary").groupBy("part").applyInArrow(_words, "key long, c long"))
     n, v = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
     total = n + 0.5 * (v + 1)
     codes = spark.sparkContext.broadcast(most_frequent(words, CACHED_WORDS, PART_TOKENS + PART_TOKENS // 2))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(spark.sparkContext.defaultParallelism, size // (6 * PART_TOKENS) + 1))
     rare = texts.mapInArrow(_rare_words(codes, parts), "part int, key long").join(words, "key").select("part", "key", "c")
     # tasks that add up what several partitions have of one history
     spread = int(codes.value.counts[codes.value.hot].sum() // (2 * PART_TOKENS) + 1)
@@ -533,7 +560,7 @@ def scored(docs: DataFrame, train: Column | None = None) -> DataFrame:
     vectors = lambda m: F.array(*(F.sum(F.col("vec")[k]) for k in range(m))).alias("vec")
     # at most one row a cached word
     hot = {x["key"]: (x["vec"], x["q"]) for x in tables.where("kind = 'hot'").groupBy("key").agg(vectors(6), F.sum("q").alias("q")).collect()}
-    here, with_sums = _answered(d2, d3, total, hot, spread)
+    here, with_sums = _answered(d2, d3, total, hot)
     schema = "uid long, head boolean, blob binary"
     answers = tables.where("kind in ('head', 'asked')").select("kind", "uid", "blob").mapInArrow(here, schema)
     if hot:
