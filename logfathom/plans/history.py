@@ -40,6 +40,32 @@ def purge(scans: DataFrame, detections: DataFrame, now: dt.datetime, days: int)
     return kept, detections.join(kept.select(c("id").alias("scan_id")), "scan_id", "left_semi")
 
 
+def detections_of(detections: DataFrame, scan_id: int) -> DataFrame:
+    """The detections of one scan, in the order they were made."""
+    return detections.where(c("scan_id") == scan_id).orderBy("id")
+
+
+def recent_detections(detections: DataFrame, n: int = 100) -> DataFrame:
+    return detections.orderBy(c("detected_at").desc(), c("id").desc()).limit(n)
+
+
+def search_detections(detections: DataFrame, text: str, n: int = 500) -> DataFrame:
+    """The latest detections with a text, in either case, in path or threat."""
+    has = lambda name: F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(text.lower()))
+    return recent_detections(detections.where(has("path") | has("threat")), n)
+
+
+def times_found(detections: DataFrame) -> DataFrame:
+    """How often each path was found before."""
+    return detections.groupBy("path").agg(F.count(F.lit(1)).alias("times"))
+
+
+def unit_counts(units: DataFrame) -> DataFrame:
+    """One row over service units (active_state, running, starts_itself, masked, packaged): how many are in each state; a null is no."""
+    states = {"running": c("running"), "failed": c("active_state") == "failed", "enabled": c("starts_itself"), "masked": c("masked"), "unpackaged": ~c("packaged")}
+    return units.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(test).alias(name) for name, test in states.items()))
+
+
 def drift(before: DataFrame, after: DataFrame, watched: dict[str, str]) -> DataFrame:
     """(path, change) between two snapshots of files. ``watched``: the change that a difference in a column means."""
     a = before.select(c("path").alias("_a"), *(c(k).alias(f"_a_{k}") for k in watched))

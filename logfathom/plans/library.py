@@ -2,7 +2,9 @@
 
 A log table has Timestamp, Level, Message, App, Source, SourceName, Format, Location,
 LineNumber, Raw, Extra (JSON text) and EventId (see ``sources.formats``). ``QUERIES`` holds
-category, title and function of each.
+category, title and function of each. ``OVER_TABLES`` holds the questions over the source
+table (``sources.ingest.source_table``), the scans and the detections of a virus scanner;
+their functions take these tables by name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+OVER_TABLES: dict[str, Query] = {}
 
 
 def _add(id_: str, category: str, title: str):
@@ -128,6 +131,13 @@ def gaps(t: Table, least: str = "6h") -> Table:
     return Table(rows.raw.select(*rows.columns)).summarize(by="Source", Gaps=agg["count"](), Longest=agg["max"](c("Gap"))).top(100, "Longest", ("Source", "asc"))
 
 
+
+
+@_add("one-app", "applications", "Everything one application wrote")
+def one_app(t: Table, app: str = "kernel", n: int = 300) -> Table:
+    return t.where(c("App") == app).top(n, "Timestamp", "EventId").project("Timestamp", "Level", "Message")
+
+
 _add("app-levels", "applications", "Levels by application")(lambda t: t.summarize(by=["App", "Level"], Count=agg["count"]()).sort_by(("App", "asc"), "Count", ("Level", "asc")))
 _add("app-first-last", "applications", "Life of each application's log")(lambda t: t.where(c("Timestamp").isNotNull()).summarize(by="App", First=agg["min"](c("Timestamp")), Last=agg["max"](c("Timestamp")), Events=agg["count"]()).sort_by("Last", ("App", "asc")))
 _add("chatty-files", "applications", "The largest logs")(lambda t: t.summarize(by=["Source", "App"], Events=agg["count"]()).top(50, "Events", ("Source", "asc")))
@@ -147,11 +157,13 @@ def spikes(t: Table, times: float = 3.0, least: int = 20) -> Table:
 _add("level-share", "volume", "Share of each level")(lambda t: t.summarize(by="Level", Count=agg["count"]()).sort_by("Count", ("Level", "asc")).render("piechart"))
 _add("no-timestamps", "index", "Logs without times")(lambda t: t.summarize(by="Source", Events=agg["count"](), Untimed=agg["countif"](c("Timestamp").isNull())).where(c("Untimed") > 0).extend(Percent=fn.round(100.0 * c("Untimed") / c("Events"), 1)).top(100, "Untimed", ("Source", "asc")))
 _add("format-breakdown", "index", "Events by format")(lambda t: t.summarize(by="Format", Events=agg["count"](), Logs=agg["dcount"](c("Source"))).sort_by("Events", ("Format", "asc")))
+SESSIONS = ("session opened", "session closed", "incorrect password", "a password is required")
+LOGIN_SERVICES = ("sshd", "sudo", "polkit", "systemd-logind", "login", "sddm", "gdm")
 _journal = lambda t: t.where(c("Format") == "journal")
 _add("journal-units", "journal", "Events by unit")(lambda t: _journal(t).summarize(by="App", Events=agg["count"](), Errors=agg["countif"](bad())).sort_by("Events", ("App", "asc")))
 _add("journal-failures", "journal", "Errors of the journal")(lambda t: newest(_journal(t).where(bad())))
 _add("journal-kernel", "journal", "The kernel's messages")(lambda t: newest(_journal(t).where(fn.member(c("Extra"), "transport") == "kernel")))
-_add("journal-authentication", "journal", "Logins in the journal")(lambda t: newest(_journal(t).where(v.has_any(c("Message"), "session opened", *AUTH))))
+_add("journal-authentication", "journal", "Logins in the journal")(lambda t: newest(_journal(t).where(v.has_any(c("Message"), *SESSIONS, *AUTH) | v.has_any(c("App"), *LOGIN_SERVICES))))
 _add("journal-vs-files", "journal", "Journal and files")(lambda t: t.summarize(by={"Kind": F.when(c("Format") == "journal", "journal").otherwise("files")}, Events=agg["count"]()).sort_by("Events").render("piechart"))
 _add("journal-boot", "journal", "Events by boot")(lambda t: _journal(t).summarize(by={"Boot": fn.member(c("Extra"), "boot")}, Events=agg["count"](), First=agg["min"](c("Timestamp")), Last=agg["max"](c("Timestamp"))).sort_by("First"))
 
@@ -166,6 +178,44 @@ def in_context(moments: Table, log: Table, time: str, around: str = "5m", keep:
     return Table(rows.drop("_b"))
 
 
+SCANNERS = ("clamav", "clamd", "freshclam")
+
+
+@_add("scanner-log", "scanner", "The virus scanner's own lines")
+def scanner_log(t: Table) -> Table:
+    own = v.has_any(c("App"), *SCANNERS) | F.contains(F.lower("Source"), F.lit("clam"))
+    return t.where(own).sort_by("Timestamp", "EventId").project("Timestamp", "Level", "Source", "Message")
+
+
+def _over(id_: str, category: str, title: str):
+    def keep(f):
+        OVER_TABLES[id_] = Query(category, title, f)
+        return f
+
+    return keep
+
+
+_over("sources-list", "index", "Every log that was read")(lambda t: t["sources"].project("App", "Path", "Format", "Confidence", "Events").sort_by("Events", ("Path", "asc")))
+
+
+@_over("low-confidence", "index", "Logs whose format was a guess")
+def low_confidence(t: dict[str, Table], below: float = 0.8) -> Table:
+    rows = t["sources"].where(c("Confidence") < below, c("Events") > 0)
+    return rows.project("App", "Path", "Format", "Confidence", "Events").sort_by(("Confidence", "asc"), ("Path", "asc"))
+
+
+_over("detections", "scanner", "Every threat found")(lambda t: t["detections"].sort_by("detected_at", "id").project("detected_at", "threat", "path", "action", "file_size"))
+
+
+@_over("detections-in-context", "scanner", "Log lines around each detection")
+def detections_in_context(t: dict[str, Table], around: str = "5m", n: int = 300) -> Table:
+    rows = in_context(t["detections"].project("detected_at", "threat", "path"), t["logs"], "detected_at", around, (*SHOWN, "EventId"))
+    return rows.top(n, ("Timestamp", "asc"), ("EventId", "asc"), ("path", "asc")).project(*SHOWN, "threat", "path")
+
+
+_over("scan-history", "scanner", "Scans over time")(lambda t: t["scans"].where(c("started_at").isNotNull()).top(50, "started_at", "id").project("started_at", "kind", "status", "files_scanned", "threats_found", "duration"))
+
+
 def events_as_log(t: Callable[[str], Table]) -> Table:
     """The test events with the columns of a log."""
     return t("events").project(Timestamp=c("ts"), Level=F.when(c("event_type") == "error", "error").otherwise("info"), Message=fn.strcat(c("event_type"), " value ", F.floor("value"), " of user ", c("user_id")), App=c("event_type"), Source=fn.strcat("user-", c("user_id") % 20), Format=F.lit("jsonl"), Extra=c("props"), EventId=c("event_id"))
@@ -181,8 +231,8 @@ OVER_TEST_TABLES = {
     "lib_gaps": (lambda t: gaps(events_as_log(t)), f"SELECT \"Source\", count(*) AS \"Gaps\", max(g) AS \"Longest\" FROM (SELECT \"Source\", epoch_us(\"Timestamp\") - epoch_us(lag(\"Timestamp\") OVER (PARTITION BY \"Source\" ORDER BY \"Timestamp\", \"EventId\")) AS g FROM {_LOG}) WHERE g > 21600000000 GROUP BY 1 ORDER BY \"Longest\" DESC, \"Source\" LIMIT 100"),
     "lib_spikes": (lambda t: spikes(events_as_log(t), 2.0, 2), f"SELECT * FROM (SELECT *, lag(\"Count\") OVER (PARTITION BY \"App\" ORDER BY \"Hour\") AS \"Before\" FROM (SELECT \"App\", date_trunc('hour', \"Timestamp\") AS \"Hour\", count(*) AS \"Count\" FROM {_LOG} GROUP BY 1, 2)) WHERE \"Count\" >= 2 AND \"Count\" >= 2 * \"Before\" ORDER BY \"Count\" DESC, \"App\", \"Hour\" LIMIT 100"),
     "lib_context_join": (
-        lambda t: in_context(t("events").where(c("event_type") == "error", c("event_id") % 7 == 0).project(error_id=c("event_id"), at=c("ts")), events_as_log(t), "at", "10m", ("Timestamp", "EventId")),
-        f"SELECT e.event_id AS error_id, ts AS at, \"Timestamp\", \"EventId\" FROM events e JOIN {_LOG} ON abs(epoch_us(ts) - epoch_us(\"Timestamp\")) <= 600000000 WHERE event_type = 'error' AND e.event_id % 7 = 0",
+        lambda t: in_context(t("events").where(c("event_type") == "error").project(error_id=c("event_id"), at=c("ts")), events_as_log(t), "at", "10m", ("Timestamp", "EventId")),
+        f"SELECT e.event_id AS error_id, ts AS at, \"Timestamp\", \"EventId\" FROM events e JOIN {_LOG} ON abs(epoch_us(ts) - epoch_us(\"Timestamp\")) <= 600000000 WHERE event_type = 'error'",
     ),
     "lib_context_join_whole": (
         lambda t: in_context(t("events").where(c("event_type") == "error").project(error_id=c("event_id"), at=c("ts")), events_as_log(t), "at", "10m", ("Timestamp", "EventId")),

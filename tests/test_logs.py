@@ -109,7 +109,26 @@ def test_every_library_query_runs(log):
     for id_, q in library.QUERIES.items():
         found = q.run(log).df
         assert found.columns and len(found.collect()) == found.count(), id_
-    assert len(library.QUERIES) >= 37
+    assert len(library.QUERIES) >= 39
+
+
+def test_questions_over_sources_and_scans(spark, log):
+    at = utc(2026, 9, 20, 2)
+    sources = Table(spark.createDataFrame([("a", "/a", "csv", 0.9, 5), ("b", "/b", "plain", 0.3, 2), ("c", "/c", "plain", 0.2, 0)], "App string, Path string, Format string, Confidence double, Events long"))
+    scans = Table(spark.createDataFrame([(1, at, "full", "done", 9, 1, 2.5), (2, None, "quick", "stopped", 0, 0, None)], "id long, started_at timestamp, kind string, status string, files_scanned long, threats_found long, duration double"))
+    hits = spark.createDataFrame([(1, 1, at, "/x/Evil.bin", "Worm", "moved", 3), (2, 1, at + dt.timedelta(days=1), "/y", "evil.B", "none", 4), (3, 2, None, None, None, None, None)], "id long, scan_id long, detected_at timestamp, path string, threat string, action string, file_size long")
+    tables = {"logs": log, "sources": sources, "scans": scans, "detections": Table(hits)}
+    found = {k: q.run(tables).df.collect() for k, q in library.OVER_TABLES.items()}
+    assert {k: len(r) for k, r in found.items()} == {"sources-list": 3, "low-confidence": 1, "detections": 3, "detections-in-context": 4, "scan-history": 1}
+    assert [r["Path"] for r in found["sources-list"]] == ["/a", "/b", "/c"] and found["low-confidence"][0]["Path"] == "/b"
+    assert [r["Message"] for r in found["detections-in-context"]] == ["failed password for root", "host 8.8.8.8 and 10.0.0.1", "Segfault at 0", "all fine"]
+    assert len(library.one_app(log, "app").df.collect()) == 21 and not library.one_app(log, "none").df.collect()
+    ids = lambda df: [r["id"] for r in df.collect()]
+    assert ids(history.detections_of(hits, 1)) == [1, 2] and ids(history.recent_detections(hits, 2)) == [2, 1]
+    assert ids(history.search_detections(hits, "EVIL")) == [2, 1] and ids(history.search_detections(hits, "none")) == []
+    assert {tuple(r) for r in history.times_found(hits).collect()} == {("/x/Evil.bin", 1), ("/y", 1), (None, 1)}
+    units = spark.createDataFrame([("active", True, True, False, True), ("failed", False, True, False, False), (None, None, None, True, None)], "active_state string, running boolean, starts_itself boolean, masked boolean, packaged boolean")
+    assert history.unit_counts(units).first().asDict() == {"total": 3, "running": 1, "failed": 1, "enabled": 2, "masked": 1, "unpackaged": 1}
 
 
 def test_rules(spark, log):
