@@ -1,22 +1,25 @@
 """Substring deduplication: sparse suffix trees, partitioned by variable-length prefixes.
 
-Only suffixes that start at anchors are indexed: of the ``PREFIX``-word runs inside a
+Only suffixes that start at anchors are indexed: of the runs of a few words inside a
 window, the one with the smallest fingerprint (the first, if equal). Equal windows have
 equal anchors, and every window has one, so each window hangs under one anchor's prefix.
-Suffixes are split by that prefix, of ``PREFIX`` words; a group larger than ``GROUP_ROWS``
-is split again by longer prefixes (the fingerprint of its first window). In a group, sorted
-fingerprints of the windows are the tree's nodes of depth ``window`` words: a node with
-several leaves is a repeat, and all its leaves but the first are marked. Before suffixes
-are moved, every batch of texts builds its own tree and keeps only the first leaf of each
-node, so that a passage in very many documents arrives once a batch, not once a copy.
-
-Words are compared by 64-bit hashes and windows by fingerprints, of which 56 bits move: two
-different windows of one group are taken for one with probability 2**-56 a pair.
+Suffixes are split by that prefix, of four words; while a prefix is that of too many, its
+windows hang under a longer one (``PREFIXES``, at last the window itself), for as many rounds
+as needed. The words of each window move to its group. There, and before in every batch of
+texts, the suffixes are sorted by their words; those that share ``window`` words are the
+leaves under one internal node of that depth. A node with several leaves is a repeat, and all
+its leaves but the first are marked. A batch sends only the first leaf of each node, so that a
+passage in very many documents arrives once a batch, not once a copy.
+
+Fingerprints only decide where suffixes meet and which are leaves of their own; that
+windows are equal is decided by their words. The trees end at depth ``window``, since
+what is below changes no mark.
 
 Edge cases: a null, empty or blank text has no words; texts with fewer words than a window
-lose none; a null doc_id comes after all others; rows with equal doc_id are one document,
-so that exactly repeated rows do not mark each other; an empty table gives an empty one;
-other columns are not read.
+lose none; a text of any length is read whole, a very long one as a batch of its own; a null
+doc_id comes after all others; rows with equal doc_id are one document, so that exactly
+repeated rows do not mark each other; an empty table gives an empty one; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -32,74 +35,115 @@ from pyspark.sql import types as T
 
 from .common import LAST, doc_bytes, mixed, rolled, word_hashes
 
-WINDOW, PREFIX = 20, 8
-#: Words that a batch's tree holds at once, and suffixes that a group does.
-BATCH_WORDS, GROUP_ROWS = 1_000_000, 2_000_000
+WINDOW = 20
+#: Words of a prefix: longer ones where the shorter is that of too many suffixes.
+PREFIXES = (4, 8, 12, 16)
+#: Words that a batch's tree holds at once, suffixes that a group does, and those sorted by words at once.
+BATCH_WORDS, GROUP_ROWS, SORTED_ROWS = 1_000_000, 2_000_000, 250_000
+#: Texts of which one is read to estimate how many suffixes a prefix has; that only decides how they are split.
+ONE_IN = 64
 MARKS = "doc_id long, key long, starts binary"
 
 
-def parts_of(docs: DataFrame, text: str = "text") -> int:
-    """Groups such that each holds about a million and a half windows, at six bytes a word."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (6 * 1_500_000) + 1)) | 1
+def windows_of(docs: DataFrame, text: str = "text") -> int:
+    """About how many windows there are, at six bytes a word."""
+    return (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 6
+
+
+def parts_of(docs: DataFrame, windows: int) -> int:
+    """Groups such that each holds about a million and a half windows."""
+    return int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows // 1_500_000 + 1)) | 1
 
 
 class Suffixes:
-    """The windows of some texts: fingerprint, anchor prefix, text and start of each."""
+    """The windows of some texts: text, start, place among all words and fingerprint of each."""
 
     def __init__(self, texts: list[list[bytes]], window: int):
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        h = word_hashes([w for t in texts for w in t])
-        prefix = min(PREFIX, window)
-        self.row = self.start = np.zeros(0, np.int64)
-        self.window = self.prefix = np.zeros(0, np.uint64)
-        if len(h) < window:
-            return
+        code: dict[bytes, int] = {}
+        self.size = window
+        self.codes = np.fromiter((code.setdefault(w, len(code)) for t in texts for w in t), np.int32, int(lens.sum()))
+        self.words = list(code)
+        self.hashes = word_hashes(self.words)[self.codes]
         doc = np.repeat(np.arange(len(texts)), lens)
         first = np.cumsum(lens) - lens
-        at = np.arange(len(h) - window + 1)
-        at = at[at + window <= (first + lens)[doc[at]]]  # windows within one text
-        g = rolled(h, prefix)
-        span = window - prefix + 1
-        low = np.lib.stride_tricks.sliding_window_view(g, span)[: len(h) - window + 1].argmin(axis=1)
-        self.anchor = at + low[at]
-        self.prefix = g[self.anchor]
-        self.window = rolled(h, window)[at]
-        self.row = doc[at]
-        self.start = at - first[self.row]
-
-
-def later_leaves(window: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows occur at an earlier (doc, start) too: all leaves of a node but its first."""
+        at = np.arange(max(len(self.codes) - window + 1, 0))
+        self.at = at[at + window <= (first + lens)[doc[at]]]  # windows within one text
+        self.row = doc[self.at]
+        self.start = self.at - first[self.row]
+        self.window = rolled(self.hashes, window)[self.at]
+
+    def prefix(self, length: int) -> np.ndarray:
+        """The fingerprint of ``length`` words at the anchor of each window."""
+        if length >= self.size or not len(self.at):
+            return self.window
+        g = rolled(self.hashes, length)
+        low = np.lib.stride_tricks.sliding_window_view(g, self.size - length + 1).argmin(axis=1)
+        return g[self.at + low[self.at]]
+
+    def groups(self, hot: list[np.ndarray]) -> np.ndarray:
+        """The prefix that each window hangs under; a hot one is replaced by the next longer."""
+        out = self.prefix(PREFIXES[0])
+        for length, many in zip((*PREFIXES[1:], self.size), hot, strict=False):
+            out = np.where(np.isin(out, many), self.prefix(length), out)
+        return out
+
+
+def later_leaves(window: np.ndarray, codes: np.ndarray, at: np.ndarray, size: int, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows occur at an earlier (doc, start) too: all leaves of a node but its first.
+
+    Windows of different fingerprints are different; those that share one are sorted by their
+    words, ``codes`` from ``at`` on, and a node is a run of suffixes with ``size`` common words.
+    """
     order = np.argsort(window, kind="stable")
     w = window[order]
     same = np.zeros(len(w), bool)
     eq = w[1:] == w[:-1]
     same[1:] |= eq
     same[:-1] |= eq
-    some = order[same]  # leaves of nodes with several
+    some = order[same]
     later = np.zeros(len(w), bool)
-    if len(some):
-        some = some[np.lexsort((start[some], doc[some], window[some]))]
-        head = np.ones(len(some), bool)
-        head[1:] = window[some[1:]] != window[some[:-1]]
-        lead = some[np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))]
-        later[some] = (doc[some] != doc[lead]) | (start[some] != start[lead])
+    w = window[some]
+    a = 0
+    while a < len(some):
+        b = int(np.searchsorted(w, w[min(a + SORTED_ROWS, len(some)) - 1], side="right"))
+        leaf = some[a:b]
+        words = np.empty((len(leaf), size), ">u4")
+        for k in range(size):
+            words[:, k] = codes[at[leaf] + k]
+        suffix = np.lexsort((start[leaf], doc[leaf], words.view(f"S{4 * size}").ravel()))
+        leaf, words = leaf[suffix], words[suffix]
+        common = words[1:] == words[:-1]
+        depth = np.where(common.all(axis=1), size, common.argmin(axis=1))  # of the node above two neighbours
+        head = np.append(True, depth < size)
+        lead = leaf[np.maximum.accumulate(np.where(head, np.arange(len(leaf)), 0))]
+        later[leaf] = (doc[leaf] != doc[lead]) | (start[leaf] != start[lead])
+        a = b
     return later
 
 
-def _packed(rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> bytes:
-    """Runs of windows (text, first start, length) and the fingerprints of all of them."""
-    docs, local = np.unique(rows, return_inverse=True)
-    head = np.array([len(docs), len(rows), len(windows)], np.int64)
-    low = windows.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-    return b"".join(x.tobytes() for x in (head, ids[docs], keys[docs], local.astype(np.int32), starts.astype(np.int32), sizes.astype(np.uint8), low))
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window, doc_id, key, start) of every window."""
-    d, r, n = np.frombuffer(blob, np.int64, 3)
-    at = 24
+def _packed(s: Suffixes, slot: np.ndarray, ids: np.ndarray, keys: np.ndarray, lead: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Runs of windows (text, first start, length), and their words: a vocabulary and places in it."""
+    docs, local = np.unique(s.row[lead], return_inverse=True)
+    lens = sizes + s.size - 1
+    at = np.repeat(s.at[lead] - (np.cumsum(lens) - lens), lens)
+    at += np.arange(len(at))
+    codes = s.codes[at]
+    met = np.zeros(len(s.words), bool)
+    met[codes] = True
+    met = np.flatnonzero(met)
+    slot[met] = np.arange(len(met))
+    words = b" ".join([s.words[k] for k in met.tolist()])
+    head = np.array([len(docs), len(lead), len(codes), len(words), len(met)], np.int64)
+    kind = np.uint16 if len(met) <= 1 << 16 else np.uint32
+    arrays = (head, ids[docs], keys[docs], local.astype(np.int32), s.start[lead].astype(np.int32), sizes.astype(np.uint8), slot[codes].astype(kind))
+    return b"".join([*(x.tobytes() for x in arrays), words])
+
+
+def _unpacked(blob: bytes, known: dict[bytes, int], size: int, before: int) -> tuple[np.ndarray, ...]:
+    """(window, doc_id, key, start, place) of every window, and the codes of all words; places count from ``before``."""
+    d, r, n, _, vocabulary = (int(x) for x in np.frombuffer(blob, np.int64, 5))
+    at = 40
 
     def take(kind: type, count: int) -> np.ndarray:
         nonlocal at
@@ -108,12 +152,15 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         return out
 
     ids, keys, local, starts, sizes = take(np.int64, d), take(np.int64, d), take(np.int32, r), take(np.int32, r), take(np.uint8, r)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :7] = take(np.uint8, 7 * n).reshape(-1, 7)
+    places = take(np.uint16 if vocabulary <= 1 << 16 else np.uint32, n)
+    codes = np.fromiter((known.setdefault(w, len(known)) for w in blob[at:].split(b" ")), np.int32, vocabulary)[places]
     sizes = sizes.astype(np.int64)
-    step = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     row = np.repeat(local, sizes)
-    return wide.view("<u8").ravel(), ids[row], keys[row], np.repeat(starts, sizes) + step
+    step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    lens = sizes + size - 1
+    place = np.repeat(np.cumsum(lens) - lens, sizes) + step
+    window = rolled(mixed(codes.astype(np.uint64)), size)[place]
+    return window, ids[row], keys[row], (np.repeat(starts, sizes) + step).astype(np.int32), place + before, codes
 
 
 def _marks(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -147,68 +194,80 @@ def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np
         yield np.array(ids, np.int64), np.array(keys, np.int64), texts
 
 
-def _grower(parts: int, window: int, hot: np.ndarray):
+def _grower(parts: int, window: int, hot: list[np.ndarray]):
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, texts in _batches(batches, BATCH_WORDS):
             s = Suffixes(texts, window)
             del texts
-            later = later_leaves(s.window, ids[s.row], s.start)
+            later = later_leaves(s.window, s.codes, s.at, window, ids[s.row], s.start)
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, k, starts in _marks(ids[s.row[later]], keys[s.row[later]], s.start[later]):
                 for x, v in zip(out, (abs(i) % parts, None, i, k, starts), strict=True):
                     x.append(v)
-            row, start, w, g = s.row[~later], s.start[~later], s.window[~later], s.prefix[~later] if len(s.prefix) else s.prefix
-            longer = np.isin(g, hot)  # a prefix of too many suffixes is as long as the window
-            g = np.where(longer, mixed(w), g)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (g[1:] != g[:-1]) | longer[1:]
+            stay = np.flatnonzero(~later)
+            g, row, start = s.groups(hot)[stay], s.row[stay], s.start[stay]
+            new = np.ones(len(stay), bool)
+            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (g[1:] != g[:-1])
             lead = np.flatnonzero(new)
-            size = np.diff(np.append(lead, len(row)))
-            long_ = size > 255  # equal neighbours only: "a a a a ..."
+            size = np.diff(np.append(lead, len(stay)))
+            long_ = size > 255  # the same prefix again and again
             if long_.any():
                 lead = np.sort(np.concatenate([lead, *(np.arange(a + 255, a + n, 255) for a, n in zip(lead[long_], size[long_], strict=True))]))
-                size = np.diff(np.append(lead, len(row)))
+                size = np.diff(np.append(lead, len(stay)))
             part = (g[lead] >> np.uint64(16)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            at = np.repeat(lead[order], size[order])
-            at += np.arange(len(at)) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
-            w, part, ends = w[at], part[order], np.cumsum(size[order])
-            edges = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63), append=np.uint64(2**63)))
+            part, slot = part[order], np.zeros(len(s.words), np.int64)
+            edges = np.append(np.flatnonzero(np.diff(part, prepend=np.uint64(2**63))), len(part))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 o = order[a:b]
-                blob = _packed(row[lead[o]], ids, keys, start[lead[o]], size[o], w[ends[a] - size[o[0]] : ends[b - 1]])
-                for x, v in zip(out, (int(part[a]), blob, None, None, None), strict=True):
+                for x, v in zip(out, (int(part[a]), _packed(s, slot, ids, keys, stay[lead[o]], size[o]), None, None, None), strict=True):
                     x.append(v)
             yield _rows(*out)
 
     return grow
 
 
-def _joined(group: pa.Table) -> pa.Table:
-    """One group's tree from all batches' leaves: marks of all leaves of a node but the first."""
-    blobs = [x for x in group.column("leaves").to_pylist() if x]
-    local = group.filter(pa.compute.is_null(group.column("leaves"))).select(["doc_id", "key", "starts"])
-    got: list[tuple] = []
-    if blobs:
-        w, ids, keys, starts = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
-        later = later_leaves(w, ids, starts)
-        got = list(_marks(ids[later], keys[later], starts[later]))
-    new = pa.table([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "key", "starts"])
-    return pa.concat_tables([new, local.cast(new.schema)])
-
-
-def hot_prefixes(rows: DataFrame, window: int, one_in: int = 64) -> np.ndarray:
-    """Prefixes of very many suffixes, from one text in ``one_in``; they only decide how suffixes are split."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in _batches(batches, BATCH_WORDS):
-            g, n = np.unique(Suffixes(texts, window).prefix, return_counts=True)
-            some = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(g[some].view(np.int64)), pa.array(n[some], pa.int64())], ["g", "n"])
-
-    some = rows.where(F.pmod("key", F.lit(one_in)) == 0).mapInArrow(count, "g long, n long")
-    large = some.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") * one_in > GROUP_ROWS // 8)
-    return np.array([r["g"] for r in large.orderBy(F.desc("n"), "g").limit(10_000).collect()], np.int64).view(np.uint64)
+def _joiner(window: int):
+    def joined(group: pa.Table) -> pa.Table:
+        """One group's tree from all batches' leaves: marks of all leaves of a node but the first."""
+        local = group.filter(pa.compute.is_null(group.column("leaves"))).select(["doc_id", "key", "starts"])
+        known: dict[bytes, int] = {}
+        got: list[tuple[np.ndarray, ...]] = []
+        before = 0
+        for blob in group.column("leaves"):
+            if blob.is_valid:
+                got.append(_unpacked(blob.as_py(), known, window, before))
+                before += len(got[-1][5])
+        marks: list[tuple] = []
+        if got:
+            w, ids, keys, starts, at, codes = (np.concatenate(x) for x in zip(*got, strict=True))
+            later = later_leaves(w, codes, at, window, ids, starts)
+            marks = list(_marks(ids[later], keys[later], starts[later]))
+        new = pa.table([pa.array([r[k] for r in marks], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "key", "starts"])
+        return pa.concat_tables([new, local.cast(new.schema)])
+
+    return joined
+
+
+def hot_prefixes(rows: DataFrame, window: int, windows: int) -> list[np.ndarray]:
+    """By length, the prefixes of very many suffixes, round by round; a round has at most about a million (8 MB)."""
+    bound = max(GROUP_ROWS // 8, windows >> 20)
+    hot: list[np.ndarray] = []
+    some = rows.where(F.pmod("key", F.lit(ONE_IN)) == 0)
+    while len(hot) < len(PREFIXES):
+
+        def count(batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, ...] = tuple(hot)) -> Iterator[pa.RecordBatch]:
+            for _, _, texts in _batches(batches, BATCH_WORDS):
+                g, n = np.unique(Suffixes(texts, window).groups(list(known)), return_counts=True)
+                met = n > 1
+                yield pa.RecordBatch.from_arrays([pa.array(g[met].view(np.int64)), pa.array(n[met], pa.int64())], ["g", "n"])
+
+        large = some.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") * ONE_IN > bound)
+        found = np.array([r["g"] for r in large.collect()], np.int64).view(np.uint64)
+        if not len(found):
+            break
+        hot.append(found)
+    return hot
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
@@ -234,9 +293,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, and ``kept``, its words outside repeats joined by one space."""
     key = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), key.alias("key"), "text")
-    parts, hot = parts_of(docs), hot_prefixes(rows, window)
+    windows = windows_of(docs)
+    parts, hot = parts_of(docs, windows), hot_prefixes(rows, window, windows)
     leaves = rows.mapInArrow(_grower(parts, window, hot), "part int, leaves binary, doc_id long, key long, starts binary")
-    marks = leaves.groupBy("part").applyInArrow(_joined, MARKS)
+    marks = leaves.repartition(parts, "part").groupBy("part").applyInArrow(_joiner(window), MARKS)
     by_doc = marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("starts").alias("starts"))
     found = rows.join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     cut = found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), _cut(F.col("text"), F.col("starts"), F.lit(window)).alias("c"))

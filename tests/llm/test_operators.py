@@ -271,10 +271,22 @@ def test_substrings_of_many_copies(spark, monkeypatch):
         rows.append((int(d), " ".join([*rng.choice(vocabulary, rng.integers(0, 40)), *passage[a:b], *rng.choice(vocabulary, rng.integers(0, 40))])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(tuple(r) for r in substrings.digest(df).collect()) == brute_repeats(rows)
-    monkeypatch.setattr(substrings, "hot_prefixes", lambda *_: np.unique(substrings.Suffixes([t.encode().split() for _, t in rows], 20).prefix))
+    # every prefix is that of too many, round by round up to the whole window
+    monkeypatch.setattr(substrings, "GROUP_ROWS", 8)
+    monkeypatch.setattr(substrings, "ONE_IN", 1)
+    hot = substrings.hot_prefixes(df.selectExpr("doc_id", "0L as key", "text"), 20, 1000)
+    assert [len(x) > 0 for x in hot] == [True] * len(substrings.PREFIXES)
     assert Counter(tuple(r) for r in substrings.digest(df).collect()) == brute_repeats(rows)
 
 
+def test_substrings_are_compared_by_words():
+    texts = [[b"w%d" % k for k in range(30)], [b"w%d" % k for k in range(29)] + [b"x"]]
+    s = substrings.Suffixes(texts, 20)
+    for prints in (s.window, np.zeros_like(s.window)):  # also if all fingerprints were equal
+        later = substrings.later_leaves(prints, s.codes, s.at, 20, s.row, s.start)
+        assert list(zip(s.row[later], s.start[later], strict=True)) == [(1, k) for k in range(10)]
+
+
 def brute_katz(rows):
     """Words, pairs and triples of whole texts in dictionaries, evaluated by recursion."""
     is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
