@@ -3,7 +3,7 @@
 Only suffixes that start at anchors are indexed: of the runs of a few words inside a
 window, the one with the smallest fingerprint (the first, if equal). Equal windows have
 equal anchors, and every window has one, so each window hangs under one anchor's prefix.
-Suffixes are split by that prefix, of four words; while a prefix is that of too many, its
+Suffixes are split by that prefix, of two words; while a prefix is that of too many, its
 windows hang under a longer one (``PREFIXES``, at last the window itself), for as many rounds
 as needed. The words of each window move to its group. There, and before in every batch of
 texts, the suffixes are sorted by their words; those that share ``window`` words are the
@@ -37,7 +37,7 @@ from .common import LAST, doc_bytes, mixed, rolled, word_hashes
 
 WINDOW = 20
 #: Words of a prefix: longer ones where the shorter is that of too many suffixes.
-PREFIXES = (4, 8, 12, 16)
+PREFIXES = (2, 4, 8, 14)
 #: Words that a batch's tree holds at once, suffixes that a group does, and those sorted by words at once.
 BATCH_WORDS, GROUP_ROWS, SORTED_ROWS = 1_000_000, 2_000_000, 250_000
 #: Texts of which one is read to estimate how many suffixes a prefix has; that only decides how they are split.
@@ -134,16 +134,18 @@ def _packed(s: Suffixes, slot: np.ndarray, ids: np.ndarray, keys: np.ndarray, le
     met = np.flatnonzero(met)
     slot[met] = np.arange(len(met))
     words = b" ".join([s.words[k] for k in met.tolist()])
-    head = np.array([len(docs), len(lead), len(codes), len(words), len(met)], np.int64)
+    head = np.array([len(docs), len(lead), len(codes), len(met)], np.int64)
     kind = np.uint16 if len(met) <= 1 << 16 else np.uint32
     arrays = (head, ids[docs], keys[docs], local.astype(np.int32), s.start[lead].astype(np.int32), sizes.astype(np.uint8), slot[codes].astype(kind))
-    return b"".join([*(x.tobytes() for x in arrays), words])
+    raw = b"".join([*(x.tobytes() for x in arrays), words])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(blob: bytes, known: dict[bytes, int], size: int, before: int) -> tuple[np.ndarray, ...]:
     """(window, doc_id, key, start, place) of every window, and the codes of all words; places count from ``before``."""
-    d, r, n, _, vocabulary = (int(x) for x in np.frombuffer(blob, np.int64, 5))
-    at = 40
+    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    d, r, n, vocabulary = (int(x) for x in np.frombuffer(blob, np.int64, 4))
+    at = 32
 
     def take(kind: type, count: int) -> np.ndarray:
         nonlocal at
