@@ -39,9 +39,10 @@ WINDOW = 20
 #: Words of a prefix: longer ones where the shorter is that of too many suffixes.
 PREFIXES = (2, 4, 8, 14)
 #: Words that a batch's tree holds at once, suffixes that a group does, and those sorted by words at once.
-BATCH_WORDS, GROUP_ROWS, SORTED_ROWS = 1_000_000, 2_000_000, 250_000
+BATCH_WORDS, GROUP_ROWS, SORTED_ROWS = 500_000, 2_000_000, 100_000
 #: Texts of which one is read to estimate how many suffixes a prefix has; that only decides how they are split.
 ONE_IN = 64
+ZSTD = pa.Codec("zstd", compression_level=5)
 MARKS = "doc_id long, key long, starts binary"
 
 
@@ -122,30 +123,30 @@ def later_leaves(window: np.ndarray, codes: np.ndarray, at: np.ndarray, size: in
     return later
 
 
-def _packed(s: Suffixes, slot: np.ndarray, ids: np.ndarray, keys: np.ndarray, lead: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Runs of windows (text, first start, length), and their words: a vocabulary and places in it."""
+def _shrunk(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
+
+
+def _whole(small: bytes) -> bytes:
+    return ZSTD.decompress(small[8:], int.from_bytes(small[:8], "little"), asbytes=True)
+
+
+def _packed(s: Suffixes, ids: np.ndarray, keys: np.ndarray, lead: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Runs of windows (text, first start, length), and their words."""
     docs, local = np.unique(s.row[lead], return_inverse=True)
     lens = sizes + s.size - 1
     at = np.repeat(s.at[lead] - (np.cumsum(lens) - lens), lens)
     at += np.arange(len(at))
-    codes = s.codes[at]
-    met = np.zeros(len(s.words), bool)
-    met[codes] = True
-    met = np.flatnonzero(met)
-    slot[met] = np.arange(len(met))
-    words = b" ".join([s.words[k] for k in met.tolist()])
-    head = np.array([len(docs), len(lead), len(codes), len(met)], np.int64)
-    kind = np.uint16 if len(met) <= 1 << 16 else np.uint32
-    arrays = (head, ids[docs], keys[docs], local.astype(np.int32), s.start[lead].astype(np.int32), sizes.astype(np.uint8), slot[codes].astype(kind))
-    raw = b"".join([*(x.tobytes() for x in arrays), words])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    head = np.array([len(docs), len(lead)], np.int64)
+    arrays = (head, ids[docs], keys[docs], local.astype(np.int32), s.start[lead].astype(np.int32), sizes.astype(np.uint8))
+    return _shrunk(b"".join([*(x.tobytes() for x in arrays), b" ".join([s.words[k] for k in s.codes[at].tolist()])]))
 
 
 def _unpacked(blob: bytes, known: dict[bytes, int], size: int, before: int) -> tuple[np.ndarray, ...]:
     """(window, doc_id, key, start, place) of every window, and the codes of all words; places count from ``before``."""
-    blob = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    d, r, n, vocabulary = (int(x) for x in np.frombuffer(blob, np.int64, 4))
-    at = 32
+    blob = _whole(blob)
+    d, r = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    at = 16
 
     def take(kind: type, count: int) -> np.ndarray:
         nonlocal at
@@ -153,13 +154,11 @@ def _unpacked(blob: bytes, known: dict[bytes, int], size: int, before: int) -> t
         at += out.nbytes
         return out
 
-    ids, keys, local, starts, sizes = take(np.int64, d), take(np.int64, d), take(np.int32, r), take(np.int32, r), take(np.uint8, r)
-    places = take(np.uint16 if vocabulary <= 1 << 16 else np.uint32, n)
-    codes = np.fromiter((known.setdefault(w, len(known)) for w in blob[at:].split(b" ")), np.int32, vocabulary)[places]
-    sizes = sizes.astype(np.int64)
+    ids, keys, local, starts, sizes = take(np.int64, d), take(np.int64, d), take(np.int32, r), take(np.int32, r), take(np.uint8, r).astype(np.int64)
+    lens = sizes + size - 1
+    codes = np.fromiter((known.setdefault(w, len(known)) for w in blob[at:].split(b" ")), np.int32, int(lens.sum()))
     row = np.repeat(local, sizes)
     step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    lens = sizes + size - 1
     place = np.repeat(np.cumsum(lens) - lens, sizes) + step
     window = rolled(mixed(codes.astype(np.uint64)), size)[place]
     return window, ids[row], keys[row], (np.repeat(starts, sizes) + step).astype(np.int32), place + before, codes
@@ -218,11 +217,11 @@ def _grower(parts: int, window: int, hot: list[np.ndarray]):
                 size = np.diff(np.append(lead, len(stay)))
             part = (g[lead] >> np.uint64(16)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            part, slot = part[order], np.zeros(len(s.words), np.int64)
+            part = part[order]
             edges = np.append(np.flatnonzero(np.diff(part, prepend=np.uint64(2**63))), len(part))
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 o = order[a:b]
-                for x, v in zip(out, (int(part[a]), _packed(s, slot, ids, keys, stay[lead[o]], size[o]), None, None, None), strict=True):
+                for x, v in zip(out, (int(part[a]), _packed(s, ids, keys, stay[lead[o]], size[o]), None, None, None), strict=True):
                     x.append(v)
             yield _rows(*out)
 
@@ -272,11 +271,16 @@ def hot_prefixes(rows: DataFrame, window: int, windows: int) -> list[np.ndarray]
     return hot
 
 
+@F.arrow_udf(T.BinaryType())
+def _small(text: pa.Array) -> pa.Array:
+    return pa.array(list(map(_shrunk, doc_bytes(text))), pa.binary())
+
+
 @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
 def _cut(text: pa.Array, marks: pa.Array, size: pa.Array) -> pa.Array:
     out = []
-    for raw, starts, n in zip(doc_bytes(text), marks.to_pylist(), size.to_pylist(), strict=True):
-        words = raw.split()
+    for raw, starts, n in zip(text.to_pylist(), marks.to_pylist(), size.to_pylist(), strict=True):
+        words = _whole(raw).split()
         kept = words
         if starts:
             at = np.frombuffer(b"".join(starts), np.int32)
@@ -300,7 +304,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     leaves = rows.mapInArrow(_grower(parts, window, hot), "part int, leaves binary, doc_id long, key long, starts binary")
     marks = leaves.repartition(parts, "part").groupBy("part").applyInArrow(_joiner(window), MARKS)
     by_doc = marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("starts").alias("starts"))
-    found = rows.join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    texts = rows.select("doc_id", "key", _small("text").alias("text"))  # what moves to the marks is compressed
+    found = texts.join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     cut = found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), _cut(F.col("text"), F.col("starts"), F.lit(window)).alias("c"))
     return cut.select("doc_id", "c.*")
 
