@@ -5,12 +5,16 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but these six ASCII characters; ``bytes.split()`` splits at exactly these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -45,6 +49,18 @@ def staged(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def streamed(f: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, size: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from a partition's rows to result rows, for ``mapInArrow``: both sides pass one at a time, only batches are held."""
+    into = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = f(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        while rows := list(islice(found, size)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), into.types, strict=True)], schema=into)
+
+    return run
+
+
 def released(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps now: Spark removes them once the driver has collected what refers to them."""
     gc.collect()
