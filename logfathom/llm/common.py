@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.shared import shared_dir, staged  # noqa: F401
+
 #: A word is a run of anything but these six ASCII characters; ``bytes.split()`` splits at exactly these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1
@@ -25,30 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is unset, a temporary folder serves a local session; on a cluster, whose
-    executors would write to folders of their own, it is an error.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="logfathom-")
-        spark.sparkContext.setCheckpointDir(top)
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, *by: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back; this cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def streamed(f: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, size: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function from a partition's rows to result rows, for ``mapInArrow``: both sides pass one at a time, only batches are held."""
     into = to_arrow_schema(StructType.fromDDL(schema))

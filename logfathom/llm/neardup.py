@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_bytes, mixed, staged, word_hashes
@@ -34,6 +34,8 @@ BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 #: A star of more members than this is verified in several tasks.
 STAR_MEMBERS = 2000
+#: Hashes that several rows share are broadcast up to so many.
+SHARED = 100_000
 _rng = np.random.default_rng(20_240_229)
 #: For each bin, the order in which it looks for a full one.
 PROBES = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int16)
@@ -195,14 +197,26 @@ def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame, docs: DataFr
     return pairs.join(stars, ["center", "member"], "left_anti")
 
 
+def row_hashes() -> tuple[Column, Column]:
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+
+
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest doc_id (null last; of rows with equal id and text, one).
 
     A row is known by its id and text: a null id is no bar to being a copy, and of texts that
-    share an id only those that are copies go.
+    share an id only those that are copies go. They stand for it as two hashes of 64 bits: where
+    rows share the first but not the second, which a few in 10**10 do, the second takes its place.
     """
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_node"))
-    nodes = staged(rows.groupBy("_node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
+    first, second = row_hashes()
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", first.alias("_node"), second.alias("_other"))
+    met = rows.groupBy("_node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"), F.min("_other").alias("_low"), F.max("_other").alias("_high"))
+    nodes = staged(met)
+    shared = staged(nodes.where("_low <> _high").select(F.col("_node").alias("_shared")))
+    if not shared.isEmpty():
+        rows = rows.join(F.broadcast(shared) if shared.limit(SHARED + 1).count() <= SHARED else shared, F.col("_node") == F.col("_shared"), "left")
+        rows = rows.withColumn("_node", F.when(F.col("_shared").isNull(), F.col("_node")).otherwise(F.col("_other"))).drop("_shared")
+        nodes = staged(rows.groupBy("_node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
     judged = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), n, percent)
     linked = judged.select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_comp")).distinct().join(nodes, "_node")
     best = linked.groupBy("_comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node"))["_node"].alias("_best"), F.count(F.lit(1)).alias("_size")).where("_size > 1")

@@ -17,7 +17,7 @@ what is below changes no mark.
 
 Edge cases: a null, empty or blank text has no words; texts with fewer words than a window
 lose none; a text of any length is read whole, a very long one as a batch of its own; a null
-doc_id comes after all others; rows with equal doc_id are one document, so that exactly
+doc_id comes after all others, a document for each text; rows with equal doc_id are one document, so that exactly
 repeated rows do not mark each other; an empty table gives an empty one; other columns are
 not read.
 """
@@ -297,16 +297,18 @@ _cut = _cut.asNondeterministic()
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, and ``kept``, its words outside repeats joined by one space."""
-    key = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), key.alias("key"), "text")
+    # texts without an id are told apart by 104 bits of their hash: 40 of them in place of the id
+    unnamed = F.lit(LAST) - F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit(2**40 - 1))
+    named = docs.select("doc_id", F.coalesce("doc_id", unnamed).alias("id"), F.xxhash64("text").alias("key"), "text")
+    rows = named.select("id", "key", "text")
     windows = windows_of(docs)
     parts, hot = parts_of(docs, windows), hot_prefixes(rows, window, windows)
     leaves = rows.mapInArrow(_grower(parts, window, hot), "part int, leaves binary, doc_id long, key long, starts binary")
     marks = leaves.repartition(parts, "part").groupBy("part").applyInArrow(_joiner(window), MARKS)
     by_doc = marks.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("starts").alias("starts"))
-    texts = rows.select("doc_id", "key", _small("text").alias("text"))  # what moves to the marks is compressed
-    found = texts.join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    cut = found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), _cut(F.col("text"), F.col("starts"), F.lit(window)).alias("c"))
+    texts = named.select("doc_id", "id", "key", _small("text").alias("text"))  # what moves to the marks is compressed
+    found = texts.join(by_doc, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    cut = found.select("doc_id", _cut(F.col("text"), F.col("starts"), F.lit(window)).alias("c"))
     return cut.select("doc_id", "c.*")
 
 

@@ -541,3 +541,22 @@ def test_queries_run_over_whole_tables(spark, sf_dir):
     assert queries.op9_secrets(spark, sf_dir).count() == n
     assert queries.op5_mixing(spark, sf_dir).count() == n
     assert isinstance(queries.op9_secrets(spark, sf_dir).first(), Row)
+
+
+def test_substrings_without_ids_keep_their_own_words(spark, monkeypatch):
+    """Texts that share 31 bits of their hash, and have no id, are different texts."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"a{k} {passage} b{k}" for k in range(40)] + [" ".join(f"u{k}w{j}" for j in range(41)) for k in range(40)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    real = F.xxhash64
+    monkeypatch.setattr(substrings.F, "xxhash64", lambda *a: real(*a) if len(a) > 1 else real(*a).bitwiseAND(F.lit(1)))  # nearly all share the key
+    got = Counter((r["n_words"], r["n_removed"]) for r in substrings.digest(df).collect())
+    assert got[41, 0] == 40 and sum(n for (w, r), n in got.items() if w == 32 and r == 30) == 39 and got[32, 0] == 1
+
+
+def test_deduplicated_with_shared_hashes(spark, monkeypatch):
+    """Different rows with one hash stay."""
+    rows = [(k, " ".join(f"{k}w{j}" for j in range(12))) for k in range(30)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    monkeypatch.setattr(neardup, "row_hashes", lambda: (F.pmod(F.xxhash64("doc_id", "text"), F.lit(7)), F.xxhash64(F.lit(1), "doc_id", "text")))
+    assert sorted(tuple(r) for r in neardup.deduplicated(df).collect()) == rows
