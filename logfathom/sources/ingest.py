@@ -22,9 +22,13 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*") -
     """(path, split, pos, line, year, month) of every line of text and gzip files below ``path``."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
     rows = rows.select(c("_metadata.file_path").alias("path"), c("_metadata.file_block_start").alias("split"), c("_metadata.file_modification_time").alias("_t"), c("value"))
-    line = F.regexp_replace("value", r"\r$", "")
-    cut = F.when(F.length(line) > MAX_LINE, F.concat(F.substring(line, 1, MAX_LINE), F.lit(" …[truncated]"))).otherwise(line)
-    return rows.select("path", "split", F.monotonically_increasing_id().alias("pos"), cut.alias("line"), F.year("_t").alias("year"), F.month("_t").alias("month"))
+    return rows.select("path", "split", F.monotonically_increasing_id().alias("pos"), cut_line(c("value")).alias("line"), F.year("_t").alias("year"), F.month("_t").alias("month"))
+
+
+def cut_line(value: F.Column) -> F.Column:
+    """A line without its carriage return, and with a note where it is too long to keep."""
+    line = F.regexp_replace(value, r"\r$", "")
+    return F.when(F.length(line) > MAX_LINE, F.concat(F.substring(line, 1, MAX_LINE), F.lit(" …[truncated]"))).otherwise(line)
 
 
 def _before(rows: DataFrame, count: F.Column, name: str) -> DataFrame:
@@ -42,9 +46,11 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("number", within + c("_lines")).drop("_lines").where(F.trim("line") != "")
 
 
-def detect(lines: DataFrame) -> DataFrame:
+def detect(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per file: format, confidence and CSV header, from the first lines that are not blank.
 
+    ``known`` (path, header) has the CSV headers of files of which an earlier part was read.
+
     The format that fits the largest share wins, if that is ``LEAST_SHARE`` or more, the
     higher priority if shares are equal. Indented lines do not count against formats that
     join continuation lines.
@@ -53,7 +59,9 @@ def detect(lines: DataFrame) -> DataFrame:
     is_header = F.when((c("_k") == 1) & c("line").rlike(HEADER), cells(c("line")))
     heads = first.groupBy(c("path").alias("_p")).agg(F.max(is_header).alias("header"), F.count(F.lit(1)).alias("lines"), F.count_if((c("_k") > 1) & (c("_k") <= 6)).alias("rows"), F.collect_list(F.when((c("_k") > 1) & (c("_k") <= 6), F.size(cells(c("line"))))).alias("sizes"))
     fitting = F.size(F.filter("sizes", lambda n: n == F.size("header")))
-    heads = heads.select("_p", F.when((F.col("rows") >= 2) & (fitting >= F.least(F.lit(3), c("rows"))), c("header")).alias("header"))
+    heads = heads.select("_p", F.when((F.col("rows") >= 2) & (fitting >= F.least(F.lit(3), c("rows"))), c("header")).alias("header")).withColumn("_sniffed", c("header").isNotNull())
+    if known is not None:
+        heads = heads.join(known.select(c("path").alias("_q"), c("header").alias("_known")), c("_p") == c("_q"), "left").withColumn("header", F.coalesce("header", "_known")).drop("_q", "_known")
     rows = first.join(heads, c("path") == c("_p")).drop("_p")
     context = Context(c("year"), c("month"), c("header"))
     inside = ~c("line").rlike(r"^\s")
@@ -62,7 +70,7 @@ def detect(lines: DataFrame) -> DataFrame:
         fits = F.coalesce(f.fits(c("line"), context), F.lit(False))
         counted = (inside | fits) if f.joins else F.lit(True)
         if f.name == "csv":
-            counted = c("_k") > 1
+            counted = (c("_k") > 1) | ~c("_sniffed")
         if f.name != "plain":
             scores.append(F.struct((F.count_if(fits & counted) / F.greatest(F.count_if(counted), F.lit(1))).alias("share"), F.lit(f.priority).alias("priority"), F.lit(f.name).alias("name")))
     best = F.array_max(F.filter(F.array(*scores), lambda s: s["share"] >= LEAST_SHARE))
@@ -126,11 +134,16 @@ def logs(spark: SparkSession, path: str | list[str], pattern: str = "*") -> tupl
     lines = numbered_lines(read_lines(spark, path, pattern))
     found = detect(lines)
     events = parse_lines(lines, found)
-    table = events.select(
+    table = log_columns(events)
+    return table, source_table(table, found)
+
+
+def log_columns(events: DataFrame) -> DataFrame:
+    """Parsed events as rows of the log table."""
+    return events.select(
         c("ts").alias("Timestamp"), c("level").alias("Level"), c("message").alias("Message"), app_name(c("path")).alias("App"), c("path").alias("Source"), F.substring_index("path", "/", -1).alias("SourceName"), c("format").alias("Format"),
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("Location"), c("line_number").alias("LineNumber"), F.coalesce("raw", "message").alias("Raw"), c("extra").alias("Extra"), F.xxhash64("path", "line_number").alias("EventId"), levels.rank(c("level")).alias("LevelRank"),
     )
-    return table, source_table(table, found)
 
 
 def source_table(table: DataFrame, found: DataFrame) -> DataFrame:
