@@ -76,14 +76,15 @@ def ancestry(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Staged messages with ``depth`` (from 1) and ``total`` score of their path, and the jump tables of 1, 2, 4, ... parents."""
     known = nodes.select("_conv", "_null", F.col("node").alias("up"))
     now = staged(nodes.alias("a").join(known.alias("b"), _same("a", "b") & (F.col("a.parent") == F.col("b.up")), "left").select("a._conv", "a._null", "node", F.col("b.up").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), "key"))
-    jumps, open_before = [], None
-    while (n := now.where("up is not null").count()) and n != open_before:
-        jumps.append(now.where("up is not null").select("_conv", "_null", "node", "up"))
-        there = now.select("_conv", "_null", F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        both = now.alias("a").join(there.alias("b"), _same("a", "b") & (F.col("a.up") == F.col("b._n")), "left")
-        depth, total = (F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("depth", "total"))
-        open_before, now = n, staged(both.select("a._conv", "a._null", "node", F.col("_up").alias("up"), depth.alias("depth"), total.alias("total"), "key"))
-    return now.where("up is null").drop("up"), jumps  # open for ever: on a cycle, or below one
+    jumps, done, open_before = [], now.where("up is null"), None
+    now = now.where("up is not null")
+    while (n := now.count()) and n != open_before:
+        jumps.append(now.select("_conv", "_null", "node", "up"))
+        there = done.unionByName(now).select("_conv", "_null", F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        both = now.alias("a").join(there.alias("b"), _same("a", "b") & (F.col("a.up") == F.col("b._n")))
+        further = staged(both.select("a._conv", "a._null", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"), "key"))
+        done, open_before, now = done.unionByName(further.where("up is null")), n, further.where("up is not null")
+    return done.drop("up"), jumps  # open for ever: on a cycle, or below one
 
 
 def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
