@@ -78,9 +78,11 @@ def detect(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return found.select("path", F.coalesce("b.name", F.lit("plain")).alias("format"), F.coalesce("b.share", F.lit(0.0)).alias("confidence"), "header")
 
 
-def parse_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, formats: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Events of numbered lines, with the format of each file: a row an event.
 
+    ``only`` names the formats that occur, where that is known: the plan has no others then.
+
     In formats that join lines, a line that does not fit continues the event before it, up to
     ``MAX_CONTINUATION`` lines and a note that there were more; without an event before it,
     and in other formats, it is a plain event of its own.
@@ -89,6 +91,8 @@ def parse_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
     context = Context(c("year"), c("month"), c("header"))
     fits, event, joins = F.lit(False), None, F.lit(False)
     for f in FORMATS.values():
+        if only is not None and f.name not in only and f.name != "plain":
+            continue
         mine = c("format") == f.name
         fits = F.when(mine, F.coalesce(f.fits(c("line"), context), F.lit(False))).otherwise(fits)
         joins = joins | (mine & f.joins)

@@ -239,7 +239,8 @@ class LogStore:
             going_on = plan.where("action = 'appended'").join(was, c("path") == c("was_Path")).select("path", c("was_Lines").alias("_before"), c("was_Header").alias("header"))
             found = staged(detect(numbered, going_on.select("path", "header")))
             shifted = numbered.join(going_on.select(c("path").alias("_p"), "_before"), c("path") == c("_p"), "left").withColumn("number", c("number") + F.coalesce("_before", F.lit(0))).drop("_p", "_before")
-            written = self._write(n, log_columns(parse_lines(shifted, found)))
+            only = {r["format"] for r in found.select("format").distinct().collect()}  # a row a format
+            written = self._write(n, log_columns(parse_lines(shifted, found, only)))
             changed = staged(self._changed(n, was, plan, found, counted, written))
         self._commit(n, changed)
         return rest.unionByName(changed.select("Path", "Action", c("_added").alias("Events"), "ReadBytes", "Format", "Error"))
