@@ -1,36 +1,36 @@
 """Following growing logs with Structured Streaming.
 
 ``LogTail`` is a streaming source that reads what was appended to files since the last
-offset (bytes a file), leaves a last line without its end for later, and begins anew when a
-file became shorter or what was read of it changed: the offset has a hash of the first and
-the last bytes read of each file, so that a new file with the same first line (a header) is
-told apart. Executors read the byte ranges; a trigger opens only files whose size or time
-changed, and takes all new lines: a stream reader is not told where a restarted query stands,
-so it cannot end a trigger early.
-Files are read as they are written; compressed ones are read by ``ingest``.
+offset, leaves a last line without its end for later, and begins anew when a file became
+shorter or what was read of it changed. Files are known by their identity (device and inode; in stores
+without one by path, and a new path by what was read of a lost one in its folder), so that a renamed
+file goes on where it was and a new one under the old name is read from its start.
+
+A trigger admits ``maxBytes`` at most, whole lines but for a single longer one. Where the query stands
+after a restart is read from the newest entry of its own offset log (option ``checkpoint``),
+since a Python stream reader is not told. Each trigger lists only those folders that changed, several at a
+time, and opens only files whose size or time changed. Executors read the byte ranges.
+Files are read as they are written; compressed ones are read by ``logstore``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
+import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources import files
 from ..sources.formats import FORMATS, Context
 
 SCHEMA = "path string, at long, line string"
-#: A task reads so many bytes at most; the hash covers so many at either end of what was read.
-RANGE, HEAD = 32 << 20, 256
-
-
-def _files(path: str):
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return store, base
+MAX_BYTES = 1 << 40
+#: Folders listed and files opened at a time; triggers after which a lost file is forgotten.
+THREADS, LOST = 16, 20
 
 
 class Range(InputPartition):
@@ -38,80 +38,154 @@ class Range(InputPartition):
         self.path, self.start, self.end, self.stop = path, start, end, stop
 
 
-def _mark(s, end: int) -> str:
-    """The end of what was read of a file, and a hash of the bytes at its beginning and before that end."""
-    around = s.read_at(min(end, HEAD), 0) + s.read_at(min(end, HEAD), max(0, end - HEAD))
-    return f"{end}:{hashlib.sha256(around).hexdigest()[:16]}"
+class Folders:
+    """The files below a folder, kept from trigger to trigger."""
+
+    def __init__(self, path: str):
+        self.store, self.base, self.front = files.opened(path)
+        self.known: dict[str, tuple[int, float, list]] = {}  # folder: its time, when it was listed, what it holds
+
+    def _listed(self, folder: str, modified: int) -> list:
+        from pyarrow import fs
 
+        was = self.known.get(folder)
+        if was is None or was[0] != modified or modified / 1e9 > was[1] - 2:  # it may have changed within the same tick
+            now = time.time()
+            held = self.store.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True))
+            was = self.known[folder] = (modified, now, [(f.path, f.type == fs.FileType.Directory) for f in held if not f.base_name.startswith((".", "_"))])
+        return was[2]
 
-def _line_end(s, end: int, start: int = 0, step: int = 1 << 16) -> int:
-    """The last line end at or before ``end``; ``start`` if there is none after it."""
-    while end > start:
-        block = s.read_at(min(step, end - start), max(start, end - step))
-        k = block.rfind(b"\n")
-        if k >= 0:
-            return end - len(block) + k + 1
-        end -= len(block)
-    return start
+    def files(self) -> dict[str, tuple[str, int, int]]:
+        """By identity (path, where there is none): path, size and time of each file."""
+        from pyarrow import fs
+
+        found, folders = {}, [self.base]
+        with ThreadPoolExecutor(THREADS) as pool:
+            while folders:
+                there = [f for f in self.store.get_file_info(folders) if f.type == fs.FileType.Directory]
+                held = [x for own in pool.map(lambda f: self._listed(f.path, f.mtime_ns or 0), there) for x in own]
+                folders = [p for p, is_dir in held if is_dir]
+                for f in self.store.get_file_info([p for p, is_dir in held if not is_dir]):
+                    if f.type == fs.FileType.File:
+                        try:
+                            found[files.identity(f.path) if self.front == "file://" else f.path] = (f.path, f.size, f.mtime_ns)
+                        except FileNotFoundError:  # gone meanwhile
+                            continue
+        return found
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, path: str):
-        self.path = path
-        self.known: dict[str, tuple] = {}  # size and time of each file
-        self.last: dict[str, str] = {}  # its mark
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES, checkpoint: str | None = None):
+        self.path, self.max_bytes, self.checkpoint = path, max_bytes, checkpoint
+        self.last: dict[str, str] | None = None  # marks of the offset given last, and the path after each
+        self.seen: dict[str, tuple] = {}  # size and time of files read to their end
+        self.lost: dict[str, int] = {}
+        self.folders: Folders | None = None
 
     def initialOffset(self) -> dict:
         return {}
 
-    def latestOffset(self) -> dict:
-        """For each file the mark of its last line end."""
+    def _stands(self) -> dict[str, str]:
+        """The newest offset in the query's log: nothing for a new query."""
+        if not self.checkpoint:
+            return {}
         from pyarrow import fs
 
-        store, base = _files(self.path)
-        for f in sorted(store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)), key=lambda f: f.path):
-            if f.type != fs.FileType.File or f.base_name.startswith((".", "_")) or self.known.get(f.path, ())[:2] == (f.size, f.mtime_ns):
+        store, base, _ = files.opened(self.checkpoint)
+        entries = [f for f in store.get_file_info(fs.FileSelector(f"{base}/offsets", allow_not_found=True)) if f.base_name.isdigit()]
+        if not entries:
+            return {}
+        with store.open_input_file(max(entries, key=lambda f: int(f.base_name)).path) as s:
+            return json.loads(s.read().decode().split("\n")[2])
+
+    def _there(self) -> dict[str, tuple[str, int, int]]:
+        if self.folders is None:
+            self.folders = Folders(self.path)
+        return self.folders.files()
+
+    def latestOffset(self) -> dict:
+        """For each file the mark of a line end, ``maxBytes`` beyond the offset before."""
+        if self.last is None:
+            self.last = self._stands()
+        there, left = self._there(), self.max_bytes
+        for key in [k for k in self.last if k not in there]:
+            self.lost[key] = self.lost.get(key, 0) + 1
+            if self.lost[key] > LOST:
+                del self.last[key]
+        for key, (path, size, modified) in sorted(there.items(), key=lambda x: x[1][0]):
+            self.lost.pop(key, None)
+            if self.seen.get(key) == (size, modified) and self.last.get(key, "").endswith(f":{path}"):
                 continue
-            with store.open_input_file(f.path) as s:
+            if left <= 0:
+                break
+            with self.folders.store.open_input_file(path) as s:
                 n = s.size()
-                end = _line_end(s, n, self._resumes(s, n, self.last.get(f.path, "0:")))
-                self.last[f.path] = _mark(s, end)
-            self.known[f.path] = (f.size, f.mtime_ns)
+                was = self._was(s, n, key, path)
+                at = files.resumes(s, n, was)
+                whole = files.line_end(s, n, at)
+                end = whole if whole - at <= left else files.line_end(s, at + left, at) if left < n - at else whole
+                if end == at < whole and left == self.max_bytes:  # one line is longer than a trigger takes
+                    end = self._first_end(s, at + left, whole)
+                left -= end - at
+                self.last[key] = f"{files.mark(s, end)}:{path}"
+            if end == whole:
+                self.seen[key] = (size, modified)
+            elif end == at:
+                break  # the next line waits for the next trigger
         return dict(self.last)
 
-    def _resumes(self, s, n: int, mark: str) -> int:
-        """Where reading goes on: after what the mark tells, or at the start of a new or rewritten file."""
-        old = int(mark.split(":")[0])
-        return old if old <= n and (not old or _mark(s, old) == mark) else 0
+    @staticmethod
+    def _first_end(s, at: int, stop: int, step: int = 1 << 16) -> int:
+        while at < stop:
+            k = (block := s.read_at(min(step, stop - at), at)).find(b"\n")
+            if k >= 0:
+                return at + k + 1
+            at += len(block)
+        return stop
+
+    def _was(self, s, n: int, key: str, path: str) -> str | None:
+        """The mark known of a file; in stores without identities, also that of a lost file of the folder whose beginning it has."""
+        if key in self.last:
+            return _mark(self.last[key])
+        if key == path:
+            folder = path.rpartition("/")[0]
+            for other in [k for k in self.lost if k in self.last and k.rpartition("/")[0] == folder]:
+                known = _mark(self.last[other])
+                if files.offset(known) and files.resumes(s, n, known):
+                    self.lost.pop(other)
+                    self.last.pop(other)
+                    return known
+        return None
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        store, out = _files(self.path)[0], []
-        for path, mark in sorted(end.items()):
-            n, was = int(mark.split(":")[0]), start.get(path, "0:")
-            if was == mark:
+        there, out = self._there(), []
+        marks = {_mark(m) for m in start.values()}
+        for key, value in sorted(end.items(), key=lambda x: x[1].rpartition(":")[2]):
+            mark, path = _mark(value), value.split(":", 2)[2]
+            if mark == _mark(start.get(key, "0:")) or (key not in start and mark in marks):
+                continue
+            path = there.get(key, (path,))[0]  # where it is now
+            try:
+                with self.folders.store.open_input_file(path) as s:
+                    n = files.offset(mark)
+                    was = _mark(start[key]) if key in start else next((m for m in marks if key == path and files.offset(m) and files.resumes(s, n, m)), None)
+                    at = files.resumes(s, n, was)
+            except FileNotFoundError:  # removed before it was read
                 continue
-            with store.open_input_file(path) as s:
-                at = self._resumes(s, n, was)
-            out += [Range(path, a, min(a + RANGE, n), n) for a in range(at, n, RANGE)]
+            out += [Range(path, a, min(a + files.RANGE, n), n) for a in range(at, n, files.RANGE)]
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:
         """The lines that begin in the range; the one at its start belongs to it only after a line end."""
-        store, _ = _files(self.path)
+        store, _, _ = files.opened(self.path)
         with store.open_input_file(part.path) as s:
-            at = part.start
-            data = s.read_at(part.end - at, at)
-            if at and s.read_at(1, at - 1) != b"\n":
-                k = data.find(b"\n")
-                at, data = (at + k + 1, data[k + 1 :]) if k >= 0 else (part.end, b"")
-            end = part.end
-            while data and not data.endswith(b"\n") and end < part.stop:
-                more = s.read_at(min(1 << 16, part.stop - end), end)
-                k = more.find(b"\n")
-                data, end = (data + more[: k + 1], end + k + 1) if k >= 0 else (data + more, end + len(more))
-        for line in data.split(b"\n")[:-1]:
-            yield part.path, at, line.rstrip(b"\r").decode("utf-8", "replace")
-            at += len(line) + 1
+            for at, line in files.lines_of(s, part.start, part.end, part.stop):
+                yield part.path, at, line.rstrip(b"\r").decode("utf-8", "replace")
+
+
+def _mark(value: str) -> str:
+    """A mark without the path behind it."""
+    return ":".join(value.split(":")[:2])
 
 
 class LogTail(DataSource):
@@ -123,14 +197,17 @@ class LogTail(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"])
+        return TailReader(self.options["path"], int(self.options.get("maxBytes", MAX_BYTES)), self.options.get("checkpoint"))
+
 
+def follow(spark: SparkSession, path: str, format_: str, max_bytes: int = MAX_BYTES, checkpoint: str | None = None) -> DataFrame:
+    """A stream of (path, at, ts, level, message, extra) of lines that fit a format; others are plain events.
 
-def follow(spark: SparkSession, path: str, format_: str) -> DataFrame:
-    """A stream of (path, at, ts, level, message, extra) of lines that fit a format; others are plain events."""
+    With ``max_bytes``, a trigger takes no more; ``checkpoint`` is the query's own checkpoint folder then.
+    """
     spark.dataSource.register(LogTail)
-    lines = spark.readStream.format("logtail").option("path", path).load()
-    return parsed(lines, format_)
+    options = {"path": path, "maxBytes": str(max_bytes), **({"checkpoint": checkpoint} if checkpoint else {})}
+    return parsed(spark.readStream.format("logtail").options(**options).load(), format_)
 
 
 def parsed(lines: DataFrame, format_: str) -> DataFrame:
@@ -146,6 +223,16 @@ def append(stream: DataFrame, table: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drain(stream: DataFrame, table: str, checkpoint: str) -> int:
+    """Append a bounded stream to a Parquet table trigger by trigger until all is read; the number of triggers with rows."""
+    query = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+        return sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    finally:
+        query.stop()
+
+
 def counts(stream: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and level; windows close when the watermark passes them."""
     timed = stream.where(F.col("ts").isNotNull()).withWatermark("ts", late)
