@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import col, finite, truthy
+from .values import by_type, col, finite, is_number, truthy
 
 AGGREGATES: dict[str, Callable[..., Column]] = {}
 #: Items that lists, sets and bags hold unless a limit is given, and at most.
@@ -29,13 +29,31 @@ def aggregate(*names: str):
     return keep
 
 
-def _if(condition: object, x: object) -> Column:
-    return F.when(truthy(condition), col(x))
+def _if(condition: object, x: object, kind: str | None = None) -> Column:
+    return F.when(truthy(condition, kind), col(x))
 
 
-def _numbers(x: Column) -> Column:
-    """The finite values of ``x`` in its own type where that is a whole number."""
-    return F.when(finite(x).isNotNull(), x)
+def _numbers(x: Column, kind: str | None = None) -> Column:
+    """The finite values of ``x`` in its own type."""
+    return x if is_number(kind) and kind not in ("float", "double") else F.when(finite(x, kind).isNotNull(), x)
+
+
+def _numeric(pick: Callable[[Column, str | None], Column], x: object) -> Column:
+    """An aggregate of a column, by its type."""
+    return by_type([col(x)], lambda args, kinds: pick(args[0], kinds[0]))
+
+
+def _numeric_if(pick: Callable[[Column, str | None], Column], x: object, condition: object) -> Column:
+    """The same of those rows for which the condition holds."""
+    return by_type([col(x), col(condition)], lambda args, kinds: pick(_if(args[1], args[0], kinds[1]), kinds[0]))
+
+
+def _sum(x: Column, kind: str | None) -> Column:
+    return F.coalesce(F.sum(_numbers(x, kind)), F.lit(0))
+
+
+def _avg(x: Column, kind: str | None) -> Column:
+    return F.avg(finite(x, kind))
 
 
 @aggregate("count")
@@ -45,7 +63,7 @@ def count() -> Column:
 
 @aggregate("countif")
 def countif(condition: object) -> Column:
-    return F.count_if(truthy(condition))
+    return by_type([col(condition)], lambda args, kinds: F.count_if(truthy(args[0], kinds[0])))
 
 
 @aggregate("dcount", "count_distinct")
@@ -56,7 +74,7 @@ def dcount(x: object, *_: object) -> Column:
 
 @aggregate("dcountif")
 def dcountif(x: object, condition: object) -> Column:
-    return F.count_distinct(_if(condition, x))
+    return _numeric_if(lambda v, _: F.count_distinct(v), x, condition)
 
 
 @aggregate("dcount_approx")
@@ -67,22 +85,22 @@ def dcount_approx(x: object, error: float = 0.01) -> Column:
 
 @aggregate("sum")
 def sum_(x: object) -> Column:
-    return F.coalesce(F.sum(_numbers(col(x))), F.lit(0))
+    return _numeric(_sum, x)
 
 
 @aggregate("sumif")
 def sumif(x: object, condition: object) -> Column:
-    return sum_(_if(condition, x))
+    return _numeric_if(_sum, x, condition)
 
 
 @aggregate("avg", "average")
 def avg(x: object) -> Column:
-    return F.avg(finite(x))
+    return _numeric(_avg, x)
 
 
 @aggregate("avgif")
 def avgif(x: object, condition: object) -> Column:
-    return avg(_if(condition, x))
+    return _numeric_if(_avg, x, condition)
 
 
 @aggregate("min")
@@ -97,12 +115,12 @@ def max_(x: object) -> Column:
 
 @aggregate("minif")
 def minif(x: object, condition: object) -> Column:
-    return F.min(_if(condition, x))
+    return _numeric_if(lambda v, _: F.min(v), x, condition)
 
 
 @aggregate("maxif")
 def maxif(x: object, condition: object) -> Column:
-    return F.max(_if(condition, x))
+    return _numeric_if(lambda v, _: F.max(v), x, condition)
 
 
 @aggregate("any", "take_any")
@@ -152,10 +170,17 @@ def make_set_if(x: object, condition: object, limit: int | None = None, order: C
 
 @aggregate("make_bag")
 def make_bag(bag: Column, limit: int | None = None, order: Column | None = None) -> Column:
-    """One map of all maps of a group, up to ``limit`` keys; the last value of a key wins."""
-    entries = F.flatten(F.transform(_ordered(bag, order), F.map_entries))
-    values = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda a, e: F.map_concat(F.map_filter(a, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"].cast("string"))))
-    return F.map_from_entries(F.slice(F.map_entries(values), 1, _limit(limit)))
+    """One map of all maps of a group, up to ``limit`` keys, in the order of their last values; the last value of a key wins."""
+    entries = F.transform(F.flatten(_ordered(F.map_entries(bag), order)), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("value")))
+    # from the last entry to the first, the first of each key: by its place among the keys, in one pass of a sort
+    back = F.reverse(entries)
+    placed = F.transform(back, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+    sorted_ = F.array_sort(placed)
+    before = F.concat(F.array(F.lit(None)), sorted_)
+    heads = F.zip_with(sorted_, before, lambda e, b: F.when(e.isNotNull() & (b.isNull() | (b["key"] != e["key"])), F.struct(e["i"].alias("i"), e["key"].alias("key"), e["value"].alias("value"))))
+    heads = F.filter(heads, lambda e: e.isNotNull())
+    last = F.transform(F.reverse(F.array_sort(heads)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return F.map_from_entries(F.slice(last, 1, _limit(limit)))
 
 
 def _rank(x: str, p: float) -> Column:
@@ -177,12 +202,12 @@ def percentiles(x: str, *ps: float) -> Column:
 @aggregate("stdev")
 def stdev(x: object) -> Column:
     """Of the sample; null below two values."""
-    return F.stddev_samp(finite(x))
+    return _numeric(lambda v, kind: F.stddev_samp(finite(v, kind)), x)
 
 
 @aggregate("variance")
 def variance(x: object) -> Column:
-    return F.var_samp(finite(x))
+    return _numeric(lambda v, kind: F.var_samp(finite(v, kind)), x)
 
 
 def _arg(pick, key: Column, columns: tuple[Column, ...], order: Column | None) -> Column:

@@ -8,9 +8,11 @@ output columns and for predicates under a negation.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICRO = dt.timedelta(microseconds=1)
@@ -49,15 +51,51 @@ def text(x: object) -> Column:
     return F.coalesce(out.otherwise(plain), F.lit(""))
 
 
-def real(x: object) -> Column:
+def is_number(kind: str | None) -> bool:
+    """Whether a type, as ``simpleString`` names it, is numeric."""
+    return kind is not None and kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) and not kind.startswith("interval")
+
+
+Build = Callable[[list[Column], list[str | None]], Column]
+
+
+def by_type(args: list[Column], build: Build) -> Column:
+    """An expression that depends on the types of ``args``: ``build(args, types)``.
+
+    The result is the one for unknown types; the methods of ``Table``, which knows its
+    columns, take ``specialised`` of it instead, without conversions by way of text.
+    """
+    out = build(args, [None] * len(args))
+    out._by_type = (args, build)
+    return out
+
+
+def specialised(expressions: list[Column], df: DataFrame) -> list[Column]:
+    """Those made by ``by_type``, built for the types that their arguments have in ``df``; the others as they are."""
+    made = [(k, vars(x)["_by_type"]) for k, x in enumerate(expressions) if "_by_type" in vars(x)]  # a column has any other attribute as a field
+    asked = [(k, specialised(args, df), build) for k, (args, build) in made]
+    if not asked:
+        return expressions
+    kinds = iter([f.dataType.simpleString() for f in df.select(*(a.alias(f"_{k}_{i}") for k, args, _ in asked for i, a in enumerate(args))).schema])
+    out = list(expressions)
+    for k, args, build in asked:
+        out[k] = build(args, [next(kinds) for _ in args])
+    return out
+
+
+def real(x: object, kind: str | None = None) -> Column:
     """A value as double, null where it is none; times are no numbers."""
     x = col(x)
+    if is_number(kind):
+        return x.cast("double")
     return F.when(~typed(x, "timestamp", "date", *NESTED), F.when(typed(x, "boolean"), F.when(x.cast("string") == "true", 1.0).otherwise(F.when(x.isNotNull(), 0.0))).otherwise(F.trim(x.cast("string")).try_cast("double")))
 
 
-def finite(x: object) -> Column:
+def finite(x: object, kind: str | None = None) -> Column:
     """A value as double, null unless finite."""
-    r = real(x)
+    r = real(x, kind)
+    if is_number(kind) and kind not in ("float", "double"):
+        return r
     return F.when(~F.isnan(r) & (F.abs(r) != float("inf")), r)
 
 
@@ -116,9 +154,11 @@ def interval(us: Column) -> Column:
     return F.timestamp_micros(us) - F.timestamp_micros(F.lit(0).cast("bigint"))
 
 
-def truthy(x: object) -> Column:
+def truthy(x: object, kind: str | None = None) -> Column:
     """Null, zero, empty text and empty lists are false, everything else is true."""
     x = col(x)
+    if kind == "boolean" or is_number(kind):
+        return F.coalesce(x if kind == "boolean" else x != 0, F.lit(False))
     s = x.cast("string")
     empty = F.when(typed(x, "boolean"), s != "true").when(typed(x, *NUMBER), s.try_cast("double") == 0).when(typed(x, "array", "map"), json_text(x).isin("[]", "{}"))
     return F.coalesce(~empty.otherwise(s == ""), F.lit(False))
@@ -178,13 +218,32 @@ def is_in(x: object, *items: object, fold: bool = False) -> Column:
     """Membership; a null is never a member."""
     if fold:
         return yes(F.lower(text(x)).isin(*(str(i).lower() for i in items))) & col(x).isNotNull()
-    groups: dict[str, list] = {}
+    groups: dict[object, list] = {}
     for i in items:
-        groups.setdefault("text" if isinstance(i, str) else "bool" if isinstance(i, bool) else "number" if isinstance(i, (int, float)) else "other", []).append(i)
-    out = F.lit(False)
-    for own in groups.values():  # items of another kind than the value are never equal to it
-        out |= F.when(alike(x, own[0]), col(x).isin(*own)).otherwise(False)
-    return yes(out)
+        kind = "number" if isinstance(i, (int, float, decimal.Decimal)) and not isinstance(i, bool) else "time" if isinstance(i, dt.date) else type(i)
+        if i is not None:
+            groups.setdefault(kind, []).append(i)
+
+    def among(x: Column, kind: object, own: list) -> Column:
+        """By way of text, since no type may be compared with an unlike one, not even in a branch that is never taken."""
+        plain = x.cast("string")
+        if kind == "time":
+            return plain.try_cast("timestamp").isin(*(F.lit(i).cast("timestamp") for i in own))
+        if kind == "number":
+            exact = [decimal.Decimal(str(i)) for i in own if decimal.Decimal(str(i)).is_finite() and abs(i) < 10**27]
+            return F.when(typed(x, "float", "double"), plain.try_cast("double").isin(*map(float, own))).otherwise(plain.try_cast("decimal(38,10)").isin(*exact) if exact else F.lit(False))
+        return plain.isin(*(str(i).lower() if isinstance(i, bool) else i for i in own))
+
+    def build(args: list[Column], kinds: list[str | None]) -> Column:
+        x, out = args[0], F.lit(False)
+        for kind, own in groups.items():  # items of another kind than the value are never equal to it
+            if kinds[0] is None:
+                out |= F.when(alike(x, own[0]), among(x, kind, own)).otherwise(False)
+            elif is_number(kinds[0]) == (kind == "number") and (kinds[0] in ("timestamp", "date")) == (kind == "time") and (kinds[0] == "string") == (kind is str) and (kinds[0] == "boolean") == (kind is bool):
+                out |= x.isin(*own)
+        return yes(out)
+
+    return by_type([col(x)], build)
 
 
 def not_in(x: object, *items: object, fold: bool = False) -> Column:
@@ -278,10 +337,22 @@ def matches(x: object, pattern: str) -> Column:
 
 
 def add(a: object, b: object) -> Column:
-    """Sum, null on overflow; with a Python string on either side the text of both. Two text columns: ``strcat``."""
+    """Sum, null on overflow; where either side is text, a Python string or a column, the text of both.
+
+    In a method of ``Table`` the types decide, and values that have no sum, such as a list and a
+    number, give null; elsewhere two text columns need ``strcat``.
+    """
     if isinstance(a, str) or isinstance(b, str):
         return F.concat(text(a), text(b))
-    return F.try_add(col(a), col(b))
+
+    def build(args: list[Column], kinds: list[str | None]) -> Column:
+        if "string" in kinds:
+            return F.concat(*map(text, args))
+        summed = all(k is None or k in ("timestamp", "date", "void") or k.startswith("interval") or is_number(k) for k in kinds)
+        moments = [k for k in kinds if k in ("timestamp", "date")]
+        return F.try_add(*args) if summed and (not moments or any((k or "interval").startswith("interval") for k in kinds)) else F.lit(None).cast("string")
+
+    return by_type([col(a), col(b)], build)
 
 
 def sub(a: object, b: object) -> Column:

@@ -102,7 +102,7 @@ class Table:
     def where(self, *predicates: Column) -> Table:
         """Rows for which all predicates are true; a null is not."""
         df = self.raw
-        for p in predicates:
+        for p in v.specialised(list(predicates), df):
             df = df.where(p)
         return self._with(df)
 
@@ -144,13 +144,17 @@ class Table:
     def extend(self, **columns: Column) -> Table:
         """All expressions see the input row; an existing name is replaced in place."""
         own = {c.lower(): c for c in self.columns}
-        return self._with(self.raw.withColumns({own.get(k.lower(), k): v.col(x) for k, x in columns.items()}))
+        return self._with(self.raw.withColumns({own.get(k.lower(), k): x for k, x in self._typed(columns).items()}))
+
+    def _typed(self, columns: dict[str, object]) -> dict[str, Column]:
+        """Expressions by name, built for the types that they have in this table."""
+        return dict(zip(columns, v.specialised([v.col(x) for x in columns.values()], self.raw), strict=True))
 
     def _select(self, *columns: Column | str) -> Table:
         return self._with(self.raw.select(*columns, *(h for h, _, _ in self.order)))
 
     def project(self, *names: str, **columns: Column) -> Table:
-        return self._select(*(self._real(n) for n in names), *(v.col(x).alias(k) for k, x in columns.items()))
+        return self._select(*(self._real(n) for n in names), *(x.alias(k) for k, x in self._typed(columns).items()))
 
     def _matching(self, patterns: Sequence[str]) -> list[str]:
         out = []
@@ -199,16 +203,16 @@ class Table:
         """Marks the order as one that matters; a table needs one for window functions."""
         return self.extend(**columns) if columns else self
 
-    def _numbered(self) -> DataFrame:
+    def _sorted_by(self) -> list[Column]:
         if not self.order:
             raise ValueError("window functions need an order: use sort_by first")
-        return rows_in_order.numbered(self.raw, self._keys())
+        return self._keys()
 
     def row_number(self, name: str = "row_number", start: int = 1, by: Sequence[str] = ()) -> Table:
         """Number of each row in the order, within ``by`` if given."""
         if by:
             return self._with(self.raw.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*self._keys())) + start - 1))
-        return self._with(self._numbered().withColumn(name, F.col(rows_in_order.NUMBER) + start - 1).drop(rows_in_order.NUMBER))
+        return self._with(rows_in_order.numbered(self.raw, self._sorted_by()).withColumn(name, F.col(rows_in_order.NUMBER) + start - 1).drop(rows_in_order.NUMBER))
 
     def prev(self, by: Sequence[str] = (), **shifted: tuple) -> Table:
         """``name=(expression, rows before, default)``; the last two may be left out. ``by`` keeps within equal keys."""
@@ -216,7 +220,7 @@ class Table:
         if by:
             w = Window.partitionBy(*by).orderBy(*self._keys())
             return self._with(self.raw.withColumns({n: (F.lag(x, k, d) if k >= 0 else F.lead(x, -k, d)).over(w) for n, (x, k, d) in full.items()}))
-        return self._with(rows_in_order.neighbours(self._numbered(), full).drop(rows_in_order.NUMBER))
+        return self._with(rows_in_order.neighbours(self.raw, self._sorted_by(), full))
 
     def next_(self, by: Sequence[str] = (), **shifted: tuple) -> Table:
         """Like ``prev``, rows after."""
@@ -228,7 +232,7 @@ class Table:
         if by:
             w = Window.partitionBy(*by).orderBy(*self._keys()).rowsBetween(Window.unboundedPreceding, 0)
             return self._with(self.raw.withColumn(name, F.coalesce(F.sum(x).over(w), F.lit(0))))
-        return self._with(rows_in_order.running_sum(self._numbered(), name, x).drop(rows_in_order.NUMBER))
+        return self._with(rows_in_order.running_sum(self.raw, self._sorted_by(), name, x))
 
     # ---- groups ----
 
@@ -237,7 +241,7 @@ class Table:
         by = [by] if isinstance(by, str) else by
         keys = [x.alias(k) for k, x in by.items()] if isinstance(by, dict) else [F.col(self._real(k)) for k in by]
         grouped = self.raw.groupBy(*keys)
-        out = grouped.agg(*(x.alias(k) for k, x in aggregates.items())) if aggregates else self.raw.select(*keys).distinct()
+        out = grouped.agg(*(x.alias(k) for k, x in self._typed(aggregates).items())) if aggregates else self.raw.select(*keys).distinct()
         rows = {f.name: f.dataType.fieldNames()[1:] for f in out.schema if f.dataType.typeName() == "struct" and f.dataType.fieldNames()[0] == ROW}
         spread = [c for k in out.columns for c in ([F.col(f"`{k}`.`{n}`") for n in rows[k]] if k in rows else [F.col(f"`{k}`")])]
         return self._new(out.select(*spread), self.name)

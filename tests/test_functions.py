@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from logfathom.functions import values as v
 from logfathom.functions.aggregates import AGGREGATES
 from logfathom.functions.scalar import SCALARS, fn
+from logfathom.operators.table import Table
 
 def ts(s):
     return dt.datetime.fromisoformat(s)
@@ -98,3 +100,31 @@ def test_bad_patterns_are_refused():
         v.java_pattern("(")
     with pytest.raises(ValueError):
         v.java_pattern("a" * 3000)
+
+
+def test_aggregates_of_known_types_have_no_text(spark):
+    """Numbers are summed as they are; text, where a column has it, is still read."""
+    df = spark.createDataFrame([(1, 2.5, Decimal("1.5"), "3", True), (2, float("nan"), None, "x", False), (None, float("inf"), Decimal("2"), None, None)], "n long, d double, m decimal(10,2), s string, b boolean")
+    agg = AGGREGATES
+    sums = {f"{f}_{c}": agg[f](F.col(c)) for f in ("sum", "avg", "stdev", "variance") for c in ("n", "d", "m")} | {f"{f}_{c}": agg[f](F.col(c), F.col("b")) for f in ("sumif", "avgif", "minif", "maxif", "dcountif") for c in ("n", "d", "m")} | {"countif_b": agg["countif"](F.col("b")), "countif_n": agg["countif"](F.col("n"))}
+    known = Table(df).summarize(**sums).df
+    assert "as string" not in known._jdf.queryExecution().optimizedPlan().toString().lower()
+    general = df.agg(*(x.alias(k) for k, x in sums.items()))
+    assert known.first().asDict() == general.first().asDict()
+    assert Table(df).summarize(s=agg["sum"](F.col("s")), a=agg["avg"](F.col("s"))).df.first()[:] == (3.0, 3.0)
+
+
+def test_sums_and_membership_by_type(spark):
+    t = Table(spark.createDataFrame([("a", 2, [1], dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 3), Decimal("1"))], "s string, n int, l array<int>, d date, t timestamp, m decimal(5,1)"))
+    got = t.project(a=v.add(F.col("s"), F.col("s")), b=v.add(F.col("s"), F.col("n")), c=v.add(F.col("n"), F.col("m")), d=v.add(F.col("l"), F.col("n")), e=v.add(v.add(F.col("s"), F.col("s")), F.col("n")), f=v.add(F.col("t"), F.lit(dt.timedelta(hours=1))), g=v.add(F.col("d"), F.col("t"))).df.first()
+    assert got[:] == ("aa", "a2", 3, None, "aa2", dt.datetime(2024, 1, 1, 4), None)
+    ins = t.df.select(v.is_in(F.col("d"), None, dt.date(2024, 1, 1)), v.is_in(F.col("n"), Decimal(2), dt.date(2024, 1, 1), "x", None), v.is_in(F.col("t"), dt.date(2023, 1, 1), dt.datetime(2024, 1, 1, 3)), v.is_in(F.col("s"), None), v.is_in(F.col("d"), 1, "2024", dt.datetime(2024, 1, 1))).first()
+    assert ins[:] == (True, True, True, False, True)
+
+
+def test_bags_keep_the_last_value(spark):
+    df = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"b": "3", "c": None}), (3, {"a": "9"}), (4, None)], "k int, m map<string,string>")
+    bag = lambda *a: df.agg(F.map_entries(AGGREGATES["make_bag"](F.col("m"), *a, order=F.col("k"))).alias("x")).first()[0]
+    assert [tuple(x) for x in bag()] == [("b", "3"), ("c", None), ("a", "9")] and [tuple(x) for x in bag(2)] == [("b", "3"), ("c", None)]
+    many = spark.range(20_000).select((F.col("id") % 9000).cast("string").alias("k"), F.col("id").alias("i")).agg(F.size(AGGREGATES["make_bag"](F.create_map("k", F.col("i").cast("string")), 100_000, order=F.col("i"))).alias("n"))
+    assert many.first()[0] == 9000
