@@ -420,6 +420,30 @@ def test_segmentation():
     assert seg.split("cheappills") == ("cheap", "pills") and seg.split("freebets") == ("free", "bets") and seg.split("xyz") == ("xyz",) and seg.split("") == ()
 
 
+def test_names_are_split_only_where_that_is_likelier(spark, sf_dir):
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.1"), "pages").select("page_id", "url", "html")
+    told = [(-k, f"http://h/{k}", f"<title>cheap pills and more cheap spam from the farm {k}</title>") for k in range(1, 4)]
+    pages = pages.unionByName(spark.createDataFrame(told, pages.schema))
+    hosts = spark.createDataFrame([(h,) for h in ("www.cheap-pills.example.com", "cheappills.com", "blog.spamfarm.net", "x" * 1_000_000 + ".org")], "host string")
+    got = {r["host"]: r["host_tokens"] for r in urls.host_tokens(hosts, urls.word_counts(pages, urls.SEEDS)).collect()}
+    assert got["www.cheap-pills.example.com"][:3] == ["h:www", "h:cheap", "h:pills"] and got["cheappills.com"] == ["h:cheap", "h:pills"]
+    assert got["blog.spamfarm.net"] == ["h:blog", "h:spam", "h:farm"]
+    assert sum(len(t) - 2 for t in got["x" * 1_000_000 + ".org"]) == 1_000_000
+
+
+def test_other_words_tell_without_seeds(spark):
+    """Hosts without a seed word are blocked for words that blocked hosts share, and seeds are no features."""
+    pages = []
+    for k in range(40):
+        pages += [(k, f"http://{'casino' if k % 2 else 'poker'}.winnerbonus{chr(97 + k % 20)}.com/play/{k}", "<title>winner bonus play</title>"), (100 + k, f"http://garden.news{chr(97 + k % 20)}.com/read/{k}", "<title>garden news read</title>")]
+    pages += [(900, "http://winnerbonus.net/play/1", None), (901, "http://gardennews.net/read/1", None), (902, "http://casino.gardennews.org/read/2", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["score"]) for r in urls.judged(df, rules=()).collect()}
+    assert (got[900][0], got[901][0]) == ("block", "allow") and got[900][1] > 0 > got[901][1]
+    assert {got[k][0] for k in range(40)} == {"block"} and {got[100 + k][0] for k in range(40)} == {"allow"}
+    assert abs(got[902][1] - got[901][1] - urls.SEED_ODDS) < 3  # a seed counts as fixed odds, not as a learned word
+
+
 def base_spans(t):
     t = t or ""
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
