@@ -452,4 +452,4 @@ for _name, (_build, _sql) in library.OVER_TEST_TABLES.items():
     if _sql:
         ORACLES[_name] = _sql
 
-from . import scalar_queries  # noqa: E402, F401
+from . import scalar_queries, store_queries  # noqa: E402, F401
