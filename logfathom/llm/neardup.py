@@ -145,15 +145,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("top")).where("center < top")
     buckets = staged(keys.join(shared.select("key", "center"), "key"))
-    stars = staged(buckets.where("center < rep").select("center", F.col("rep").alias("member")).distinct())
+    stars = staged(buckets.where("center < rep").select("center", F.col("rep").alias("member"), F.lit(False).alias("again")).distinct())
     # all texts move once; what follows moves only those that share a bucket
     near = docs.select("doc_id", "text").join(buckets.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
     texts = staged(near)
     links = staged(confirmed(stars, texts, n, percent))
     comps = staged(components(links, "center", "member"))
-    rest = staged(_across(buckets, comps, stars, texts, n, percent))
-    if not rest.isEmpty():
-        links = links.unionByName(staged(confirmed(rest, texts, n, percent)))
+    spanning = staged(_spanning(buckets, comps))
+    if not spanning.isEmpty():
+        shingles = staged(texts.join(spanning.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", F.col("text")).mapInArrow(_exploder(n), "rep long, own long, size long, h long"))
+        # one more star, around the text of a bucket that shares most with the others
+        stars = stars.unionByName(staged(_medoid_stars(spanning, shingles, stars)))
+        links = links.unionByName(staged(confirmed(stars.where("again"), texts, n, percent)))
+        comps = staged(components(links, "center", "member"))
+        rest = staged(_across(staged(_spanning(buckets, comps)), shingles, stars, percent))
+        if not rest.isEmpty():
+            links = links.unionByName(staged(confirmed(rest, texts, n, percent)))
     # rows that share a doc_id are one node, also where their texts differ
     twins = alive.join(reps, "set_id").select(F.col("rep").alias("center"), F.col("doc_id").alias("member")).where("center <> member").distinct()
     comps = staged(components(links.unionByName(twins), "center", "member"))
@@ -165,15 +172,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def _exploder(n: int):
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, comp, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), doc_bytes(batch.column(2)), strict=True):
+            for rep, raw in zip(batch.column(0).to_pylist(), doc_bytes(batch.column(1)), strict=True):
                 s = shingle_hashes(raw.lower().split(), n)
                 own = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v, np.int64)) for v in (rep, comp, own, len(s))] + [pa.array(s.view(np.int64))], ["rep", "comp", "own", "size", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), v, np.int64)) for v in (rep, own, len(s))] + [pa.array(s.view(np.int64))], ["rep", "own", "size", "h"])
 
     return explode
 
 
-def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _spanning(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, comp) of those buckets whose members lie in several components."""
+    placed = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return placed.join(several, "key")
+
+
+def _medoid_stars(spanning: DataFrame, shingles: DataFrame, stars: DataFrame) -> DataFrame:
+    """Stars of buckets around the text whose shingles are met most often among the others.
+
+    Copies that were changed in different places are less like each other than like the text
+    they come from. Compared with one of them, few are linked; with that text, most are.
+    """
+    met = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("met"))
+    shared = shingles.join(met, "h").groupBy(F.col("rep").alias("_rep")).agg(F.avg("met").alias("met"))
+    scored = spanning.join(shared, F.col("rep") == F.col("_rep"))
+    best = scored.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("low"), "comp")).alias("b")).select("key", (-F.col("b.low")).alias("center"), F.col("b.comp").alias("_comp"))
+    pairs = spanning.join(best, "key").where("comp <> _comp").select("center", F.col("rep").alias("member")).distinct()
+    known = stars.select(F.col("center").alias("_c"), F.col("member").alias("_m"))
+    new = (F.least("center", "member") == F.col("_c")) & (F.greatest("center", "member") == F.col("_m"))
+    return pairs.join(known, new, "left_anti").withColumn("again", F.lit(True))
+
+
+def _across(spanning: DataFrame, shingles: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """Pairs that may be linked among the texts whose bucket still spans several components; none that were compared.
 
     The buckets are not paired out. With a text's shingles from the rarest to the most
@@ -181,10 +211,7 @@ def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame, docs: DataFr
     as may be missing and one more; texts changed in many places begin with shingles of
     their own and meet nobody. How much can be shared behind that shingle bounds the rest.
     """
-    placed = buckets.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    texts = placed.join(several, "key").select("rep", "comp").distinct()
-    shingles = staged(docs.select("doc_id", "text").join(texts, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text").mapInArrow(_exploder(n), "rep long, comp long, own long, size long, h long"))
+    shingles = shingles.join(spanning.select(F.col("rep").alias("_rep"), "comp").distinct(), F.col("rep") == F.col("_rep")).drop("_rep")
     met = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     by_text = Window.partitionBy("rep", "own")
     alone = F.col("size") - F.count(F.lit(1)).over(by_text)
@@ -194,7 +221,8 @@ def _across(buckets: DataFrame, comps: DataFrame, stars: DataFrame, docs: DataFr
     shared = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1
     enough = (100 + percent) * shared >= percent * (F.col("size") + F.col("_size"))
     pairs = first.join(other, "h").where("center < rep and comp <> _comp").where(enough).select("center", F.col("rep").alias("member")).distinct()
-    return pairs.join(stars, ["center", "member"], "left_anti")
+    compared = stars.select(F.least("center", "member").alias("center"), F.greatest("center", "member").alias("member"))
+    return pairs.join(compared, ["center", "member"], "left_anti")
 
 
 def row_hashes() -> tuple[Column, Column]:
