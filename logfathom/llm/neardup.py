@@ -11,7 +11,8 @@ With 42 bands of 6 rows a pair of similarity 0.8 shares no bucket with probabili
 
 Edge cases: a text with fewer words than a shingle is one shingle; a null, empty or blank
 text has none and links with nothing; rows that share a doc_id are one node; a null doc_id
-is linked with nothing, has a null component and is kept; repeated rows are copies; an
+is linked with nothing, has a null component and is kept; repeated rows are copies; texts of any length are sketched and
+compared whole; an
 empty table gives an empty one; other columns pass through ``deduplicated`` unchanged, which
 knows rows by id and text, so that null and repeated ids are no exception there.
 """

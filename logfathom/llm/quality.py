@@ -5,7 +5,8 @@ of the labelled rows, pruned on the rest, and what it covers is taken out, until
 pays. The list becomes ordered Spark conditional expressions (``CASE WHEN``).
 
 Edge cases: a null or empty text has zero words and fails the base rule; texts of any
-length are read whole; repeated rows give repeated results; without labelled rows of both
+length are read whole; repeated rows give repeated results; of conditions that gain equally the first in the order of features is
+taken, and of rules that fit a text the first in the list; columns of the results replace those of the same name; without labelled rows of both
 classes the list is empty and keeps everything; an empty table gives an empty one.
 """
 

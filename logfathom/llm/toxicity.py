@@ -8,7 +8,8 @@ or more match within one edit. Around each hit a window decides whether the term
 or reported, or used. The evidence for both is weighed by a logistic model.
 
 Edge cases: a null or empty text has no hits and gets the score of such texts; texts of any
-length are read whole; repeated rows give repeated results; without labelled rows of both
+length are read whole; repeated rows give repeated results; a score at the threshold is toxic, and
+of terms with equal evidence the first by name is taken; ``with_score`` replaces a column of its result's name; without labelled rows of both
 classes the lexicon is empty and every score is 0; an empty table gives an empty one.
 """
 

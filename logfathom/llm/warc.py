@@ -9,7 +9,8 @@ count, so a lost executor leaves at most unused files.
 Edge cases: null html is an empty payload, null URLs have no WARC-Target-URI; records with
 equal payloads of at least ``MIN_REVISIT`` bytes revisit the one with the smallest page_id
 (rows tied on it are all responses; a null page_id never is the smallest, and where all are
-null all are responses); repeated rows give repeated records; an empty table gives an empty
+null all are responses); repeated rows give repeated records; a payload of any
+length is one record, read back whole; an empty table gives an empty
 index; other columns are not read.
 """
 
