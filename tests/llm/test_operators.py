@@ -138,6 +138,18 @@ def test_quality_rules_find_bad_texts(spark, sf_dir):
     assert quality.learn(np.zeros((0, 7)), np.zeros(0, bool)) == []
 
 
+def test_quality_rules_on_held_out_labels(spark, sf_dir):
+    """Rules learned from two thirds of the labels find the bad texts of the last third, also those that the base rule passes."""
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    labels = table(spark, big, "labels")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    judged = quality.judged(table(spark, big, "documents"), labels.where(fold != 1)).join(labels.where(fold == 1), "doc_id").collect()
+    good, bad = ([r for r in judged if r["quality"] == q] for q in (1, 0))
+    assert sum(r["kept"] for r in good) >= 0.97 * len(good) and sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+    passed = [r for r in bad if not r["base_failed"]]
+    assert passed and sum(not r["kept"] for r in passed) >= 0.8 * len(passed)
+
+
 def test_toxicity_held_out(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     labels = table(spark, big, "labels")
