@@ -30,7 +30,7 @@ from .ingest import app_name, cut_line, detect, log_columns, numbered_lines, par
 
 c = F.col
 BUCKETS, SNAPSHOT = 16, 20
-#: Sources that are hidden are broadcast up to so many; beyond, their partitions are rewritten first.
+#: Sources that are hidden are broadcast up to so many, joined by shuffle beyond.
 HIDDEN = 100_000
 #: Event files that a search names one by one; beyond, it scans the table.
 NAMED_FILES = 5_000
