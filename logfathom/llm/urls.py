@@ -37,7 +37,7 @@ from .common import staged
 #: action, host, path
 Rule = tuple[str, str, str]
 # Rules as given, and words that mark a host as unwanted.
-RULES: tuple[Rule, ...] = (("block", "com", "en/"), ("allow", "example.com", "en/7"), ("block", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/"))
+RULES: tuple[Rule, ...] = (("block", "com", "en/"), ("allow", "example.com", "en/7"), ("allow", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/"))
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "warez", "xxx")
 #: Labels that make a public suffix with the country after them, as in co.uk.
 SECOND_LEVEL = frozenset(("ac", "co", "com", "edu", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"))
