@@ -57,6 +57,11 @@ def _event(ts: Column | None, level: Column | None, message: Column, extra: Colu
     )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(x.alias(k) for k, x in fields.items())))
 
@@ -106,33 +111,48 @@ def _first(o: Column, keys: tuple[str, ...]) -> Column:
 
 def by_magnitude(number: Column) -> Column:
     """Epoch seconds, milli-, micro- or nanoseconds, told apart by size."""
-    digits = F.floor(F.log10(number)) + 1  # 9 to 11 for seconds of the years 1973 to 5138, three more for each finer unit
-    unit = F.least(F.floor((digits - 9) / 3), F.lit(3))
-    return F.timestamp_micros(F.when(unit >= 0, number * F.pow(F.lit(10.0), 6 - 3 * unit)).try_cast("bigint"))
+
+    def timed(n: Column) -> Column:
+        digits = F.floor(F.log10(n)) + 1  # 9 to 11 for seconds of the years 1973 to 5138, three more for each finer unit
+        unit = F.least(F.floor((digits - 9) / 3), F.lit(3))
+        return F.timestamp_micros(F.when(unit >= 0, n * F.pow(F.lit(10.0), 6 - 3 * unit)).try_cast("bigint"))
+
+    return bound(number, timed)
+
+
+def _moment(text: Column) -> Column:
+    return bound(text, v.moment)
 
 
 def _time(text: Column) -> Column:
-    return F.coalesce(by_magnitude(text.try_cast("double")), v.moment(text))
+    return bound(text, lambda t: F.coalesce(by_magnitude(t.try_cast("double")), v.moment(t)))
 
 
 def without(line: Column, keys: tuple[str, ...]) -> Column:
     """A JSON object without some of its keys; null if nothing is left."""
     own = F.map_filter(F.from_json(line, "map<string,variant>"), lambda k, _: ~k.isin(*keys))
-    return F.when(F.size(own) > 0, F.to_json(own))
+    return _filled(own)
 
 
-def _used(line: Column, keys: tuple[str, ...]) -> Column:
+def _filled(own: Column) -> Column:
+    """A map as JSON, null if it is empty."""
+    return bound(own, lambda m: F.when(F.size(m) > 0, F.to_json(m)))
+
+
+def _used(names: Column, keys: tuple[str, ...]) -> Column:
     """The name among ``keys`` that counts."""
-    return F.try_element_at(F.filter(F.array(*map(F.lit, keys)), lambda k: F.array_contains(F.json_object_keys(line), k)), F.lit(1))
+    return F.try_element_at(F.filter(F.array(*map(F.lit, keys)), lambda k: F.array_contains(names, k)), F.lit(1))
 
 
 def _jsonl(line: Column, _: Context) -> Column:
-    o = _object(line)
-    message = F.coalesce(_first(o, MESSAGE_KEYS), line)
-    used = F.array_compact(F.array(*(_used(line, k) for k in (MESSAGE_KEYS, LEVEL_KEYS, TIME_KEYS))))
-    rest = F.map_filter(F.from_json(line, "map<string,variant>"), lambda k, _: ~F.array_contains(used, k))
-    word = _first(o, LEVEL_KEYS)
-    return _event(_time(_first(o, TIME_KEYS)), F.coalesce(levels.level(word), levels.from_priority(word.try_cast("int"))), message, F.when(F.size(rest) > 0, F.to_json(rest)))
+    used = bound(F.json_object_keys(line), lambda names: F.array_compact(F.array(*(_used(names, k) for k in (MESSAGE_KEYS, LEVEL_KEYS, TIME_KEYS)))))
+    rest = bound(used, lambda u: F.map_filter(F.from_json(line, "map<string,variant>"), lambda k, _: ~F.array_contains(u, k)))
+
+    def told(o: Column) -> Column:
+        level = bound(_first(o, LEVEL_KEYS), lambda w: F.coalesce(levels.level(w), levels.from_priority(w.try_cast("int"))))
+        return _event(_time(_first(o, TIME_KEYS)), level, F.coalesce(_first(o, MESSAGE_KEYS), line), _filled(rest))
+
+    return bound(_object(line), told)
 
 
 FORMATS["jsonl"] = Format("jsonl", 100, False, lambda line, _: _object(line).isNotNull(), _jsonl)
@@ -140,7 +160,10 @@ JOURNAL = {"unit": "_SYSTEMD_UNIT", "user_unit": "_SYSTEMD_USER_UNIT", "identifi
 
 
 def _journal(line: Column, _: Context) -> Column:
-    o = _object(line)
+    return bound(_object(line), _journal_event)
+
+
+def _journal_event(o: Column) -> Column:
     get = lambda k: F.try_variant_get(o, f"$['{k}']", "string")
     codes = F.try_variant_get(o, "$.MESSAGE", "array<int>")  # text that is not UTF-8 comes as a list of bytes
     typed = F.decode(F.unhex(F.array_join(F.transform(codes, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")
@@ -162,8 +185,8 @@ def pairs(text: Column) -> Column:
     keys, values = (F.regexp_extract_all(text, F.lit(PAIR), F.lit(k)) for k in (1, 2))
     bare = F.transform(values, lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), r"\\(.)", "$1")).otherwise(x))
     entries = F.transform(F.arrays_zip(keys.alias("k"), bare.alias("v")), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(last)
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.greatest(F.size(es), F.lit(1))), lambda o: o["k"] == e["k"]))
+    return F.map_from_entries(bound(entries, last))
 
 
 def _of(own: Column, keys: tuple[str, ...]) -> Column:
@@ -171,32 +194,31 @@ def _of(own: Column, keys: tuple[str, ...]) -> Column:
 
 
 def _rest(own: Column) -> Column:
-    left = F.map_filter(own, lambda k, _: ~k.isin(*MESSAGE_KEYS, *LEVEL_KEYS, *TIME_KEYS))
-    return F.when(F.size(left) > 0, F.to_json(left))
+    return _filled(F.map_filter(own, lambda k, _: ~k.isin(*MESSAGE_KEYS, *LEVEL_KEYS, *TIME_KEYS)))
 
 
 def _logfmt(g: Callable, _: Context) -> Column:
-    own = pairs(g(1))
-    return _event(_time(_of(own, TIME_KEYS)), levels.level(_of(own, LEVEL_KEYS)), F.coalesce(_of(own, MESSAGE_KEYS), _given(F.trim(g(2))), F.trim(g(1))), _rest(own))
+    told = lambda own: _event(_time(_of(own, TIME_KEYS)), levels.level(_of(own, LEVEL_KEYS)), F.coalesce(_of(own, MESSAGE_KEYS), _given(F.trim(g(2))), F.trim(g(1))), _rest(own))
+    return bound(g(1), lambda text: bound(pairs(text), told))
 
 
 _add("logfmt", 70, False, LEADING, _logfmt, lambda g, _: F.length(g(2)) <= F.length(g(1)))
 
 
 def _level_logfmt(g: Callable, _: Context) -> Column:
-    own = pairs(g(4))
+    own = bound(g(4), pairs)
     message = F.trim(F.regexp_replace(g(4), PAIR, ""))
     extra = F.to_json(F.map_concat(F.map_filter(own, lambda k, _: k != "elapsed"), F.create_map(F.lit("elapsed"), g(3))))
-    return _event(v.moment(g(2)), levels.level(g(1)), message, extra)
+    return _event(_moment(g(2)), levels.level(g(1)), message, extra)
 
 
 _add("level-logfmt", 85, False, rf"^([A-Z]+)\s+({ISO_TIME})\s+(\+\S+)\s+(.*)$", _level_logfmt, lambda g, _: levels.level(g(1)).isNotNull())
 
 # ---- time, level, message ----
 
-_add("syslog5424", 95, True, r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[[^\]]*\])+)\s?(.*)$", lambda g, _: _event(v.moment(g(2)), levels.from_priority(_long(g(1))), g(7), _json(host=g(3), program=g(4), pid=g(5), facility=F.floor(_long(g(1)) / 8), msgid=g(6))))
+_add("syslog5424", 95, True, r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|(?:\[[^\]]*\])+)\s?(.*)$", lambda g, _: _event(_moment(g(2)), levels.from_priority(_long(g(1))), g(7), _json(host=g(3), program=g(4), pid=g(5), facility=F.floor(_long(g(1)) / 8), msgid=g(6))))
 _add("chromium", 92, True, r"^\[(\d+):(\d+):(\d{2})(\d{2})/(\d{2})(\d{2})(\d{2}(?:\.\d+)?):([A-Z]+\d*):([^\]]*)\]\s?(.*)$", lambda g, x: _event(_made(_year(_long(g(3)), x), g(3), g(4), F.concat_ws(":", g(5), g(6), g(7))), F.coalesce(levels.level(g(8)), F.when(g(8).startswith("VERBOSE"), "trace")), g(10), _json(pid=_long(g(1)), tid=_long(g(2)), origin=g(9))))
-_add("pacman", 91, True, r"^\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{4})\] \[([A-Z0-9-]+)\] (.*)$", lambda g, _: _event(v.moment(g(1)), F.when(F.lower(g(3)).startswith("error"), "error").when(F.lower(g(3)).startswith("warning"), "warning").otherwise("info"), g(3), _json(subsystem=g(2))))
+_add("pacman", 91, True, r"^\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{4})\] \[([A-Z0-9-]+)\] (.*)$", lambda g, _: _event(_moment(g(1)), F.when(F.lower(g(3)).startswith("error"), "error").when(F.lower(g(3)).startswith("warning"), "warning").otherwise("info"), g(3), _json(subsystem=g(2))))
 _add("abseil", 90, True, r"^\[(\d{4})-([A-Z][a-z]{2})-(\d{2}) (\d{2}:\d{2}:\d{2}(?:\.\d+)?) ([+-]\d{2}:\d{2})\]\[\s*(\d+):\s*(\d+)\]\[(\w+)\s*\]\s?(.*)$", lambda g, _: _event(_made(g(1), _month(g(2)), g(3), g(4), g(5)), levels.level(g(8)), g(9), _json(pid=_long(g(6)), tid=_long(g(7)))))
 
 
@@ -212,9 +234,9 @@ def _access(g: Callable, _: Context) -> Column:
 
 _add("access-log", 89, False, r'^(\S+) \S+ (\S+) \[(\d{2})/([A-Z][a-z]{2})/(\d{4}):(\d{2}:\d{2}:\d{2}) ([+-]\d{4})\] "([^"]*)" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?.*$', _access)
 _add("nginx-error", 88, True, r"^(\d{4})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2}) \[(\w+)\] (\d+)#(\d+): (.*)$", lambda g, _: _event(_made(g(1), g(2), g(3), g(4)), levels.level(g(5)), g(8), _json(pid=_long(g(6)), tid=_long(g(7)))))
-_add("python", 83, True, rf"^({ISO_TIME}) (?:\[([^\]]*)\] )?([A-Z]+) ([\w.]+): (.*)$", lambda g, _: _event(v.moment(g(1)), levels.level(g(3)), g(5), _json(thread=_given(g(2)), logger=g(4))), lambda g, _: levels.level(g(3)).isNotNull())
+_add("python", 83, True, rf"^({ISO_TIME}) (?:\[([^\]]*)\] )?([A-Z]+) ([\w.]+): (.*)$", lambda g, _: _event(_moment(g(1)), levels.level(g(3)), g(5), _json(thread=_given(g(2)), logger=g(4))), lambda g, _: levels.level(g(3)).isNotNull())
 _known = lambda k: lambda g, _: levels.level(g(k)).isNotNull()
-_plain_level = lambda g, _: _event(v.moment(g(1)), levels.level(g(2)), g(3))
+_plain_level = lambda g, _: _event(_moment(g(1)), levels.level(g(2)), g(3))
 _add("bracket-level", 82, True, rf"^\[({ISO_TIME})\]\s*\[\s*(\w+)\s*\]\s*(.*)$", _plain_level, _known(2))
 _add("bracket-colon", 81, True, rf"^\[({ISO_TIME})\]:\s*(\w+):\s*(.*)$", _plain_level, _known(2))
 _add("electron", 80, True, rf"^({ISO_TIME})\s+\[\s*(\w+)\s*\]\s*(.*)$", _plain_level, _known(2))
@@ -222,7 +244,7 @@ _add("syslog", 75, True, r"^([A-Z][a-z]{2})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+
 _add("npm", 65, False, r"^(\d+) (silly|verbose|info|timing|http|notice|warn|error) (.*)$", lambda g, _: _event(None, F.coalesce(levels.level(g(2)), F.lit("info")), g(3)))
 _add("xorg", 60, True, r"^\[\s*(\d+\.\d+)\]\s(?:\((EE|WW|II|NI|--|\*\*|\+\+|==|!!)\)\s?|(?!\(..\)))(.*)$", lambda g, _: _event(None, F.try_element_at(F.create_map(*(F.lit(x) for kv in XORG.items() for x in kv)), g(2)), g(3), _json(uptime=g(1).try_cast("double"), marker=_given(g(2)))))
 _add("go", 55, True, r"^(\d{4})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2}(?:\.\d+)?) (.*)$", lambda g, _: _event(_made(g(1), g(2), g(3), g(4)), levels.from_words(g(5)), g(5)))
-_add("timestamped", 20, True, rf"^\[?({ISO_TIME})\]?[\s:|-]*(.*)$", lambda g, _: _event(v.moment(g(1)), levels.from_words(g(2)), g(2)), lambda g, _: v.moment(g(1)).isNotNull())
+_add("timestamped", 20, True, rf"^\[?({ISO_TIME})\]?[\s:|-]*(.*)$", lambda g, _: _event(_moment(g(1)), levels.from_words(g(2)), g(2)), lambda g, _: _moment(g(1)).isNotNull())
 
 # ---- columns under a header, and everything else ----
 
@@ -235,8 +257,8 @@ def cells(line: Column) -> Column:
 
 
 def _csv(line: Column, context: Context) -> Column:
-    own = F.map_from_arrays(context.header, cells(line))
-    return _event(_time(_of(own, TIME_KEYS)), levels.level(_of(own, LEVEL_KEYS)), F.coalesce(_of(own, MESSAGE_KEYS), line), _rest(own))
+    told = lambda own: _event(_time(_of(own, TIME_KEYS)), levels.level(_of(own, LEVEL_KEYS)), F.coalesce(_of(own, MESSAGE_KEYS), line), _rest(own))
+    return bound(F.map_from_arrays(context.header, cells(line)), told)
 
 
 FORMATS["csv"] = Format("csv", 50, False, lambda line, x: v.yes((F.size(cells(line)) == F.size(x.header)) & (cells(line) != x.header)), _csv)

@@ -96,10 +96,10 @@ def parse_lines(lines: DataFrame, formats: DataFrame, only: set[str] | None = No
         mine = c("format") == f.name
         fits = F.when(mine, F.coalesce(f.fits(c("line"), context), F.lit(False))).otherwise(fits)
         joins = joins | (mine & f.joins)
-        event = F.when(mine, f.event(c("line"), context)) if event is None else event.when(mine, f.event(c("line"), context))
+        event = F.when(mine, f.event(c("_raw"), context)) if event is None else event.when(mine, f.event(c("_raw"), context))
     rows = rows.where(~((c("format") == "csv") & F.coalesce(cells(c("line")) == c("header"), F.lit(False))))
     rows = rows.withColumns({"_fits": fits, "_joins": joins}).withColumn("_start", c("_fits") | ~c("_joins"))
-    plain = FORMATS["plain"].event(c("line"), context)
+    plain = FORMATS["plain"].event(c("_raw"), context)
     rows = _before(rows, c("_start").cast("long"), "_events")
     w = Window.partitionBy("path", "split").orderBy("pos")
     rows = rows.withColumns({"_n": F.sum(c("_start").cast("long")).over(w) + c("_events"), "_at": F.row_number().over(w)})
@@ -107,11 +107,12 @@ def parse_lines(lines: DataFrame, formats: DataFrame, only: set[str] | None = No
     alone = c("_n") == 0  # nothing before it that it could continue
     rows = rows.where(alone | c("_start") | (c("_since") <= MAX_CONTINUATION + 1))
     head = c("_start") | alone
-    told = F.when(head, F.when(c("_fits"), event).otherwise(plain))
     key = F.when(alone, -c("number")).otherwise(c("_n"))
-    grouped = rows.groupBy("path", "format", key.alias("_key")).agg(
-        F.min("number").alias("line_number"), F.max(told).alias("e"), F.max(F.when(head, c("line"))).alias("_raw"), F.array_sort(F.collect_list(F.when(~head, F.struct("number", "line")))).alias("_more")
+    grouped = rows.groupBy("path", "format", "year", "month", "header", key.alias("_key")).agg(
+        F.min("number").alias("line_number"), F.max(F.when(head, c("_fits"))).alias("_fits"), F.max(F.when(head, c("line"))).alias("_raw"), F.array_sort(F.collect_list(F.when(~head, F.struct("number", "line")))).alias("_more")
     )
+    # a group has one head; it is parsed here, where events are dealt evenly, whatever the sizes of files
+    grouped = grouped.withColumn("e", F.when(c("_fits"), event).otherwise(plain))
     lines_of = F.transform(F.slice("_more", 1, MAX_CONTINUATION), lambda s: s["line"])
     more = F.when(F.size("_more") > MAX_CONTINUATION, F.concat(lines_of, F.array(F.lit(f"…[{MAX_CONTINUATION}+ more lines]")))).otherwise(lines_of)
     tail = F.when(F.size("_more") > 0, F.concat(F.lit("\n"), F.array_join(more, "\n"))).otherwise("")
