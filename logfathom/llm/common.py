@@ -70,7 +70,9 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of all windows of ``n`` word hashes (none if there are fewer words)."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+    base, out, m = 0x9E3779B97F4A7C15, h, 1
+    for bit in bin(n)[3:]:  # windows of m words become those of 2 m, and of one more
+        out, m = out[:-m] * np.uint64(pow(base, m, 2**64)) + out[m:], 2 * m
+        if bit == "1":
+            out, m = out[:-1] * np.uint64(base) + h[m:], m + 1
     return mixed(out)

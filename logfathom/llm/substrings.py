@@ -56,6 +56,16 @@ def parts_of(docs: DataFrame, windows: int) -> int:
     return int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows // 1_500_000 + 1)) | 1
 
 
+def lowest(g: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of each ``width`` neighbours, the first if equal."""
+    at, span = np.arange(len(g), dtype=np.int32), 1
+    while span < width:
+        step = min(span, width - span)
+        right = g[step:] < g[:-step]
+        at, g, span = np.where(right, at[step:], at[:-step]), np.where(right, g[step:], g[:-step]), span + step
+    return at
+
+
 class Suffixes:
     """The windows of some texts: text, start, place among all words and fingerprint of each."""
 
@@ -79,8 +89,7 @@ class Suffixes:
         if length >= self.size or not len(self.at):
             return self.window
         g = rolled(self.hashes, length)
-        low = np.lib.stride_tricks.sliding_window_view(g, self.size - length + 1).argmin(axis=1)
-        return g[self.at + low[self.at]]
+        return g[lowest(g, self.size - length + 1)[self.at]]
 
     def groups(self, hot: list[np.ndarray]) -> np.ndarray:
         """The prefix that each window hangs under; a hot one is replaced by the next longer."""
@@ -96,7 +105,7 @@ def later_leaves(window: np.ndarray, codes: np.ndarray, at: np.ndarray, size: in
     Windows of different fingerprints are different; those that share one are sorted by their
     words, ``codes`` from ``at`` on, and a node is a run of suffixes with ``size`` common words.
     """
-    order = np.argsort(window, kind="stable")
+    order = np.argsort(window)
     w = window[order]
     same = np.zeros(len(w), bool)
     eq = w[1:] == w[:-1]

@@ -603,3 +603,17 @@ def test_deduplicated_with_shared_hashes(spark, monkeypatch):
     df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
     monkeypatch.setattr(neardup, "row_hashes", lambda: (F.pmod(F.xxhash64("doc_id", "text"), F.lit(7)), F.xxhash64(F.lit(1), "doc_id", "text")))
     assert sorted(tuple(r) for r in neardup.deduplicated(df).collect()) == rows
+
+
+def test_window_helpers_by_doubling():
+    """The lowest of neighbours and rolled fingerprints take steps by the logarithm of a window; ties go to the first."""
+    from logfathom.llm.common import mixed, rolled
+    from logfathom.llm.substrings import lowest
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 20, 21, 300):
+        g, h = rng.integers(0, 6, n).astype(np.uint64), rng.integers(0, 2**62, n).astype(np.uint64)
+        for width in range(1, 22):
+            assert lowest(g, width).tolist()[: max(n - width + 1, 0)] == [i + int(g[i : i + width].argmin()) for i in range(n - width + 1)]
+            want = [sum(int(x) * pow(0x9E3779B97F4A7C15, width - 1 - k, 2**64) for k, x in enumerate(h[i : i + width])) % 2**64 for i in range(n - width + 1)]
+            assert rolled(h, width).tolist() == mixed(np.array(want, np.uint64)).tolist()
