@@ -314,3 +314,11 @@ def test_texts_of_an_event_are_parsed_once(spark):
     for name, call, most in (("jsonl", "try_parse_json", 1), ("jsonl", "json_object_keys", 1), ("journal", "try_parse_json", 1), ("logfmt", "regexp_extract_all", 2), ("level-logfmt", "regexp_extract_all", 2)):
         plan = spark.range(1).select(FORMATS[name].event(F.col("id").cast("string"), context).alias("e"))._jdf.queryExecution().analyzed().toString()
         assert 1 <= plan.count(f"{call}(") <= most, (name, call, plan.count(f"{call}("))
+
+
+def test_context_join_deals_a_small_log(spark):
+    """A log of one file is dealt by time bucket before its many matches are made."""
+    rows = Table(spark.range(500).coalesce(1).select(F.timestamp_seconds(F.col("id") * 60).alias("Timestamp"), F.col("id").alias("EventId")))
+    near = library.in_context(rows.project(at=F.col("Timestamp")), rows, "at", "10m", ("Timestamp", "EventId")).df
+    assert "REPARTITION_BY_COL" in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == sum(min(499, k + 10) - max(0, k - 10) + 1 for k in range(500))
