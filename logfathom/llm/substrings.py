@@ -42,6 +42,8 @@ PREFIXES = (2, 4, 8, 14)
 BATCH_WORDS, GROUP_ROWS, SORTED_ROWS = 500_000, 2_000_000, 100_000
 #: Texts of which one is read to estimate how many suffixes a prefix has; that only decides how they are split.
 ONE_IN = 64
+#: Bytes of words that a group takes up at once.
+LEAF_BYTES = 4_000_000
 ZSTD = pa.Codec("zstd", compression_level=5)
 MARKS = "doc_id long, key long, starts binary"
 
@@ -66,16 +68,50 @@ def lowest(g: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def gaps(text: bytes) -> np.ndarray:
+    """Which bytes stand between words."""
+    b = np.frombuffer(text, np.uint8)
+    return (b == 32) | (b - np.uint8(9) < 5)
+
+
+def count_words(text: bytes) -> int:
+    gap = gaps(text)
+    return int(np.count_nonzero(gap[:-1] > gap[1:])) + int(len(gap) > 0 and not gap[0])
+
+
+def coded(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The code of each word of a text that ends in a gap, the different words by code with a space behind each, and where each word starts."""
+    gap = gaps(text)
+    edge = np.flatnonzero(np.diff(gap, prepend=True))  # words start and end in turn
+    start, end = edge[::2], edge[1::2]
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start + 1, out=offsets[1:])
+    stay = ~gap
+    stay[end] = True
+    data = np.where(gap, np.uint8(32), np.frombuffer(text, np.uint8))[stay]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary, start
+
+
+def bytes_of(words: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where each word starts and the last ends, and the bytes of all, in order."""
+    if not len(words):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(words) + 1)
+    return offsets, memoryview(data)[: offsets[-1]]
+
+
 class Suffixes:
     """The windows of some texts: text, start, place among all words and fingerprint of each."""
 
-    def __init__(self, texts: list[list[bytes]], window: int):
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        code: dict[bytes, int] = {}
+    def __init__(self, texts: list[bytes | list[bytes]], window: int):
+        """Texts are given whole or as lists of words."""
+        texts = [t if isinstance(t, bytes) else b" ".join(t) for t in texts]
         self.size = window
-        self.codes = np.fromiter((code.setdefault(w, len(code)) for t in texts for w in t), np.int32, int(lens.sum()))
-        self.words = list(code)
-        self.hashes = word_hashes(self.words)[self.codes]
+        self.codes, self.words, place = coded(b" ".join([*texts, b""]))
+        lens = np.diff(np.searchsorted(place, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+        self.hashes = word_hashes(bytes(bytes_of(self.words)[1]).split())[self.codes]
         doc = np.repeat(np.arange(len(texts)), lens)
         first = np.cumsum(lens) - lens
         at = np.arange(max(len(self.codes) - window + 1, 0))
@@ -140,37 +176,67 @@ def _whole(small: bytes) -> bytes:
     return ZSTD.decompress(small[8:], int.from_bytes(small[:8], "little"), asbytes=True)
 
 
-def _packed(s: Suffixes, ids: np.ndarray, keys: np.ndarray, lead: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Runs of windows (text, first start, length), and their words."""
-    docs, local = np.unique(s.row[lead], return_inverse=True)
+def _packed(s: Suffixes, ids: np.ndarray, keys: np.ndarray, lead: np.ndarray, sizes: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """For each part, which ascend, its runs of windows (whether of a new text, first start, length), and their words."""
     lens = sizes + s.size - 1
-    at = np.repeat(s.at[lead] - (np.cumsum(lens) - lens), lens)
+    ends = np.cumsum(lens)
+    at = np.repeat(s.at[lead] - (ends - lens), lens)
     at += np.arange(len(at))
-    head = np.array([len(docs), len(lead)], np.int64)
-    arrays = (head, ids[docs], keys[docs], local.astype(np.int32), s.start[lead].astype(np.int32), sizes.astype(np.uint8))
-    return _shrunk(b"".join([*(x.tobytes() for x in arrays), b" ".join([s.words[k] for k in s.codes[at].tolist()])]))
+    offsets, words = bytes_of(s.words.take(pa.array(s.codes[at])))
+    del at
+    row, starts, short = s.row[lead], s.start[lead].astype(np.int32), sizes.astype(np.uint8)
+    begins = offsets[np.append(0, ends)]
+    turn = part[1:] != part[:-1]
+    new = np.append(len(row) > 0, turn | (row[1:] != row[:-1]))[: len(row)]
+    edges = np.concatenate([[0], np.flatnonzero(turn) + 1, [len(row)]])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if a < b:
+            docs = row[a:b][new[a:b]]
+            arrays = (np.array([len(docs), b - a], np.int64), ids[docs], keys[docs], starts[a:b], new[a:b], short[a:b])
+            yield int(part[a]), _shrunk(b"".join([*(x.tobytes() for x in arrays), words[begins[a] : begins[b]]]))
 
 
-def _unpacked(blob: bytes, known: dict[bytes, int], size: int, before: int) -> tuple[np.ndarray, ...]:
-    """(window, doc_id, key, start, place) of every window, and the codes of all words; places count from ``before``."""
+def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """doc_ids, keys, starts, whether of a new text, lengths, and bytes of the words."""
     blob = _whole(blob)
     d, r = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    at = 16
-
-    def take(kind: type, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(blob, kind, count, at)
-        at += out.nbytes
-        return out
-
-    ids, keys, local, starts, sizes = take(np.int64, d), take(np.int64, d), take(np.int32, r), take(np.int32, r), take(np.uint8, r).astype(np.int64)
-    lens = sizes + size - 1
-    codes = np.fromiter((known.setdefault(w, len(known)) for w in blob[at:].split(b" ")), np.int32, int(lens.sum()))
-    row = np.repeat(local, sizes)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.repeat(np.cumsum(lens) - lens, sizes) + step
-    window = rolled(mixed(codes.astype(np.uint64)), size)[place]
-    return window, ids[row], keys[row], (np.repeat(starts, sizes) + step).astype(np.int32), place + before, codes
+    out, at = [], 16
+    for kind, count in ((np.int64, d), (np.int64, d), (np.int32, r), (np.bool_, r), (np.uint8, r)):
+        out.append(np.frombuffer(blob, kind, count, at))
+        at += out[-1].nbytes
+    return *out, np.frombuffer(blob, np.uint8, offset=at)
+
+
+def _leaves(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, ...]:
+    """(fingerprint, doc_id, key, start, place) of every window, and the codes of all words."""
+    runs, codes, known, parts, held, first = [], [], [], [], 0, 0
+    for k, blob in enumerate(column, 1):
+        parts.append(_unpacked(blob.as_py()))
+        held += len(parts[-1][-1])
+        if held >= LEAF_BYTES or k == len(column):
+            *run, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            code, different, _ = coded(words.tobytes())
+            runs.append(run)
+            codes.append(code + np.int32(first))
+            known.append(bytes(bytes_of(different)[1]))
+            parts, held, first = [], 0, first + len(different)
+    same, _, _ = coded(b"".join(known))  # words that several of these slices have
+    words = np.empty(sum(map(len, codes)), np.int32)
+    out = [np.empty(sum(int(run[-1].sum()) for run in runs), kind) for kind in (np.uint64, np.int64, np.int64, np.int32, np.int64)]
+    done = before = 0
+    for code, (ids, keys, starts, new, sizes) in zip(codes, runs, strict=True):
+        code = same[code]
+        words[before : before + len(code)] = code
+        sizes = sizes.astype(np.int64)
+        lens = sizes + size - 1
+        text = np.repeat(np.cumsum(new) - 1, sizes)
+        step = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.repeat(np.cumsum(lens) - lens, sizes) + step
+        window = rolled(mixed(code.astype(np.uint64)), size)[place]
+        for whole, part in zip(out, (window, ids[text], keys[text], np.repeat(starts, sizes) + step, place + before), strict=True):
+            whole[done : done + len(text)] = part
+        done, before = done + len(text), before + len(code)
+    return *out, words
 
 
 def _marks(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -188,15 +254,15 @@ def _rows(part: list, leaves: list, ids: list, keys: list, starts: list) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((part, leaves, ids, keys, starts), kinds, strict=True)], ["part", "leaves", "doc_id", "key", "starts"])
 
 
-def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """(doc_ids, keys, word lists) with about ``words`` words; long texts alone."""
+def _batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(doc_ids, keys, texts) with about ``words`` words; long texts alone."""
     ids, keys, texts, n = [], [], [], 0
     for batch in batches:
         for i, k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), doc_bytes(batch.column(2)), strict=True):
             ids.append(i)
             keys.append(k)
-            texts.append(raw.split())
-            n += len(texts[-1])
+            texts.append(raw)
+            n += count_words(raw)
             if n >= words:
                 yield np.array(ids, np.int64), np.array(keys, np.int64), texts
                 ids, keys, texts, n = [], [], [], 0
@@ -226,11 +292,8 @@ def _grower(parts: int, window: int, hot: list[np.ndarray]):
                 size = np.diff(np.append(lead, len(stay)))
             part = (g[lead] >> np.uint64(16)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            part = part[order]
-            edges = np.append(np.flatnonzero(np.diff(part, prepend=np.uint64(2**63))), len(part))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                o = order[a:b]
-                for x, v in zip(out, (int(part[a]), _packed(s, ids, keys, stay[lead[o]], size[o]), None, None, None), strict=True):
+            for p, leaves in _packed(s, ids, keys, stay[lead[order]], size[order], part[order]):
+                for x, v in zip(out, (p, leaves, None, None, None), strict=True):
                     x.append(v)
             yield _rows(*out)
 
@@ -241,16 +304,10 @@ def _joiner(window: int):
     def joined(group: pa.Table) -> pa.Table:
         """One group's tree from all batches' leaves: marks of all leaves of a node but the first."""
         local = group.filter(pa.compute.is_null(group.column("leaves"))).select(["doc_id", "key", "starts"])
-        known: dict[bytes, int] = {}
-        got: list[tuple[np.ndarray, ...]] = []
-        before = 0
-        for blob in group.column("leaves"):
-            if blob.is_valid:
-                got.append(_unpacked(blob.as_py(), known, window, before))
-                before += len(got[-1][5])
         marks: list[tuple] = []
-        if got:
-            w, ids, keys, starts, at, codes = (np.concatenate(x) for x in zip(*got, strict=True))
+        leaves = group.column("leaves").drop_null()
+        if len(leaves):
+            w, ids, keys, starts, at, codes = _leaves(leaves, window)
             later = later_leaves(w, codes, at, window, ids, starts)
             marks = list(_marks(ids[later], keys[later], starts[later]))
         new = pa.table([pa.array([r[k] for r in marks], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "key", "starts"])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,8 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -617,3 +620,49 @@ def test_window_helpers_by_doubling():
             assert lowest(g, width).tolist()[: max(n - width + 1, 0)] == [i + int(g[i : i + width].argmin()) for i in range(n - width + 1)]
             want = [sum(int(x) * pow(0x9E3779B97F4A7C15, width - 1 - k, 2**64) for k, x in enumerate(h[i : i + width])) % 2**64 for i in range(n - width + 1)]
             assert rolled(h, width).tolist() == mixed(np.array(want, np.uint64)).tolist()
+
+
+def test_substrings_take_words_by_arrays(monkeypatch):
+    """Python calls grow with texts and groups, not with words, in batches and in groups; slices of a group agree on words."""
+    monkeypatch.setattr(substrings, "BATCH_WORDS", 12_000)
+    monkeypatch.setattr(substrings, "LEAF_BYTES", 9_000, raising=False)
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{k}" for k in range(400))
+    texts = [f" \x0b{passage}\n" + "\t".join(f"é\x1c{k}" for k in rng.integers(0, 50, 2000)) + " same" * 700 for _ in range(12)] + ["", " \n", None, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16), pa.int64()), pa.array([7] * 16, pa.int64()), pa.array(texts)], ["id", "key", "text"])
+    calls = 0
+
+    def counted(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(counted)
+    try:
+        leaves = pa.Table.from_batches(list(substrings._grower(3, 20, [])(iter([batch]))))
+        marks = [r for p in range(3) for r in substrings._joiner(20)(leaves.filter(pa.compute.equal(leaves.column("part"), p)).drop_columns(["part"])).to_pylist()]
+    finally:
+        sys.setprofile(None)
+    got = {(r["doc_id"], int(k)) for r in marks for k in np.frombuffer(r["starts"], np.int32)}
+    seen, want, n = set(), set(), 0
+    for d, text in enumerate(texts):
+        w = (text or "").encode().split()
+        n += len(w)
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                want.add((d, k))
+            seen.add(tuple(w[k : k + 20]))
+    assert got == want and all(r["key"] == 7 for r in marks)
+    assert calls < n / 2, (calls, n)
+
+
+def test_substrings_code_words_as_bytes_split_does():
+    rng = np.random.default_rng(9)
+    marks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", " ", " ", "\x00", "é", "a", "b"]
+    texts = ["".join(rng.choice(marks, n)).encode() for n in rng.integers(0, 60, 200)] + [b"", b" ", b"a", b" a", b"a "]
+    s = substrings.Suffixes(texts, 3)
+    offsets, data = substrings.bytes_of(s.words.take(pa.array(s.codes)))
+    assert [bytes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [w + b" " for t in texts for w in t.split()]
+    assert list(map(substrings.count_words, texts)) == [len(t.split()) for t in texts]
+    assert np.bincount(s.row, minlength=len(texts)).tolist() == [max(len(t.split()) - 2, 0) for t in texts]
+    for none in ([], [b""], [b" \n"]):
+        assert not len(substrings.Suffixes(none, 3).window)
