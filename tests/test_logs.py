@@ -322,3 +322,30 @@ def test_context_join_deals_a_small_log(spark):
     near = library.in_context(rows.project(at=F.col("Timestamp")), rows, "at", "10m", ("Timestamp", "EventId")).df
     assert "REPARTITION_BY_COL" in near._jdf.queryExecution().executedPlan().toString()
     assert near.count() == sum(min(499, k + 10) - max(0, k - 10) + 1 for k in range(500))
+
+
+def test_context_join_writes_little_a_row(spark, tmp_path):
+    """A dense log: rows as of all pairs; what is written repeats from moment to moment, under a byte a row."""
+    second = lambda n, salt: F.timestamp_micros(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(n * 1_000_000)))
+    log = spark.range(6000).select(second(10_800, 1).alias("Timestamp"), F.col("id").alias("EventId"))
+    errors = spark.range(1200).select(F.col("id").alias("error_id"), second(10_800, 2).alias("at"))
+    found = library.in_context(Table(errors), Table(log), "at", "10m", ("Timestamp", "EventId")).df
+    found.write.parquet(str(tmp_path / "found"))
+    wanted = errors.crossJoin(log).where(F.abs(F.unix_micros("at") - F.unix_micros("Timestamp")) <= 600_000_000)
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("error_id", "at", "Timestamp", "EventId").cast("decimal(38,0)"))).first()
+    rows = total(spark.read.parquet(str(tmp_path / "found")))
+    assert found.columns == ["error_id", "at", "Timestamp", "EventId"]
+    assert rows == total(wanted) and rows[0] > 500_000
+    assert sum(f.stat().st_size for f in (tmp_path / "found").rglob("*.parquet")) < rows[0]
+
+
+def test_context_join_at_the_edges(spark):
+    """Exact distances, more lines at one time than a run holds, times before 1970, no time at all."""
+    at = lambda micros: F.timestamp_micros(F.col(micros))
+    near = [*range(-600_000_002, -599_999_998), 0, *range(599_999_998, 600_000_003), *[7] * 300, None, *range(1_200_000_000, 1_800_000_000, 1_000_000)]
+    log = spark.createDataFrame(list(enumerate(near)), "EventId long, t long").select(at("t").alias("Timestamp"), "EventId")
+    errors = spark.createDataFrame([(1, 0), (2, 0), (3, None), (4, -600_000_000), (5, 1_500_000_000), (6, 9_000_000_000)], "error_id long, t long").select("error_id", at("t").alias("at"))
+    found = library.in_context(Table(errors), Table(log), "at", "10m", ("Timestamp", "EventId")).df
+    wanted = errors.crossJoin(log).where(F.abs(F.unix_micros("at") - F.unix_micros("Timestamp")) <= 600_000_000)
+    rows = lambda df: sorted(map(tuple, df.select("error_id", "EventId", "at", "Timestamp").collect()))
+    assert rows(found) == rows(wanted)
