@@ -349,3 +349,17 @@ def test_context_join_at_the_edges(spark):
     wanted = errors.crossJoin(log).where(F.abs(F.unix_micros("at") - F.unix_micros("Timestamp")) <= 600_000_000)
     rows = lambda df: sorted(map(tuple, df.select("error_id", "EventId", "at", "Timestamp").collect()))
     assert rows(found) == rows(wanted)
+
+
+def test_context_join_keeps_its_partitions(spark):
+    """A join by shuffle is not merged into one task because it reads little: its rows are many more."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = Table(spark.range(500).select(F.timestamp_seconds(F.col("id") * 60).alias("Timestamp"), F.col("id").alias("EventId")))
+        near = library.in_context(rows.project(at=F.col("Timestamp")), rows, "at", "10m", ("Timestamp", "EventId")).df
+        tasks = near.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(tasks) > 1
+    assert sum(n for _, n in tasks) == sum(min(499, k + 10) - max(0, k - 10) + 1 for k in range(500))
